@@ -177,3 +177,24 @@ def binary_list(values: np.ndarray, size: np.ndarray) -> pa.Array:
     raw = np.ascontiguousarray(values)
     at = np.concatenate([[0], np.cumsum(size)]) * raw.dtype.itemsize
     return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def spread(docs: DataFrame, column: str, rows: int, most: int = 65_536) -> tuple[Column, int]:
+    """A bucket number that never falls as an integer column rises, for buckets of about `rows` rows; how many.
+
+    256 quantiles, each cut evenly by value; at most `most` buckets. Null values go to bucket 0.
+    """
+    n = min(most, max(16, docs.count() // rows))
+    low, high = docs.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return F.lit(0), 1
+    bounds = [x for x in range_bounds(docs, column, min(n, 256)) if low < x]
+    step = -(-n // (len(bounds) + 1))
+    value, part = F.col(column), bucket_of(F.col(column), bounds)
+    if step == 1:
+        return part, len(bounds) + 1
+    edges = [low, *bounds, high + 1]
+    at = F.array(*[F.lit(x).cast("long") for x in edges])
+    start, end = F.get(at, part), F.get(at, part + 1)
+    inside = F.floor((value - start).cast("double") / (end - start) * step)
+    return F.coalesce(part * step + F.least(F.greatest(inside, F.lit(0)), F.lit(step - 1)), F.lit(0)).cast("long"), (len(bounds) + 1) * step

@@ -22,6 +22,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).withColumn("held_out", _fold(3) == 1)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cws import fingerprints
+
+    return fingerprints(_documents(spark, sf_dir))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -30,6 +36,7 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op5_fingerprints": op5_fingerprints,
     "op6_pack": op6_pack,
 }
 ORACLES: dict[str, str] = {}
