@@ -34,9 +34,17 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    found = remove_repeats(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op5_fingerprints": op5_fingerprints,
     "op6_pack": op6_pack,
+    "op8_suffixes": op8_suffixes,
 }
 ORACLES: dict[str, str] = {}
