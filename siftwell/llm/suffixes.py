@@ -220,7 +220,7 @@ def compare(rows: DataFrame, sample: DataFrame, share: float, bucket_rows: int,
     """
     spark = rows.sparkSession
     n = sample.count()
-    buckets = max(1, int(n / share / bucket_rows))
+    buckets = max(int(n / share / bucket_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
     part = min(1.0, 200 * buckets / max(n, 1))
     taken = sample.where(F.pmod(F.xxhash64("ord", "place"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).toPandas().to_numpy().reshape(-1, 4)
     taken = taken[multikey_order([taken[:, i] for i in range(4)])]
@@ -259,7 +259,7 @@ def compare(rows: DataFrame, sample: DataFrame, share: float, bucket_rows: int,
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), wanted, dtype=np.int32)), pa.array(b[i]), pa.array(key[i]), pa.array(cover[i]), pa.array(ords[i]), pa.array(place[i]), pa.array(covers[i])], names=["kind", "bucket", *columns, "covers"])
 
     dealt = rows.mapInArrow(deal, "key long, cover long, ord long, place long, bucket int")
-    found = dealt.repartition(len(splitters) + 1, "bucket").mapInArrow(sort, "kind int, bucket int, key long, cover long, ord long, place long, covers long")
+    found = dealt.repartitionById(len(splitters) + 1, F.col("bucket")).mapInArrow(sort, "kind int, bucket int, key long, cover long, ord long, place long, covers long")
     found, path = written(found, name)
     # a few rows for each bucket: the edges
     edges = found.where("kind >= 2").orderBy("bucket", "key", "cover", "ord", "place").collect()
