@@ -41,10 +41,17 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import link
+
+    return link(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op5_fingerprints": op5_fingerprints,
     "op6_pack": op6_pack,
     "op8_suffixes": op8_suffixes,
+    "op9_jaccard": op9_jaccard,
 }
 ORACLES: dict[str, str] = {}
