@@ -22,6 +22,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).withColumn("held_out", _fold(3) == 1)
 
 
+def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import round_trip
+
+    return round_trip(_documents(spark, sf_dir))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .cws import fingerprints
 
@@ -49,6 +55,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op3_repair": op3_repair,
     "op5_fingerprints": op5_fingerprints,
     "op6_pack": op6_pack,
     "op8_suffixes": op8_suffixes,
