@@ -22,6 +22,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).withColumn("held_out", _fold(3) == 1)
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import score_documents
+
+    return score_documents(_documents(spark, sf_dir), _fold(7) != 2).withColumn("held_out", _fold(7) == 2)
+
+
 def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import round_trip
 
@@ -55,6 +61,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_repair": op3_repair,
     "op5_fingerprints": op5_fingerprints,
     "op6_pack": op6_pack,
