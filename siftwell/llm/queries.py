@@ -34,6 +34,13 @@ def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir))
 
 
+def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .templates import contaminated
+
+    found = contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "n_tokens", "verbatim")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .cws import fingerprints
 
@@ -46,6 +53,12 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spans import remove_spans
+
+    return remove_spans(_documents(spark, sf_dir)).select("doc_id", "n_sentences", "n_removed", "n_spans", "kept")
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import remove_repeats
 
@@ -63,8 +76,10 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op2_pitman_yor": op2_pitman_yor,
     "op3_repair": op3_repair,
+    "op4_templates": op4_templates,
     "op5_fingerprints": op5_fingerprints,
     "op6_pack": op6_pack,
+    "op7_spans": op7_spans,
     "op8_suffixes": op8_suffixes,
     "op9_jaccard": op9_jaccard,
 }
