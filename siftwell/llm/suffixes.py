@@ -9,7 +9,10 @@ it of least hash. Equal windows have equal anchors at equal places, so only suff
    rows hold is dealt evenly). A bucket is sorted by multikey quicksort and neighbours are compared, the
    edges of buckets with those of the buckets beside them. An anchor whose whole cover occurs earlier is
    done; one whose gram has different covers is left open.
-2. The windows of open anchors alone are sorted and compared in the same manner.
+2. A window has 66 bytes from its anchor on, or 66 up to its anchor's gram's end (for size 100). Each open
+   anchor's windows of either kind go, with their text, to those that share these bytes, where windows are
+   compared. A key that more than a thousandth of these rows have isn't gathered: its windows are dealt out
+   and compared as in step 1.
 
 Hashes are of 64 bits besides the leading bytes; two different strings pass for equal with a chance of
 about 1e-5 over 1e8 of them.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, keyed, mix, pieces, text_bytes, written
+from .common import binary_list, discard, free_shuffles, keyed, mix, pieces, ragged, text_bytes, written
 
 GRAM = 32
 _SEGMENT = 1 << 20
@@ -82,7 +85,8 @@ def segments(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.
 
 
 def anchors(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """For the runs of windows that share an anchor: key of its suffix, hash of their cover, first window, number."""
+    """For the runs of windows that share an anchor: key of its suffix, hash of their cover, first window,
+    number of windows, and the anchor's distance from the first window."""
     hashes, n = Hashes(data), len(data)
     m = n - GRAM + 1
     gram = hashes.of(slice(0, m), slice(GRAM, n + 1), slice(0, m))
@@ -110,64 +114,129 @@ def anchors(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, ..
         lead = (lead << np.uint64(8)) | data[a + i].astype(np.uint64)
     key = (lead << np.uint64(32)) | (gram[a] >> np.uint64(32))
     cover = mix(hashes.of(first, first + number + size - 1, first) + (a - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64))
-    return key, cover, first, number
+    return key, cover, first, number, a - first
 
 
 def anchor_rows(rows: DataFrame, size: int) -> DataFrame:
-    """(key, cover, ord, place) of all anchors; place is the first window << 8 | the number of windows."""
+    """(key, cover, ord, place) of all anchors; place is the first window << 16 | the anchor's distance << 8 | windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 8_000_000):
                 for data, at, ords, base in segments(part, size):
-                    key, cover, first, number = anchors(data, at, size)
+                    key, cover, first, number, distance = anchors(data, at, size)
                     owner = np.searchsorted(at, first, side="right") - 1
-                    place = (first - at[owner] + base[owner]) << 8 | number
+                    place = (first - at[owner] + base[owner]) << 16 | distance << 8 | number
                     yield _batch(key, cover, ords[owner], place)
 
     return rows.select("ord", "text").mapInArrow(run, "key long, cover long, ord long, place long")
 
 
-def window_rows(rows: DataFrame, size: int) -> DataFrame:
-    """(key, cover, ord, place) of the windows that column `open` (places as above) lists for each text."""
+def side_rows(rows: DataFrame, size: int) -> DataFrame:
+    """(g, ord, place, bytes): for each open anchor (places in column `open`) its windows of either kind.
+
+    g is a hash of the bytes that all windows of the kind share; place is the first window << 16 | windows.
+    """
+    reach = size - GRAM - (size - GRAM) // 2  # windows that start this far before the anchor, or nearer, are of kind 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 2_000_000):
                 data, at = text_bytes(part.column(1))
-                ords, lists = part.column(0).to_numpy(), part.column(2)
+                lists = part.column(2)
                 values = lists.flatten().to_numpy()
-                row = np.repeat(np.arange(part.num_rows), np.diff(offsets_of_list(lists)))
-                number = values & 255
-                p = np.repeat((values >> 8) + at[row], number) + (np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number))
-                row = np.repeat(row, number)
-                for lo in range(0, len(p), 1_000_000):
-                    some, own = p[lo : lo + 1_000_000], row[lo : lo + 1_000_000]
-                    key = np.zeros(len(some), dtype=np.uint64)
-                    for i in range(8):
-                        key = (key << np.uint64(8)) | data[some + i].astype(np.uint64)
-                    yield _batch(key, _windows(data, some, size), ords[own], (some - at[own]) << 8 | 1)
-
-    return rows.mapInArrow(run, "key long, cover long, ord long, place long")
-
-
-def _windows(data: np.ndarray, p: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the windows at ascending places p, in stretches that the powers' table holds."""
-    out = np.zeros(len(p), dtype=np.uint64)
+                row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                first, distance, number = (values >> 16) + at[row], values >> 8 & 255, values & 255
+                a = first + distance
+                for kind in (0, 1):
+                    start = np.maximum(first, a - reach) if not kind else first
+                    end = first + number if not kind else np.minimum(first + number, a - reach)
+                    has = np.flatnonzero(start < end)
+                    s, n, anchor = start[has], (end - start)[has], a[has]
+                    common = (anchor, anchor + size - reach) if not kind else (anchor - reach - 1, anchor + GRAM)
+                    g = mix(_stretches(data, *common) ^ np.uint64(kind))
+                    length = n + size - 1
+                    raw = data[ragged(s, length)]
+                    ords = part.column(0).to_numpy()[row[has]]
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ords), pa.array((s - at[row[has]]) << 16 | n), binary_list(raw, length)], names=["g", "ord", "place", "bytes"])
+
+    return rows.mapInArrow(run, "g long, ord long, place long, bytes binary")
+
+
+def _stretches(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of ascending starts, in parts that the powers' table holds."""
+    out = np.zeros(len(start), dtype=np.uint64)
     lo = 0
-    while lo < len(p):
-        hi = int(np.searchsorted(p, p[lo] + 2 * _SEGMENT, side="left"))
-        base = int(p[lo])
-        h = Hashes(data[base : int(p[hi - 1]) + size])
-        q = p[lo:hi] - base
-        out[lo:hi] = h.of(q, q + size, q)
+    while lo < len(start):
+        base = int(start[lo])
+        hi = int(np.searchsorted(start, base + 2 * _SEGMENT, side="left"))
+        h = Hashes(data[base : int(end[lo:hi].max())])
+        out[lo:hi] = h.of(start[lo:hi] - base, end[lo:hi] - base, start[lo:hi] - base)
         lo = hi
     return out
 
 
-def offsets_of_list(lists: pa.ListArray) -> np.ndarray:
-    at = lists.offsets.to_numpy()
-    return at - at[0]
+def _opened(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, ...]:
+    """All windows of rows (g, ord, place, bytes): the row, the window's start in its text, its hash and first 8 bytes."""
+    data, at = text_bytes(batch.column(3))
+    place = batch.column(2).to_numpy()
+    number = place & 0xFFFF
+    row = np.repeat(np.arange(batch.num_rows), number)
+    p = ragged(at[:-1], number)
+    lead = np.zeros(len(p), dtype=np.uint64)
+    for i in range(8):
+        lead = (lead << np.uint64(8)) | data[p + i].astype(np.uint64)
+    return row, p - at[row] + (place >> 16)[row], _stretches(data, p, p + size), lead
+
+
+def compared_sides(cold: DataFrame, size: int) -> DataFrame:
+    """(ord, place): windows of rows (g, ord, place, bytes) that another row of the same g has earlier."""
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, start, h, _ = _opened(batch, size)
+        ords = batch.column(1).to_numpy()[row]
+        g = batch.column(0).to_numpy()[row]
+        order = multikey_order([h, g, ords, start])
+        h, g, ords, start = (x[order] for x in (h, g, ords, start))
+        again = np.flatnonzero((h[1:] == h[:-1]) & (g[1:] == g[:-1])) + 1
+        ords, start = ords[again], start[again]
+        order = np.lexsort((start, ords))
+        ords, start = ords[order], start[order]
+        new = np.append(True, (ords[1:] != ords[:-1]) | (start[1:] != start[:-1] + 1)) if len(ords) else np.zeros(0, dtype=bool)
+        at = np.flatnonzero(new)
+        number = np.diff(np.append(at, len(ords)))
+        cut = -(-number // 200)  # a place holds at most 255 windows
+        at, number = ragged(np.zeros(len(at), dtype=np.int64), cut) * 200 + np.repeat(at, cut), np.repeat(number, cut)
+        number = np.minimum(200, number - (at - np.repeat(np.flatnonzero(new), cut)))
+        return pa.RecordBatch.from_arrays([pa.array(ords[at]), pa.array(start[at] << 16 | number)], names=["ord", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            last = int(np.searchsorted(g, g[-1])) if len(g) else 0
+            if last:
+                ready = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()
+                yield from map(whole, ready)
+                held = []
+            held.append(batch.slice(last))
+        for x in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
+            yield whole(x)
+
+    return cold.repartition("g").sortWithinPartitions("g").mapInArrow(run, "ord long, place long")
+
+
+def window_rows(hot: DataFrame, size: int) -> DataFrame:
+    """(key, cover, ord, place) of all windows of rows (g, ord, place, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                row, start, h, lead = _opened(part, size)
+                yield _batch(lead, h, part.column(1).to_numpy()[row], start << 16 | 1)
+
+    return hot.mapInArrow(run, "key long, cover long, ord long, place long")
 
 
 def _batch(key: np.ndarray, cover: np.ndarray, ords: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -279,18 +348,28 @@ def compare(rows: DataFrame, sample: DataFrame, share: float, bucket_rows: int,
     return found.where("kind = 0").select("ord", "place").unionAll(extra(repeated)), found.where("kind = 1").select("ord", "place").unionAll(extra(open_)), [path]
 
 
-def repeated_spans(rows: DataFrame, size: int = 100, bucket_rows: int = 400_000) -> tuple[DataFrame, list[str]]:
-    """(ord, spans): for each text with repeats the windows, as places, that also start earlier; and paths."""
-    share = 16
+def repeated_spans(rows: DataFrame, size: int = 100, bucket_rows: int = 400_000, hot_rows: int = 20_000) -> tuple[DataFrame, list[str]]:
+    """(ord, spans): for each text with repeats the windows, as places, that also start earlier; and paths.
+
+    A key of more than hot_rows rows, and of a thousandth of all, is dealt out by its windows.
+    """
+    share, spark = 16, rows.sparkSession
     some = rows.where(F.pmod(F.xxhash64("ord"), F.lit(share)) == 0)
     done, open_, paths = compare(anchor_rows(rows, size), anchor_rows(some, size), 1 / share, bucket_rows, "anchors", True)
-    free_shuffles(rows.sparkSession)
+    free_shuffles(spark)
     lists = open_.groupBy("ord").agg(F.sort_array(F.collect_list("place")).alias("open"))
-    windows, path = written(window_rows(rows.select("ord", "text").join(lists, "ord"), size), "windows")
-    free_shuffles(rows.sparkSession)
-    more, _, others = compare(windows, windows.where(F.pmod(F.xxhash64("ord"), F.lit(share)) == 0), 1 / share, bucket_rows, "window-runs", False)
-    both = done.unionAll(more).groupBy("ord").agg(F.collect_list("place").alias("spans"))
-    return both, [*paths, path, *others]
+    sides, path = written(side_rows(rows.select("ord", "text").join(lists, "ord"), size), "sides")
+    free_shuffles(spark)
+    # at most a thousand keys
+    hot = [r["g"] for r in sides.groupBy("g").count().where(F.col("count") > max(hot_rows, sides.count() // 1000)).collect()]
+    windows = window_rows(sides.where(F.col("g").isin(hot)), size)
+    more, _, others = compare(windows, windows, 1, bucket_rows, "window-runs", False) if hot else (done.limit(0), None, [])
+    cold = compared_sides(sides.where(~F.col("g").isin(hot)) if hot else sides, size)
+    near, cold_path = written(cold.unionAll(more), "window-spans")
+    both = done.unionAll(near).groupBy("ord").agg(F.collect_list("place").alias("spans"))
+    discard(spark, path, *others)
+    free_shuffles(spark)
+    return both, [*paths, cold_path]
 
 
 def kept_text(data: np.ndarray, places: np.ndarray, size: int) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -298,7 +377,7 @@ def kept_text(data: np.ndarray, places: np.ndarray, size: int) -> tuple[bytes, i
     if not len(places):
         return data.tobytes(), 0, []
     change = np.zeros(len(data) + 1, dtype=np.int32)
-    start = places >> 8
+    start = places >> 16
     np.add.at(change, start, 1)
     np.add.at(change, start + (places & 255) + size - 1, -1)
     gone = np.cumsum(change[:-1]) > 0
@@ -306,7 +385,7 @@ def kept_text(data: np.ndarray, places: np.ndarray, size: int) -> tuple[bytes, i
     return data[~gone].tobytes(), int(np.count_nonzero(gone)), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, size: int = 100, bucket_rows: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 100, bucket_rows: int = 400_000, hot_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte that a string of `size` bytes covers which also starts earlier.
 
     Earlier: in a smaller doc_id (equal ids: in order of the text), or before in the same text; texts are
@@ -314,7 +393,7 @@ def remove_repeats(docs: DataFrame, size: int = 100, bucket_rows: int = 400_000,
     rows are documents of their own. Returns ord, doc_id, n_bytes, n_removed, removed (start, end), kept.
     """
     rows = keyed(docs, id_col, text_col)
-    spans, _ = repeated_spans(rows, size, bucket_rows)
+    spans, _ = repeated_spans(rows, size, bucket_rows, hot_rows)
     schema = "ord long, doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
