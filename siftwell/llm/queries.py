@@ -72,6 +72,12 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weak_labels import classify
+
+    return classify(_documents(spark, sf_dir))[0]
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_pitman_yor": op2_pitman_yor,
@@ -82,5 +88,6 @@ QUERIES = {
     "op7_spans": op7_spans,
     "op8_suffixes": op8_suffixes,
     "op9_jaccard": op9_jaccard,
+    "op10_weak_labels": op10_weak_labels,
 }
 ORACLES: dict[str, str] = {}
