@@ -103,7 +103,7 @@ def vote(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, tupl
 
 @dataclass
 class LabelModel:
-    """How labellers vote: chance of a bad text, and vote[class, labeller, outcome]."""
+    """How labellers vote: chance of a bad text, and votes[class, labeller, outcome] of those it gives."""
 
     bad: float
     votes: np.ndarray
@@ -112,34 +112,33 @@ class LabelModel:
     def fit(cls, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
         """EM over distinct vote patterns and their counts, from the start that labellers are right nine times in ten."""
         m = patterns.shape[1]
-        model = cls(0.2, np.tile(np.array([[0.6, 0.05, 0.35], [0.05, 0.6, 0.35]])[:, None, :], (1, m, 1)))
+        prior = np.array([[0.95, 0.05], [0.4, 0.6]])
+        model = cls(0.2, np.tile(prior[:, None, :], (1, m, 1)))
         for _ in range(rounds):
             p = model.posterior(patterns)
-            votes = np.zeros((2, m, 3))
+            votes = np.zeros((2, m, 2))
             for c, weight in enumerate((counts * (1 - p), counts * p)):
                 for k in range(m):
-                    votes[c, k] = np.bincount(patterns[:, k], weights=weight, minlength=3) + np.array([[0.6, 0.05, 0.35], [0.05, 0.6, 0.35]])[c]
+                    votes[c, k] = np.bincount(patterns[:, k], weights=weight, minlength=3)[:2] + prior[c]
             votes /= votes.sum(axis=2, keepdims=True)
             # texts are bad in several ways, so a labeller may miss most of them, but must seldom blame a good one
-            for c, outcome, low, high in ((0, BAD, 0.0, 0.02), (1, BAD, 0.1, 0.6), (1, GOOD, 0.3, 0.8)):
-                bound = np.clip(votes[c, :, outcome], low, high)
-                votes[c] *= ((1 - bound) / np.maximum(1 - votes[c, :, outcome], 1e-9))[:, None]
-                votes[c, :, outcome] = bound
-            votes = np.maximum(votes, 1e-6)
+            votes[0, :, BAD] = np.clip(votes[0, :, BAD], 1e-6, 0.02)
+            votes[1, :, BAD] = np.clip(votes[1, :, BAD], 0.2, 0.7)
+            votes[:, :, GOOD] = 1 - votes[:, :, BAD]
             model = cls(float(np.clip((counts @ p + 0.2) / (counts.sum() + 1), 1e-6, 1 - 1e-6)), votes)
         return model
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """The chance that a text of these votes is bad."""
+        """The chance that a text of these votes is bad; a labeller that doesn't vote says nothing."""
         score = np.log(self.bad) - np.log1p(-self.bad) + np.zeros(len(patterns))
+        ratio = np.log(self.votes[1]) - np.log(self.votes[0])
         for k in range(patterns.shape[1]):
-            score += np.log(self.votes[1, k, patterns[:, k]]) - np.log(self.votes[0, k, patterns[:, k]])
+            score += np.append(ratio[k], 0.0)[patterns[:, k]]
         return 1 / (1 + np.exp(-np.clip(score, -50, 50)))
 
     def accuracies(self) -> np.ndarray:
         """Each labeller's chance of a right vote when it votes."""
-        right = (1 - self.bad) * self.votes[0, :, GOOD] + self.bad * self.votes[1, :, BAD]
-        return right / (right + (1 - self.bad) * self.votes[0, :, BAD] + self.bad * self.votes[1, :, GOOD])
+        return (1 - self.bad) * self.votes[0, :, GOOD] + self.bad * self.votes[1, :, BAD]
 
 
 def features(form: np.ndarray, abuse: np.ndarray, h: np.ndarray, own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
