@@ -200,19 +200,21 @@ def spread(docs: DataFrame, column: str, rows: int, most: int = 65_536) -> tuple
     return F.coalesce(part * step + F.least(F.greatest(inside, F.lit(0)), F.lit(step - 1)), F.lit(0)).cast("long"), (len(bounds) + 1) * step
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(ord, doc_id, text) with ord a unique long that ascends with (doc_id, text), nulls first; null text: ''.
 
-    Where ids are unique and not null, ord is the id and nothing moves; otherwise the rows are numbered by
-    ranges and written once.
+    With carry, also `row`, a struct of all columns. Where ids are unique and not null, ord is the id and
+    nothing moves; otherwise the rows are numbered by ranges and written once.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rest = [F.struct(*[docs[x] for x in docs.columns]).alias("row")] if carry else []
+    names = ["ord", "doc_id", "text", *["row"] * carry]
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
     ids = plain.groupBy("doc_id").count().agg(F.max("count"), F.max(F.col("doc_id").isNull().cast("int"))).first()
     if ids[0] in (None, 1) and not ids[1]:
-        return plain.select(F.col("doc_id").alias("ord"), "doc_id", "text")
+        return plain.withColumn("ord", F.col("doc_id")).select(*names)
     from pyspark.sql.window import Window
 
     part, _ = spread(plain, "doc_id", 1000)
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "text"))
     numbered = plain.withColumn("part", part.cast("long")).withColumn("ord", F.shiftleft("part", 32) + place)
-    return written(numbered.select("ord", "doc_id", "text"), "keyed")[0]
+    return written(numbered.select(*names), "keyed")[0]

@@ -169,6 +169,8 @@ def fit(labelled: DataFrame, order: int = 5, sample_bytes: int = 1_500_000, text
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte): the language of least code length, of whole texts.
 
+    id_col may name any column, a struct of a whole row too, which is passed through.
+
     score is its share when each language weighs 2 ** -bits (a tie goes to the first by name). A text that
     is null or without a letter gets `und` and score 0, as does every text if the model is None.
     """

@@ -385,16 +385,16 @@ def kept_text(data: np.ndarray, places: np.ndarray, size: int) -> tuple[bytes, i
     return data[~gone].tobytes(), int(np.count_nonzero(gone)), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, size: int = 100, bucket_rows: int = 400_000, hot_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 100, bucket_rows: int = 400_000, hot_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """Remove each byte that a string of `size` bytes covers which also starts earlier.
 
     Earlier: in a smaller doc_id (equal ids: in order of the text), or before in the same text; texts are
     their UTF-8 bytes, matches never cross texts and are judged on the input. A null text is empty; repeated
-    rows are documents of their own. Returns ord, doc_id, n_bytes, n_removed, removed (start, end), kept.
+    rows are documents of their own. Returns ord, doc_id, n_bytes, n_removed, removed (start, end), kept: bytes, or with decode the text, in which a character that is cut goes as a whole.
     """
     rows = keyed(docs, id_col, text_col)
     spans, _ = repeated_spans(rows, size, bucket_rows, hot_rows)
-    schema = "ord long, doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary"
+    schema = "ord long, doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept " + ("string" if decode else "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,9 +405,9 @@ def remove_repeats(docs: DataFrame, size: int = 100, bucket_rows: int = 400_000,
                     own = data[at[i] : at[i + 1]]
                     marks = np.zeros(0, dtype=np.int64) if not places.is_valid else places.values.to_numpy()
                     kept, n, removed = kept_text(own, marks, size)
-                    out.append((len(own), n, [{"start": a, "end": b} for a, b in removed], kept))
+                    out.append((len(own), n, [{"start": a, "end": b} for a, b in removed], kept.decode("utf-8", "ignore") if decode else kept))
                 n_bytes, n_removed, removed, kept = zip(*out, strict=True)
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["ord", "doc_id", "n_bytes", "n_removed", "removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.string() if decode else pa.binary())], names=["ord", "doc_id", "n_bytes", "n_removed", "removed", "kept"])
 
     return rows.select("ord", "doc_id", "text").join(spans, "ord", "left").mapInArrow(run, schema)
