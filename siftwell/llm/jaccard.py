@@ -3,12 +3,13 @@
 Documents with the same set are one class. A class's shingles are ordered by rarity, as a count sketch of
 fixed size over the whole corpus has it, then by hash. If two sets of similarity t or more have n shingles
 at the most, the first n - ceil(t n) + l shingles of each share at least l. Each class chooses its l by
-what its plain prefix would cost, as the sketch estimates it: a costly one takes a longer prefix and asks for
-as many shared shingles before a pair is verified.
+what its plain prefix would cost, as the sketch estimates it: from an eighth of its set up to a quarter, so a
+costly one takes a longer prefix and asks for as many more shared shingles before a pair is verified.
 
 Only components are wanted, so pairs already connected are never verified: first each class tries its
-neighbours in the lists of its prefix shingles, then others drawn by hash, and only lists that still hold
-several components are searched in full, the members outside the list's main component against the others.
+neighbours in the lists of its prefix shingles (the two that it meets most often), then others drawn by hash,
+and only lists that still hold several components are searched in full, the members outside the list's main
+component against the others.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, discard, free_shuffles, hash_runs, hash_windows, keyed, mix, pieces, text_bytes, words, written
+from .common import LOWER, binary_list, discard, free_shuffles, hash_runs, hash_windows, keyed, mix, pieces, text_bytes, words, written
 from .components import components
 
 _SKETCH, _SLICES = 1 << 20, 64
@@ -124,14 +125,14 @@ def prefix_lists(rows: DataFrame, sketch: np.ndarray, width: int, percent: int)
                 least = -(-percent * counts // 100)
                 plain = counts - least + 1
                 inside = rank < plain[row]
-                excess = np.maximum(counters[cell].astype(np.float64) - 2 * mean - 4, 0)
+                excess = np.maximum(counters[cell].astype(np.float64) - mean - 2 * mean**0.5, 0)
                 cost = np.bincount(row[inside], weights=excess[inside], minlength=len(counts)) / np.maximum(plain, 1)
-                need = np.clip(1 + np.floor(np.log10(1 + cost)).astype(np.int64), 1, np.minimum(4, np.maximum(least, 1)))
+                need = np.clip(1 + np.floor(counts / 8 * (1 + np.minimum(np.log10(1 + cost), 1))).astype(np.int64), 1, np.maximum(least, 1))
                 new = np.array([x not in done and not done.add(x) for x in h.tolist()], dtype=bool) & (counts > 0)
                 keep = (rank < (plain + need - 1)[row]) & new[row]
                 r = row[keep]
                 level = np.maximum(rank[keep] - plain[r] + 2, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(h[r].view(np.int64)), pa.array(counts[r] << 16 | level << 8 | need[r])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(h[r].view(np.int64)), pa.array(counts[r] << 40 | level << 20 | need[r])], names=names)
 
     def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows, sorted by (token, h), whose token another h has too; each once."""
@@ -155,7 +156,7 @@ def prefix_lists(rows: DataFrame, sketch: np.ndarray, width: int, percent: int)
     schema = "token long, h long, packed long"
     found = rows.select("ord", "text").mapInArrow(emit, schema).repartition("token").sortWithinPartitions("token", "h").mapInArrow(shared_only, schema)
     bits = lambda shift, width_: F.shiftright("packed", shift).bitwiseAND(F.lit(width_))
-    return found.select("token", "h", F.shiftright("packed", 16).alias("n"), bits(8, 255).alias("level"), bits(0, 255).alias("need"))
+    return found.select("token", "h", F.shiftright("packed", 40).alias("n"), bits(20, (1 << 20) - 1).alias("level"), bits(0, (1 << 20) - 1).alias("need"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,6 +175,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return one.join(sets.select(F.col("h").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def _sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """(h, s): the sorted shingle hashes of every class in pairs, from one of its texts; and the path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                values, counts = shingle_sets(part.column(1), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), binary_list(values, counts)], names=["h", "s"])
+
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct().join(classes, "h").select("ord", "h")
+    found = written(rows.select("ord", "text").join(wanted, "ord").select("h", "text").mapInArrow(run, "h long, s binary"), "shingle-sets")
+    free_shuffles(rows.sparkSession)
+    return found
+
+
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(ord, doc_id, n_shingles, component_id) for each row: the least doc_id that links reach, itself included.
 
@@ -188,27 +204,16 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     lists, lists_path = written(prefix_lists(rows, _sketch(survey), width, percent), "prefix-lists")
     free_shuffles(spark)
     classes = texts.where("n > 0").groupBy("h").agg(F.min("ord").alias("ord"), F.min("doc_id").alias("least_id"))
-    wanted = lists.select("h").distinct().join(classes, "h").select("ord", "h")
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                values, counts = shingle_sets(part.column(1), width)
-                at = np.concatenate([[0], np.cumsum(counts)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["h", "s"])
-
-    sets, sets_path = written(rows.select("ord", "text").join(wanted, "ord").select("h", "text").mapInArrow(to_sets, "h long, s binary"), "shingle-sets")
-    free_shuffles(spark)
     label, paths = lists.select("h").distinct().withColumn("root", F.col("h")), []
     for trial in range(3):
         known = lists.join(label, "h")
         if trial < 2:
             order = ["n", "h"] if not trial else [F.xxhash64("h", F.lit(trial))]
             seen = Window.partitionBy("token").orderBy(*order)
-            near = known.select("token", "h", "n", "root", *[F.lead(F.struct("h", "n", "root"), k).over(seen).alias(f"x{k}") for k in (1, 2, 3)])
-            tried = near.select("h", "n", "root", F.explode(F.array("x1", "x2", "x3")).alias("x")).where("x is not null")
-            pairs = tried.select("h", "n", "root", F.col("x.h").alias("g"), F.col("x.n").alias("m"), F.col("x.root").alias("other"))
-            pairs = pairs.where((F.col("root") != F.col("other")) & _sizes("n", "m", percent)).select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
+            near = known.select("h", "n", "need", "root", F.lead(F.struct("h", "n", "need", "root")).over(seen).alias("x")).where("x is not null")
+            pairs = near.where((F.col("root") != F.col("x.root")) & _sizes("n", "x.n", percent)).select(F.least("h", "x.h").alias("a"), F.greatest("h", "x.h").alias("b"), F.least("need", "x.need").alias("need"))
+            met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c > 1 and 8 * c >= need")
+            pairs = met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where("k <= 2").select("a", "b")
         else:
             sizes = known.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
             main = sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "main")
@@ -218,18 +223,20 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
             need = F.least("need", "need_")
             matched = both.where((F.col("level") <= need) & (F.col("level_") <= need)).select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b"), need.alias("need"))
             pairs = matched.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
+        pairs, pairs_path = written(pairs, "pairs")
+        sets, sets_path = _sets(rows, classes, pairs, width)
         found = _verified(pairs, sets, percent)
         of = lambda side: label.select(F.col("h").alias(side), F.col("root").alias(f"r{side}"))
         edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         roots, roots_path = components(edges)
         free_shuffles(spark)
         label, path = written(label.join(roots, label["root"] == roots["node"], "left").select("h", F.coalesce(roots["root"], label["root"]).alias("root")), "labels")
-        discard(spark, roots_path, *paths)
+        discard(spark, roots_path, pairs_path, sets_path, *paths)
         paths = [path]
     named = classes.join(label, "h", "left").select("h", F.coalesce("root", "h").alias("root"), "least_id")
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named, _ = written(named.join(least, "root").select("h", "component_id"), "components")
-    discard(spark, sets_path, lists_path)
+    discard(spark, lists_path)
     return texts.join(named, "h", "left").select("ord", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
