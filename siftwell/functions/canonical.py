@@ -85,7 +85,8 @@ def resolve(value: object, pointer: str, default: object = _MISSING) -> object:
 
 def present(value: object, pointer: str) -> bool:
     """Whether pointer leads anywhere; null counts as something."""
-    return resolve(value, pointer, _MISSING) is not _MISSING
+    nowhere = object()
+    return resolve(value, pointer, nowhere) is not nowhere
 
 
 def scalar_id(value: object) -> str:

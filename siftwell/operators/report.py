@@ -25,7 +25,7 @@ def view_schema(rows: str) -> T.StructType:
 
 #: Calls of the row-expression dialect and what Spark calls them.
 FUNCTIONS = {"regexp_matches": "regexp_like", "starts_with": "startswith", "ends_with": "endswith", "strlen": "octet_length", "list_contains": "array_contains", "list_filter": "filter", "len": "size", "json_keys": "json_object_keys", "json_extract_string": "get_json_object"}
-_TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/|->>|->|::|[A-Za-z_][A-Za-z_0-9]*|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|\s+|.", re.S)
+_TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/|->>|->|::|<=>|<>|>=|<=|!=|==|\|\||=>|[A-Za-z_][A-Za-z_0-9]*|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|\s+|.", re.S)
 _FORBIDDEN = {"select": "subqueries", "over": "window functions", "explode": "generators", "posexplode": "generators", "inline": "generators", "stack": "generators", "limit": "a limit", "union": "set operations", "rand": "random functions", "random": "random functions", "randn": "random functions", "uuid": "random functions", "shuffle": "random functions"}
 
 
