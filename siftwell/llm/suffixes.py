@@ -302,9 +302,10 @@ def compare(rows: DataFrame, sample: DataFrame, share: float, bucket_rows: int,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=[*columns, "bucket"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
+        table = pa.Table.from_batches(held)
         values = [table.column(i).to_numpy() for i in (4, 0, 1, 2, 3)]
         order = multikey_order(values)
         b, key, cover, ords, place = (v[order] for v in values)

@@ -149,11 +149,9 @@ def longest(found: list[dict], least: int) -> tuple[int, bool] | None:
         equal = True
         while j < len(found) and (j == i or found[j]["place"] <= found[j - 1]["place"] + 1):
             pairs = {(a, b) for a, b in zip(found[j]["values"], found[j]["item_values"], strict=True) if a or b}
-            if any(there.get(b, a) != a or back.get(a, b) != b for a, b in pairs):
+            if any(there.setdefault(b, a) != a or back.setdefault(a, b) != b for a, b in pairs):
                 break
-            for a, b in pairs:
-                there[b], back[a] = a, b
-                equal = equal and a == b
+            equal = equal and all(a == b for a, b in pairs)
             end = max(end, found[j]["place"] + found[j]["width"])
             j += 1
         size = end - found[i]["place"]
