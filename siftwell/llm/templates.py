@@ -154,7 +154,7 @@ def longest(found: list[dict], least: int) -> tuple[int, bool] | None:
             equal = equal and all(a == b for a, b in pairs)
             end = max(end, found[j]["place"] + found[j]["width"])
             j += 1
-        size = end - found[i]["place"]
+        size = end - found[i]["place"] if j > i else 0
         if size >= least and (best is None or (size, equal) > best):
             best = (size, equal)
         i = max(j, i + 1)
