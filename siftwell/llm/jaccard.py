@@ -6,9 +6,8 @@ at the most, the first n - ceil(t n) + l shingles of each share at least l. Each
 what its plain prefix would cost, as the sketch estimates it: from an eighth of its set up to a quarter, so a
 costly one takes a longer prefix and asks for as many more shared shingles before a pair is verified.
 
-Only components are wanted, so pairs already connected are never verified: first each class tries its
-neighbours in the lists of its prefix shingles (the two that it meets most often), then others drawn by hash,
-and only lists that still hold several components are searched in full, the members outside the list's main
+Only components are wanted, so pairs already connected are never verified: first each class tries the hubs of
+its prefix shingles' lists (the two that it meets most often), then neighbours drawn by hash, and only lists that still hold several components are searched in full, the members outside the list's main
 component against the others.
 """
 
@@ -205,15 +204,21 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     free_shuffles(spark)
     classes = texts.where("n > 0").groupBy("h").agg(F.min("ord").alias("ord"), F.min("doc_id").alias("least_id"))
     label, paths = lists.select("h").distinct().withColumn("root", F.col("h")), []
-    for trial in range(3):
+    for trial in range(4):
         known = lists.join(label, "h")
-        if trial < 2:
-            order = ["n", "h"] if not trial else [F.xxhash64("h", F.lit(trial))]
-            seen = Window.partitionBy("token").orderBy(*order)
-            near = known.select("h", "n", "need", "root", F.lead(F.struct("h", "n", "need", "root")).over(seen).alias("x")).where("x is not null")
-            pairs = near.where((F.col("root") != F.col("x.root")) & _sizes("n", "x.n", percent)).select(F.least("h", "x.h").alias("a"), F.greatest("h", "x.h").alias("b"), F.least("need", "x.need").alias("need"))
-            met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c > 1 and 8 * c >= need")
-            pairs = met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where("k <= 2").select("a", "b")
+        if trial < 3:
+            if not trial:
+                # a class that many lists share is likely what the others were copied from
+                weight = known.join(known.groupBy("token").agg(F.count(F.lit(1)).alias("g")), "token").groupBy("h").agg(F.sum("g").alias("g"))
+                hub = known.join(weight, "h").groupBy("token").agg(F.max_by(F.struct("h", "n", "need", "root"), F.struct("g", "h")).alias("x"))
+                near = known.join(hub, "token")
+            else:
+                seen = Window.partitionBy("token").orderBy(F.xxhash64("h", F.lit(trial)))
+                near = known.select("h", "n", "need", "root", F.lead(F.struct("h", "n", "need", "root")).over(seen).alias("x")).where("x is not null")
+            pairs = near.where((F.col("root") != F.col("x.root")) & _sizes("n", "x.n", percent)).select("h", F.col("x.h").alias("other"), F.least("need", "x.need").alias("need"))
+            met = pairs.groupBy("h", "other").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c > 1 and 8 * c >= need")
+            best = met.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("c"), "other"))).where("k <= 2")
+            pairs = best.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
         else:
             sizes = known.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
             main = sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "main")
