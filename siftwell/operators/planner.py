@@ -13,9 +13,9 @@ from ..functions.canonical import canonical, request_key, resolve, tokens_of
 from ..sources.readers import Entry
 from .config import Config
 
-#: Limits of a request, in estimated tokens: greatest and default budgets, greatest context.
+#: Fixed values. Limits of a request, in estimated tokens: greatest and default budgets, greatest context, entries.
 MAX_TOKENS, DEFAULT_TOKENS, MAX_CONTEXT, AUTO_SIZE = 64_000, 48_000, 32_000, 64
-#: What a shared request must save over two single ones: so many tokens, and this part.
+#: Fixed values. What a shared request must save over two single ones: so many tokens, and this part.
 SAVE_TOKENS, SAVE_PART = 256, 0.10
 QUESTION = "Which label fits the value of this field best?"
 

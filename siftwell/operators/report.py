@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Columns of the two views, in order; the texts of JSON columns are canonical JSON.
+#: Fixed values. Columns of the two views, in order; the texts of JSON columns are canonical JSON.
 COMMON = [("id", "string"), ("source", "string"), ("label", "string"), ("score", "double"), ("confidence", "double"), ("warning", "boolean"), ("model", "string"), ("assessed_at", "string"), ("request_hash", "string"), ("cached", "boolean"), ("absent", "string"), ("usage", "string")]
 ENTRY_VIEW = [*COMMON, ("fields", "string")]
 FIELD_VIEW = [*COMMON, ("path", "string"), ("value", "string"), ("probabilities", "string"), ("entry_label", "string"), ("entry_score", "double"), ("entry_confidence", "double"), ("entry_warning", "boolean")]
