@@ -34,11 +34,40 @@ MAGIC = b"SWRP\x01\0\0\0"
 NULL_ID = -(1 << 63)
 
 
-def compress(ids: np.ndarray, base: int, least: int = 6, rounds: int = 24, most: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+def _slot(key: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    return (key.view(np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[turn]) >> np.uint64(64 - bits)).view(np.int64)
+
+
+class _Chosen:
+    """Look-up of pairs in two hashed tables; a pair that finds both its slots taken waits for another round."""
+
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, bits: int = 17):
+        self.bits, self.tables, kept = bits, [], np.zeros(len(pairs), dtype=bool)
+        left = np.argsort(-counts, kind="stable")
+        for turn in (0, 1):
+            slot, first = np.unique(_slot(pairs[left], bits, turn), return_index=True)
+            table = np.full(1 << bits, -1, dtype=np.int32)
+            table[slot] = left[first]
+            kept[left[first]] = True
+            left = np.delete(left, first)
+            self.tables.append(table)
+        self.pairs = np.append(pairs, -1)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Each key's place among the pairs, or -1."""
+        at = self.tables[0][_slot(key, self.bits, 0)]
+        miss = np.flatnonzero(self.pairs[at] != key)
+        other = self.tables[1][_slot(key[miss], self.bits, 1)]
+        at[miss] = np.where(self.pairs[other] == key[miss], other, -1)
+        return at
+
+
+def compress(ids: np.ndarray, base: int, least: int = 6, rounds: int = 12, most: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """Rules (n, 2) and the remaining sequence. Rule i is symbol base + i.
 
-    Each round replaces the pairs that occur at least `least` times and an eighth as often as the most
+    Each round replaces the pairs that occur at least `least` times and about an eighth as often as the most
     frequent one, at most `most` of them; where chosen pairs overlap, every second one from the left goes.
+    Pairs are counted exactly, but only those in cells of a hashed count that can hold a frequent one.
     """
     now = ids.astype(np.int64)
     rules: list[np.ndarray] = []
@@ -47,19 +76,23 @@ def compress(ids: np.ndarray, base: int, least: int = 6, rounds: int = 24, most:
         if len(now) < 2:
             break
         key = now[:-1] << 32 | now[1:]
-        pairs, counts = np.unique(key, return_counts=True)
-        bar = max(least, int(counts.max()) // 8)
+        cell = _slot(key, 20, 0)
+        cells = np.bincount(cell, minlength=1 << 20)
+        bar = max(least, int(cells.max()) // 8)
+        pairs, counts = np.unique(key[cells[cell] >= bar], return_counts=True)
+        if len(counts) and counts.max() < bar:
+            bar = max(least, int(counts.max()) // 8)
         good = np.flatnonzero(counts >= bar)
         if not len(good):
             break
         if len(good) > most:
             good = np.sort(good[np.argsort(-counts[good], kind="stable")[:most]])
         chosen = pairs[good]
-        at = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        match = np.flatnonzero(chosen[at] == key)
-        run = np.cumsum(np.append(True, np.diff(match) > 1)) - 1
-        begin = match[np.append(True, np.diff(match) > 1)]
-        match = match[(match - begin[run]) % 2 == 0]
+        at = _Chosen(chosen, counts[good]).find(key)
+        match = np.flatnonzero(at >= 0)
+        new_run = np.append(True, np.diff(match) > 1)
+        begin = match[new_run]
+        match = match[(match - begin[np.cumsum(new_run) - 1]) % 2 == 0]
         used = np.bincount(at[match], minlength=len(chosen))
         kept = used >= 3
         if not kept.any():
