@@ -143,19 +143,25 @@ def longest(found: list[dict], least: int) -> tuple[int, bool] | None:
     best = None
     i = 0
     while i < len(found):
-        j, end = i, found[i]["place"] + found[i]["width"]
-        there: dict[int, int] = {}
-        back: dict[int, int] = {}
-        equal = True
+        j, begin, pairs = i, found[i]["place"], []
         while j < len(found) and (j == i or found[j]["place"] <= found[j - 1]["place"] + 1):
-            pairs = {(a, b) for a, b in zip(found[j]["values"], found[j]["item_values"], strict=True) if a or b}
-            if any(there.setdefault(b, a) != a or back.setdefault(a, b) != b for a, b in pairs):
-                break
-            equal = equal and all(a == b for a, b in pairs)
-            end = max(end, found[j]["place"] + found[j]["width"])
+            at = found[j]["place"] - begin
+            pairs += [(0, 0)] * (at + found[j]["width"] - len(pairs))
+            pairs[at : at + len(found[j]["values"])] = zip(found[j]["values"], found[j]["item_values"], strict=True)
             j += 1
-        size = end - found[i]["place"] if j > i else 0
-        if size >= least and (best is None or (size, equal) > best):
-            best = (size, equal)
-        i = max(j, i + 1)
+        there: dict[int, tuple[int, int]] = {}  # where a value stood last, and for which
+        back: dict[int, tuple[int, int]] = {}
+        lo, other = 0, [0]
+        for k, (a, b) in enumerate(pairs):
+            if a or b:
+                for seen, value, partner in ((there, b, a), (back, a, b)):
+                    at, was = seen.get(value, (-1, partner))
+                    if was != partner:
+                        lo = max(lo, at + 1)
+                    seen[value] = (k, partner)
+            other.append(other[-1] + (a != b))
+            size, unequal = k + 1 - lo, other[k + 1] - other[lo]
+            if size >= least and (best is None or (size, not unequal) > best):
+                best = (size, not unequal)
+        i = j
     return best

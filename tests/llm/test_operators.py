@@ -174,6 +174,14 @@ def test_slots_must_agree():
     assert longest([row(0, [1, 0, 2], [5, 0, 5])], 8) is None
 
 
+def test_stretch_starts_behind_the_slot_that_conflicts():
+    from siftwell.llm.templates import longest
+
+    own, item = [9] + [0] * 11 + [7] + [0] * 4, [5] + [0] * 11 + [5] + [0] * 4
+    found = [{"place": i, "width": 8, "values": own[i : i + 8], "item_values": item[i : i + 8]} for i in range(10)]
+    assert longest(found, 13) == (16, False)
+
+
 def test_fingerprints(any_docs, none):
     from siftwell.llm.cws import fingerprints
 
