@@ -61,14 +61,13 @@ def _slots(token: np.ndarray) -> np.ndarray:
 
 
 def windows(token: np.ndarray, h: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and place of the windows of which at least half the tokens are words."""
+    """Hash, text and place of all windows within a text."""
     n = len(token) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     text = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts)
-    slots = np.concatenate([[0], np.cumsum(_slots(token))])
-    ok = np.flatnonzero((text[:n] == text[width - 1 :]) & (2 * (slots[width:] - slots[:-width]) <= width))
+    ok = np.flatnonzero(text[:n] == text[width - 1 :])
     return hash_windows(token, width)[ok] ^ np.uint64(width), text[ok], place[ok]
 
 
@@ -104,7 +103,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_to
 
     A match is a stretch of template tokens that document and item share, made of `width`-token windows in a
     row: at least least_tokens tokens, or the whole of a shorter item (of least_item tokens or more), with
-    consistent slots. n_tokens is the longest match's length; verbatim says that all its slots are equal.
+    consistent slots. Slots of other values say nothing by themselves, so as many tokens of the stretch as half
+    a window has (or half a shorter item) must be the same words, numbers, units or names. n_tokens is the longest match's length; verbatim says that all its slots are equal.
     Null and empty texts match nothing; repeated rows are rows of their own. Item windows are sent to all
     executors only up to broadcast_windows of them (8 bytes each); beyond, windows are joined by a shuffle.
     """
@@ -121,12 +121,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_to
     item = bench.select("window", "item_id", F.col("place").alias("item_place"), F.col("n_tokens").alias("item_tokens"), F.col("values").alias("item_values"))
     hits = found.join(item, "window").select("ord", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "place", "width", "item_tokens", "values", "item_values")
     grouped = hits.groupBy("ord", "item_id", "shift", "item_tokens").agg(F.collect_list(F.struct("place", "width", "values", "item_values")).alias("w"))
+    # fewer windows than that can't make a stretch that is long enough
+    grouped = grouped.where(F.size("w") > F.least(F.lit(least_tokens), "item_tokens") - F.least(F.lit(width), "item_tokens"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for ord_, item_, size, found_ in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                best = longest(found_, min(least_tokens, size))
+                best = longest(found_, min(least_tokens, size), (min(width, size) + 1) // 2)
                 if best:
                     out.append((ord_, item_, *best))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -137,8 +139,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_to
     return best.join(rows.select("ord", "doc_id"), "ord").select("ord", "doc_id", "item_id", "m.n_tokens", "m.verbatim")
 
 
-def longest(found: list[dict], least: int) -> tuple[int, bool] | None:
-    """Length of the longest stretch of windows in a row with consistent slots, and whether its slots are equal."""
+def longest(found: list[dict], least: int, same: int = 0) -> tuple[int, bool] | None:
+    """Length of the longest stretch of windows in a row with consistent slots, and whether its slots are equal.
+
+    At least `same` of its tokens must be words or equal slots.
+    """
     found = sorted(found, key=lambda x: (x["place"], x["width"]))
     best = None
     i = 0
@@ -161,7 +166,7 @@ def longest(found: list[dict], least: int) -> tuple[int, bool] | None:
                     seen[value] = (k, partner)
             other.append(other[-1] + (a != b))
             size, unequal = k + 1 - lo, other[k + 1] - other[lo]
-            if size >= least and (best is None or (size, not unequal) > best):
+            if size >= least and size - unequal >= same and (best is None or (size, not unequal) > best):
                 best = (size, not unequal)
         i = j
     return best

@@ -174,6 +174,27 @@ def test_slots_must_agree():
     assert longest([row(0, [1, 0, 2], [5, 0, 5])], 8) is None
 
 
+def test_templates_dense_in_slots(spark):
+    from siftwell.llm.templates import contaminated
+
+    dense = "Anna bought 3 kg rice, Bob bought 5 kg beans, Carl bought 7 kg oats and Dora bought 2 kg salt."
+    title = "The Seven Oldest Bridges Of Northern Europe And The People Who Built Them By Hand"
+    numbers = "3 9 27 81 243 729 2187 6561 19683 59049 177147 531441 1594323 4782969"
+    bench = spark.createDataFrame([(1, dense), (2, title), (3, numbers), (4, "Paris London Rome Berlin")], "item_id long, text string")
+    rows = [
+        (1, f"Some words. {dense} More words."),
+        (2, "Anna bought 8 lb rice, Emil bought 6 lb beans, Fritz bought 4 lb oats and Gerd bought 9 lb salt."),
+        (3, f"Read this. {title} and so on"),
+        (4, f"the powers {numbers} end"),
+        (5, "The Best Hotels In Southern Asia For Families That Travel With Small Children Every Single Year"),
+        (6, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20"),
+        (7, "Here: Paris London Rome Berlin. Then: Oslo Madrid Vienna Prague."),
+        (8, "Oslo Madrid Vienna Prague"),
+    ]
+    found = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert {(r["doc_id"], r["item_id"], r["n_tokens"], r["verbatim"]) for r in found.collect()} == {(1, 1, 21, True), (2, 1, 21, False), (3, 2, 15, True), (4, 3, 14, True), (7, 4, 4, True)}
+
+
 def test_stretch_starts_behind_the_slot_that_conflicts():
     from siftwell.llm.templates import longest
 
