@@ -56,7 +56,7 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spans import remove_spans
 
-    return remove_spans(_documents(spark, sf_dir)).select("doc_id", "n_sentences", "n_removed", "n_spans", "kept")
+    return remove_spans(_documents(spark, sf_dir), passages=True).select("doc_id", "n_sentences", "n_removed", "n_spans", "kept")
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

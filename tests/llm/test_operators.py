@@ -288,6 +288,36 @@ def test_spans(any_docs, none):
     assert any(r["n_removed"] for r in found) and remove_spans(none).count() == 0
 
 
+def test_passages(spark, any_docs, none, tmp_path):
+    import random
+
+    from siftwell.llm.queries import op7_spans
+    from siftwell.llm.spans import remove_spans
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ba", "ke", "lo", "mi", "tu", "sch", "th", "er"]) for _ in range(5))
+    some = lambda n: " ".join(word() for _ in range(n))
+    verse = "\n".join(some(4) for _ in range(15))
+    long = some(60)
+    middle = f"{some(24)}. {some(9)}. {some(24)}"
+    texts = [verse, f"{some(5)}.\n{verse}\n{some(5)}.", f"{long}.", f"{some(20)} {long} {some(20)}.", f"{some(8)} {middle} {some(8)}.", f"{some(15)} {middle} {some(3)}.", f"{some(300)}. {some(4)}.", "a " * 200]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in op7_spans(spark, str(tmp_path)).collect()}
+    assert found[1]["n_removed"] == 15 and not set(verse.split()) & set(found[1]["kept"].split())
+    for i, passage, around in ((3, long, 40), (5, middle, 18)):
+        kept = found[i]["kept"].split()
+        own = set(texts[i].split()) - set(passage.split())
+        assert len(set(kept) & set(passage.split())) <= 30 and len(kept) < around + 30 and len(own & set(kept)) >= around - 2
+    assert all(found[i]["kept"] == texts[i] and found[i]["n_removed"] == 0 for i in (0, 2, 4, 6))
+    assert len(found[7]["kept"].split()) < 24
+    # all that is removed without passages is removed with them, too
+    key = lambda r: (r["ord"], r["doc_id"])
+    with_, without = ({key(r): r["kept"] for r in remove_spans(any_docs, bucket_rows=40, passages=p).collect()} for p in (True, False))
+    assert with_.keys() == without.keys() and all(len(with_[k]) <= len(without[k]) for k in with_)
+    assert remove_spans(none, passages=True).count() == 0
+
+
 def brute_bytes(texts, size):
     seen, out = set(), []
     for d, t in texts:
