@@ -27,83 +27,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pieces, shared_dir, spread
+from .common import mix, pieces, shared_dir, spread
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"SWRP\x01\0\0\0"
 NULL_ID = -(1 << 63)
 
 
-def _slot(key: np.ndarray, bits: int, turn: int) -> np.ndarray:
-    return (key.view(np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[turn]) >> np.uint64(64 - bits)).view(np.int64)
+def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (n, 2) and the remaining sequence, in which no pair occurs twice. Rule i is symbol base + i.
 
-
-class _Chosen:
-    """Look-up of pairs in two hashed tables; a pair that finds both its slots taken waits for another round."""
-
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, bits: int = 17):
-        self.bits, self.tables, kept = bits, [], np.zeros(len(pairs), dtype=bool)
-        left = np.argsort(-counts, kind="stable")
-        for turn in (0, 1):
-            slot, first = np.unique(_slot(pairs[left], bits, turn), return_index=True)
-            table = np.full(1 << bits, -1, dtype=np.int32)
-            table[slot] = left[first]
-            kept[left[first]] = True
-            left = np.delete(left, first)
-            self.tables.append(table)
-        self.pairs = np.append(pairs, -1)
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Each key's place among the pairs, or -1."""
-        at = self.tables[0][_slot(key, self.bits, 0)]
-        miss = np.flatnonzero(self.pairs[at] != key)
-        other = self.tables[1][_slot(key[miss], self.bits, 1)]
-        at[miss] = np.where(self.pairs[other] == key[miss], other, -1)
-        return at
-
-
-def compress(ids: np.ndarray, base: int, least: int = 6, rounds: int = 12, most: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (n, 2) and the remaining sequence. Rule i is symbol base + i.
-
-    Each round replaces the pairs that occur at least `least` times and about an eighth as often as the most
-    frequent one, at most `most` of them; where chosen pairs overlap, every second one from the left goes.
-    Pairs are counted exactly, but only those in cells of a hashed count that can hold a frequent one.
+    Each round replaces the pairs that occur about an eighth as often as the most frequent one; where chosen
+    pairs overlap, the more frequent one goes first, and a pair left with one place waits for another round.
+    Pairs are counted exactly. A pair of given symbols never becomes more frequent, as new pairs hold a new
+    symbol; so one that is found once isn't looked at again.
     """
     now = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     fresh = base
-    for _ in range(rounds):
-        if len(now) < 2:
-            break
-        key = now[:-1] << 32 | now[1:]
-        cell = _slot(key, 20, 0)
-        cells = np.bincount(cell, minlength=1 << 20)
-        bar = max(least, int(cells.max()) // 8)
-        pairs, counts = np.unique(key[cells[cell] >= bar], return_counts=True)
-        if len(counts) and counts.max() < bar:
-            bar = max(least, int(counts.max()) // 8)
-        good = np.flatnonzero(counts >= bar)
-        if not len(good):
-            break
-        if len(good) > most:
-            good = np.sort(good[np.argsort(-counts[good], kind="stable")[:most]])
-        chosen = pairs[good]
-        at = _Chosen(chosen, counts[good]).find(key)
-        match = np.flatnonzero(at >= 0)
-        new_run = np.append(True, np.diff(match) > 1)
-        begin = match[new_run]
-        match = match[(match - begin[np.cumsum(new_run) - 1]) % 2 == 0]
-        used = np.bincount(at[match], minlength=len(chosen))
-        kept = used >= 3
-        if not kept.any():
+    live = np.ones(len(now), dtype=bool)  # places whose pair may occur twice
+    while True:
+        at = np.flatnonzero(live[:-1])
+        key = now[at] << 32 | now[at + 1]
+        # of a symbol's run, every second place from the left
+        twin = np.flatnonzero((key[1:] == key[:-1]) & (np.diff(at) == 1)) + 1
+        use = np.ones(len(at), dtype=bool)
+        if len(twin):
+            head = np.append(True, np.diff(twin) > 1)
+            use[twin[(twin - twin[head][np.cumsum(head) - 1]) % 2 == 0]] = False
+        # pairs whose cell of a hashed count stays below 2 occur once
+        cell = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).view(np.int64)
+        cells = np.bincount(cell[use], minlength=1 << 22) if len(at) > 1 << 20 else None
+        if cells is not None:
+            stay = cells[cell] > 1
+            live[at[~stay]] = False
+            at, key, use, cell = at[stay], key[stay], use[stay], cell[stay]
+            bar = max(2, int(cells.max(initial=0)) // 8) if stay.any() else 2
+            some = np.flatnonzero(use & (cells[cell] >= bar))
+        else:
+            bar, some = 2, np.flatnonzero(use)
+        pairs, which, counts = np.unique(key[some], return_inverse=True, return_counts=True)
+        if bar > 2 and counts.max(initial=0) < 2:  # cells full of pairs that occur once
+            bar, some = 2, np.flatnonzero(use)
+            pairs, which, counts = np.unique(key[some], return_inverse=True, return_counts=True)
+        if bar == 2:
+            known = np.searchsorted(pairs, key)
+            live[at[counts[known] < 2]] = False
+        if not len(counts) or counts.max() < 2:
             break
-        match = match[kept[at[match]]]
-        symbol = np.cumsum(kept) - 1 + fresh
-        now[match] = symbol[at[match]]
+        bar = max(2, int(counts.max()) // 8)
+        order = np.lexsort((mix(pairs.view(np.uint64)), counts))
+        rank = np.empty(len(pairs), dtype=np.int64)
+        rank[order] = np.arange(1, len(pairs) + 1)
+        mine = np.flatnonzero(counts[which] >= bar)
+        place, which = at[some[mine]], which[mine]
+        own = rank[which]
+        next_ = np.diff(place) == 1
+        win = np.ones(len(place), dtype=bool)
+        win[:-1] &= ~next_ | (own[:-1] > own[1:])
+        win[1:] &= ~next_ | (own[1:] > own[:-1])
+        used = np.bincount(which[win], minlength=len(pairs))
+        kept = used >= 2  # the first in rank keeps all its places
+        win &= kept[which]
+        place, which = place[win], which[win]
+        now[place] = (np.cumsum(kept) - 1 + fresh)[which]
+        live[place] = True
         stay = np.ones(len(now), dtype=bool)
-        stay[match + 1] = False
-        now = now[stay]
-        rules.append(np.column_stack([chosen[kept] >> 32, chosen[kept] & 0xFFFFFFFF]))
+        stay[place + 1] = False
+        now, live = now[stay], live[stay]
+        # the place before a new symbol pairs with it
+        fresh_at = np.flatnonzero(now >= fresh)
+        live[np.maximum(fresh_at - 1, 0)] = True
+        rules.append(np.column_stack([pairs[kept] >> 32, pairs[kept] & 0xFFFFFFFF]))
         fresh += int(np.count_nonzero(kept))
     return np.vstack(rules) if rules else np.zeros((0, 2), dtype=np.int64), now
 

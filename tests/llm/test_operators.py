@@ -145,6 +145,22 @@ def test_repair(any_docs, none):
         Shard(b"x" * 60)
 
 
+def test_repair_leaves_no_pair_that_occurs_twice():
+    from siftwell.llm.repair import Shard, compress, encode_shard
+
+    rng = np.random.default_rng(4)
+    twice = rng.integers(0, 60_000, 400)
+    cases = [np.concatenate([twice, rng.integers(0, 60_000, 900), twice]), rng.integers(0, 5, 3000), np.zeros(1001, int), np.tile([1, 2, 3], 7), np.array([7, 7, 7]), np.zeros(0, int), np.concatenate([np.tile(rng.integers(0, 99, 60), 9), rng.integers(0, 9, 500)]), rng.zipf(1.3, 1_500_000) % 60_000]
+    for ids in cases:
+        _, rest = compress(ids, 65_536)
+        last: dict[tuple[int, int], int] = {}
+        for i, pair in enumerate(zip(rest.tolist(), rest[1:].tolist(), strict=False)):
+            assert i - last.setdefault(pair, i) < 2
+        shard = Shard(encode_shard(ids, np.arange(1), np.array([len(ids)]), 65_536))
+        assert np.array_equal(shard.ids(0, len(ids)), ids)
+    assert len(compress(cases[0], 65_536)[1]) < 905
+
+
 def test_templates(spark, docs, odd, none):
     from siftwell.llm.templates import contaminated
 
