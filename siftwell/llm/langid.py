@@ -29,18 +29,57 @@ def _grams(data: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
     out, code = [], np.zeros(len(data), dtype=np.int64)
     for k in range(order):
         shifted = np.zeros(len(data), dtype=np.int64)
-        shifted[k:] = data[: len(data) - k]
+        if k < len(data):
+            shifted[k:] = data[: len(data) - k]
         code = code | (shifted << (8 * k))
         out.append(np.where(into >= k, code, 0))
     return out
 
 
+class Children:
+    """The nodes one byte longer than given ones: an open hash table at most half full, searched in bulk.
+
+    It takes 24 to 48 bytes a node, however the bytes spread.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(1, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.nodes = np.zeros(1 << self.bits, dtype=np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            at, who = np.unique(np.where(free, slot, -1), return_index=True)
+            who = who[at >= 0]
+            self.keys[slot[who]] = keys[left[who]]
+            self.nodes[slot[who]] = left[who] + 1
+            stay = np.ones(len(left), dtype=bool)
+            stay[who] = False
+            left, slot = left[stay], (slot[stay] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The node of each key (a node * 256 + a byte), or 0."""
+        out = np.zeros(len(keys), dtype=np.int32)
+        slot, left = self._slot(keys), None
+        while len(slot):
+            held = self.keys[slot]
+            hit = held == keys
+            out[np.flatnonzero(hit) if left is None else left[hit]] = self.nodes[slot[hit]]
+            on = np.flatnonzero(~hit & (held >= 0))
+            left = on if left is None else left[on]
+            slot, keys = (slot[on] + 1) & ((1 << self.bits) - 1), keys[on]
+        return out
+
+
 @dataclass
 class Model:
-    """Frozen trees: node tables by order, code lengths in bits by node and language, and escapes."""
+    """Frozen trees: child tables by order, code lengths in bits by node and language, and escapes."""
 
     langs: list[str]
-    step: list[np.ndarray]  # step[k][node of order k * 256 + byte]: node of order k + 1, or 0
+    step: list[Children]  # step[k] finds (node of order k, byte) among the nodes of order k + 1
     bits: list[np.ndarray]  # bits[k][node of order k]: code length of its last byte after the others
     escape: list[np.ndarray]  # escape[k][node of order k]: bits of an escape from that context; 0 if unknown
 
@@ -64,9 +103,7 @@ class Model:
         for k in range(len(nodes)):
             parent = np.zeros(len(nodes[k]), dtype=np.int64) if not k else np.searchsorted(nodes[k - 1], nodes[k] >> 8) + 1
             size = 2 if not k else len(nodes[k - 1]) + 1
-            table = np.zeros(size * 256, dtype=np.int32)
-            table[parent * 256 + (nodes[k] & 255)] = np.arange(len(nodes[k])) + 1
-            step.append(table)
+            step.append(Children(parent * 256 + (nodes[k] & 255)))
             total, kinds = np.zeros((size, n)), np.zeros((size, n))
             np.add.at(total, parent, counts[k])
             np.add.at(kinds, parent, counts[k] > 0)
@@ -86,16 +123,16 @@ class Model:
         if not n:
             return np.zeros((len(at) - 1, langs))
         begins = at[:-1][np.diff(at) > 0]
-        nodes, last = [], np.zeros(n, dtype=np.int32)
-        for k, table in enumerate(self.step):
+        nodes, byte = [], data.astype(np.int64)
+        for k, children in enumerate(self.step):
             if not k:
-                node = table[data]
+                node = children.find(np.arange(256))[data]
             else:
                 node = np.zeros(n, dtype=np.int32)
-                node[1:] = table[last[:-1] * np.int32(256) + data[1:]]
+                known = np.flatnonzero(nodes[-1][:-1])
+                node[known + 1] = children.find(nodes[-1][known].astype(np.int64) * 256 + byte[known + 1])
                 node[begins] = 0
             nodes.append(node)
-            last = node
         cost = np.empty((n, langs), dtype=np.float32)
         open_ = None  # positions whose byte no longer gram has coded
         for k in range(len(nodes) - 1, -1, -1):
@@ -122,47 +159,56 @@ class Model:
         return out
 
 
-def gram_counts(docs: DataFrame, langs: list[str], order: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(length, code, lang, n): how often each byte gram of 1 .. order occurs in each language's texts."""
+def gram_counts(docs: DataFrame, langs: list[str], order: int, least: int = 2, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(length, code, counts): for the byte grams of 1 .. order how often each occurs, as pairs (index in
+    langs, n). Grams of two or more bytes that occur fewer than `least` times in all are left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang in langs:
+            for i, lang in enumerate(langs):
                 own = batch.filter(pa.compute.equal(batch.column(1), lang))
                 for part in pieces(own, "text"):
                     data, at = text_bytes(part.column(0))
                     for k, codes in enumerate(_grams(data, at, order)):
                         codes, n = np.unique(codes[codes > 0], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), k + 1, dtype=np.int32)), pa.array(codes), pa.array([lang] * len(codes), pa.string()), pa.array(n)], names=["length", "code", "lang", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), k + 1, dtype=np.int32)), pa.array(codes), pa.array(np.full(len(codes), i, dtype=np.int32)), pa.array(n)], names=["length", "code", "lang", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, "length int, code long, lang string, n long")
-    return rows.groupBy("length", "code", "lang").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, "length int, code long, lang int, n long")
+    by_lang = rows.groupBy("length", "code", "lang").agg(F.sum("n").alias("n"))
+    found = by_lang.groupBy("length", "code").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("counts"))
+    return found.where((F.col("length") == 1) | (F.col("all") >= least)).select("length", "code", "counts")
 
 
-def fit(labelled: DataFrame, order: int = 5, sample_bytes: int = 1_500_000, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(labelled: DataFrame, order: int = 5, sample_bytes: int = 6_000_000, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Trees of byte contexts from a bounded sample of whole labelled texts.
 
-    sample_bytes bounds what each language gives: texts are taken by a hash of theirs, with the chance that
-    makes that many bytes in expectation (all of them if there are fewer). Null texts and labels aren't used.
-    None if nothing is left.
+    sample_bytes bounds what all languages give together, in equal parts: of a language's distinct texts those
+    of least hash are taken, down from a bound that gives its part in expectation (all of them if there are
+    fewer bytes, the one of least hash in any case). A repeated text counts once, so copies weigh nothing. Null
+    texts and labels aren't used; a text with two labels counts for each. None if no text has a byte.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["b"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
-    langs = sorted(k for k, b in sizes.items() if b)
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text <> '' and lang is not null")
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    once = hashed.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("b"))
+    sizes = {r["lang"]: r for r in once.groupBy("lang").agg(F.sum("b").alias("b"), F.min("h").alias("least")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return None
     keep = F.lit(False)
     for lang in langs:
-        share = min(1.0, sample_bytes / sizes[lang])
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    found = gram_counts(rows.where(keep), langs, order).toPandas()
+        share = min(1.0, sample_bytes / len(langs) / sizes[lang]["b"])
+        highest = max(int(share * 2**64) - 2**63 - 1, sizes[lang]["least"])
+        keep = keep | ((F.col("lang") == lang) & (F.col("h") <= F.lit(min(highest, 2**63 - 1))))
+    drawn = hashed.where(keep).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    found = gram_counts(drawn, langs, order).toArrow().combine_chunks()
     grams = []
     for k in range(1, order + 1):
-        own = found[found["length"] == k]
-        codes, where = np.unique(own["code"].to_numpy(), return_inverse=True)
-        c = np.zeros((len(codes), len(langs)), dtype=np.int64)
-        np.add.at(c, (where, own["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)), own["n"].to_numpy())
-        grams.append((codes, c))
+        own = found.filter(pa.compute.equal(found.column("length"), k)).combine_chunks()
+        lists = own.column("counts").combine_chunks()
+        pairs = lists.flatten()
+        c = np.zeros((own.num_rows, len(langs)), dtype=np.int64)
+        c[np.repeat(np.arange(own.num_rows), lists.value_lengths().to_numpy()), pairs.field("lang").to_numpy()] = pairs.field("n").to_numpy()
+        grams.append((own.column("code").to_numpy(), c))
     return Model.build(langs, grams)
 
 
@@ -172,7 +218,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     id_col may name any column, a struct of a whole row too, which is passed through.
 
     score is its share when each language weighs 2 ** -bits (a tie goes to the first by name). A text that
-    is null or without a letter gets `und` and score 0, as does every text if the model is None.
+    is null or without a letter gets `und` and score 0, as does every text if the model is None. Repeated rows
+    are rows of their own with equal results; an empty table gives none.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "lang_pred", "score", "bits_per_byte"]

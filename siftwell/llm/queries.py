@@ -19,7 +19,7 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir)
     model = fit(docs.where(_fold(3) != 1))
-    return predict(docs, model).withColumn("held_out", _fold(3) == 1)
+    return predict(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
