@@ -20,14 +20,21 @@ from siftwell.llm.templates import contaminated
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; null texts and texts without a letter go."""
+    """Documents of which a language is told, with it as their `lang`.
+
+    Rejected: null texts, texts without a letter, and texts that even the nearest language codes in no fewer
+    bits than their bytes have. Equal texts share their fate; no labelled text at all rejects everything.
+    """
     rows = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"), F.col("text").alias("text"))
-    found = predict(rows, fit(docs), id_col="row")
-    return found.where(F.col("lang_pred") != UNKNOWN).select("doc_id.*")
+    found = predict(rows, fit(docs), id_col="row").where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < 8))
+    return found.select(*[F.col("lang_pred" if x == "lang" else f"doc_id.{x}").alias(x) for x in docs.columns])
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id (then text) of each component of similar documents."""
+    """The document of least doc_id (then text) of each component of similar documents.
+
+    Null ids come first; of repeated rows one stays. A text without a word is similar to none and stays.
+    """
     rows = keyed(docs, carry=True)
     found = link(rows.select("ord", "text"), id_col="ord")
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("ord")
@@ -37,7 +44,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what earlier documents have said; documents of which nothing remains go.
 
-    A character that is cut in its middle goes as a whole.
+    Earlier is by doc_id (nulls first), then by text; of repeated rows the first keeps its text. A character
+    that is cut in its middle goes as a whole. A null or empty text stays as it is.
     """
     rows = keyed(docs, carry=True)
     found = remove_repeats(rows.select("ord", "text"), id_col="ord", decode=True).select("ord", "n_removed", "kept")
@@ -48,14 +56,14 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; null and empty texts have none, repeated rows share their fate."""
     rows = keyed(docs, carry=True)
     found = contaminated(rows.select("ord", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="ord")
     return rows.join(found.select("ord").distinct(), "ord", "left_anti").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents' token pieces, each with its place in a sequence."""
+    """The remaining documents' token pieces, each with its place in a sequence; a null text has its end id only."""
     return pack(docs)
 
 
