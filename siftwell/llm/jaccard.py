@@ -3,12 +3,15 @@
 Documents with the same set are one class. A class's shingles are ordered by rarity, as a count sketch of
 fixed size over the whole corpus has it, then by hash. If two sets of similarity t or more have n shingles
 at the most, the first n - ceil(t n) + l shingles of each share at least l. Each class chooses its l by
-what its plain prefix would cost, as the sketch estimates it: from an eighth of its set up to a quarter, so a
-costly one takes a longer prefix and asks for as many more shared shingles before a pair is verified.
-
-Only components are wanted, so pairs already connected are never verified: first each class tries the hubs of
-its prefix shingles' lists (the two that it meets most often), then neighbours drawn by hash, and only lists that still hold several components are searched in full, the members outside the list's main
-component against the others.
+what its plain prefix would cost, as the sketch estimates it: from 1 up to half of its set, so a costly one
+takes a longer prefix and asks for as many more shared shingles before a pair is verified.
+
+A group of near copies would still meet in pairs, as all hold the shingles of what they were copied from. So
+the classes whose lists share a hub (the class that most others share lists with) are told apart by what
+they differ from it in: the symmetric difference of two sets is that of their differences from any third
+one. Of two classes of which one isn't linked to the hub, the differences must share more than about half of
+the smaller one, mostly shingles that few others have; prefixes of the differences, their rarest elements
+first, then leave few pairs. Classes of different hubs, or of none, are found through the prefixes' lists.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, binary_list, discard, free_shuffles, hash_runs, hash_windows, keyed, mix, pieces, text_bytes, words, written
+from .common import LOWER, binary_list, discard, free_shuffles, hash_runs, hash_windows, keyed, mix, pieces, ragged, text_bytes, words, written
 from .components import components
 
 _SKETCH, _SLICES = 1 << 20, 64
@@ -99,14 +102,17 @@ def _sketch(survey: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefix_lists(rows: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(token, h, n, level, need): prefix shingles that several classes have.
+def prefix_lists(rows: DataFrame, sketch: np.ndarray, width: int, percent: int, hot: int = 100_000) -> DataFrame:
+    """(token, h, n, level, need, size): prefix shingles that several classes have.
 
-    level: the least l whose prefix has the shingle; need: the class's own l.
+    level: the least l whose prefix has the shingle; need: the class's own l; size: about how many classes have
+    the shingle. A shingle whose counter is more than `hot` above the mean is dealt out over 64 tasks by h, and
+    kept whether it's shared or not.
     """
     mean = float(sketch.mean())
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
-    names = ["token", "h", "packed"]
+    names = ["token", "h", "n", "packed", "salt"]
+    out_names = ["token", "h", "n", "packed", "size"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = shared.value
@@ -126,16 +132,17 @@ def prefix_lists(rows: DataFrame, sketch: np.ndarray, width: int, percent: int)
                 inside = rank < plain[row]
                 excess = np.maximum(counters[cell].astype(np.float64) - mean - 2 * mean**0.5, 0)
                 cost = np.bincount(row[inside], weights=excess[inside], minlength=len(counts)) / np.maximum(plain, 1)
-                need = np.clip(1 + np.floor(counts / 8 * (1 + np.minimum(np.log10(1 + cost), 1))).astype(np.int64), 1, np.maximum(least, 1))
+                need = np.clip(1 + np.floor(counts / 8 * np.minimum(np.log10(1 + cost), 4)).astype(np.int64), 1, np.maximum(least, 1))
                 new = np.array([x not in done and not done.add(x) for x in h.tolist()], dtype=bool) & (counts > 0)
                 keep = (rank < (plain + need - 1)[row]) & new[row]
                 r = row[keep]
                 level = np.maximum(rank[keep] - plain[r] + 2, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(h[r].view(np.int64)), pa.array(counts[r] << 40 | level << 20 | need[r])], names=names)
+                salt = np.where(counters[cell[keep]] > mean + hot, 1 + (h[r] & np.uint64(63)).astype(np.int64), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(h[r].view(np.int64)), pa.array(counts[r]), pa.array(level << 32 | need[r]), pa.array(salt)], names=names)
 
     def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows, sorted by (token, h), whose token another h has too; each once."""
-        held = np.zeros((0, 3), dtype=np.int64)
+        held = np.zeros((0, 5), dtype=np.int64)
         for batch in batches:
             block = np.vstack([held, np.column_stack([c.to_numpy() for c in batch.columns])])
             last = int(np.searchsorted(block[:, 0], block[-1, 0])) if len(block) else 0
@@ -146,16 +153,118 @@ def prefix_lists(rows: DataFrame, sketch: np.ndarray, width: int, percent: int)
         yield _several(held)
 
     def _several(block: np.ndarray) -> pa.RecordBatch:
+        size = np.zeros(0, dtype=np.int64)
         if len(block):
             block = block[np.append(True, (block[1:, 0] != block[:-1, 0]) | (block[1:, 1] != block[:-1, 1]))]
-            same = block[1:, 0] == block[:-1, 0]
-            block = block[np.append(same, False) | np.append(False, same)]
-        return pa.RecordBatch.from_arrays([pa.array(block[:, i]) for i in range(3)], names=names)
+            run = np.cumsum(np.append(True, block[1:, 0] != block[:-1, 0])) - 1
+            size = np.bincount(run)[run]
+            stay = (size > 1) | (block[:, 4] > 0)
+            block, size = block[stay], size[stay]
+        return pa.RecordBatch.from_arrays([*(pa.array(block[:, i]) for i in range(4)), pa.array(size)], names=out_names)
+
+    dealt = rows.select("ord", "text").mapInArrow(emit, "token long, h long, n long, packed long, salt int").repartition("token", "salt")
+    found = dealt.sortWithinPartitions("token", "h").mapInArrow(shared_only, "token long, h long, n long, packed long, size long")
+    return found.select("token", "h", "n", F.shiftright("packed", 32).alias("level"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).alias("need"), "size")
+
+
+def hubs_of(lists: DataFrame) -> DataFrame:
+    """(h, hub): of the classes that lead a list of h, the one that most others share lists with.
+
+    A leader must share an eighth of what h asks for, two shingles at least, and be of up to twice its size.
+    """
+    weighted = lists.withColumn("g", F.sum("size").over(Window.partitionBy("h"))).select("token", "h", "n", "need", "g")
+    lead = weighted.groupBy("token").agg(F.max(F.struct("g", "h", "n")).alias("x"))
+    near = lists.join(lead, "token").where((F.col("h") != F.col("x.h")) & _sizes("n", "x.n", 50))
+    met = near.groupBy("h", F.col("x.h").alias("hub")).agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need"), F.max("x.g").alias("g")).where("c > 1 and 8 * c >= need")
+    return met.groupBy("h").agg(F.max(F.struct("g", "hub")).alias("x")).select("h", F.col("x.hub").alias("hub"))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, most: int = 500) -> DataFrame:
+    """left with right's columns by key, which is unique in right; a key of many rows is dealt out to tasks of
+    about `most` rows, each with a copy of right's row."""
+    share = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_share"))
+    other = right.join(share, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_share") - 1))).drop("_share")
+    mine = left.join(share, key).withColumn("_salt", F.pmod(F.xxhash64(*[x for x in left.columns if x in ("h", "a", "b")]), F.col("_share")).cast("int")).drop("_share")
+    return mine.join(other, [key, "_salt"]).drop("_salt")
+
+
+def differences(rows: DataFrame, classes: DataFrame, hubs: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[str]]:
+    """(h, hub, n, center, size, near, d): what each class differs from its hub in, and whether it's linked to it.
+
+    n and center are the sizes of the two sets, d the shingles that only one of them has, size their number.
+    """
+    wanted = hubs.unionAll(hubs.select(F.col("hub").alias("h"), "hub").distinct()).join(classes.select("h", "ord"), "h")
+    members, path = written(rows.select("ord", "text").join(wanted, "ord").select("h", "hub", "text"), "members")
+    free_shuffles(rows.sparkSession)
+    centers = members.where("h = hub").select("hub", F.col("text").alias("center"))
+    both = dealt_join(members.where("h <> hub"), centers, "hub").select("h", "hub", "text", "center").sortWithinPartitions("hub")
 
-    schema = "token long, h long, packed long"
-    found = rows.select("ord", "text").mapInArrow(emit, schema).repartition("token").sortWithinPartitions("token", "h").mapInArrow(shared_only, schema)
-    bits = lambda shift, width_: F.shiftright("packed", shift).bitwiseAND(F.lit(width_))
-    return found.select("token", "h", F.shiftright("packed", 40).alias("n"), bits(20, (1 << 20) - 1).alias("level"), bits(0, (1 << 20) - 1).alias("need"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", 1_000_000):
+                values, counts = shingle_sets(part.column(2), width)
+                hub = part.column(1).to_numpy()
+                first = np.flatnonzero(np.append(True, hub[1:] != hub[:-1]))
+                which = np.cumsum(np.append(True, hub[1:] != hub[:-1])) - 1
+                others, sizes = shingle_sets(part.column(3).take(pa.array(first)), width)
+                begin = np.cumsum(sizes) - sizes
+                size = sizes[which]
+                row = np.concatenate([np.repeat(np.arange(len(counts)), counts), np.repeat(np.arange(len(counts)), size)])
+                both = np.concatenate([values, others[ragged(begin[which], size)]])
+                order = np.lexsort((both, row))
+                row, both = row[order], both[order]
+                twice = (row[1:] == row[:-1]) & (both[1:] == both[:-1])
+                single = ~(np.append(twice, False) | np.append(False, twice))
+                d = np.bincount(row[single], minlength=len(counts))
+                shared = (counts + size - d) // 2
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(d)]).astype(np.int32)), pa.array(both[single].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts), pa.array(size), pa.array(d), pa.array(100 * shared >= percent * (counts + size - shared)), lists], names=["h", "hub", "n", "center", "size", "near", "d"])
+
+    found, own = written(both.mapInArrow(run, "h long, hub long, n long, center long, size long, near boolean, d array<long>"), "differences")
+    return found, [path, own]
+
+
+def close_differences(spaces: DataFrame, percent: int) -> DataFrame:
+    """(a, b, hub): the pairs of one hub, not both linked to it, that may be similar enough.
+
+    With i shared shingles, two sets of n and m have similarity percent/100 if n + m - 2 i <= k (n + m), where
+    k = (100 - percent) / (100 + percent), and as much is the size of the difference of their differences. A
+    class that isn't linked to the hub differs from it in more than k (its size + the hub's). So what any class
+    shares with such a one of its difference D is more than (|D| + k (hub's - own size)) / 2, and what such a
+    one shares with a linked class is at least |D| - (100 - percent) / percent of its own size.
+    """
+    up, down = 100 + percent, 100 - percent
+    groups = spaces.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.max(~F.col("near")).alias("open")).where("open and m > 1").select("hub")
+    single = spaces.join(groups, "hub", "left_semi").select("hub", "h", "n", "center", "size", "near", F.explode("d").alias("e"))
+    often = single.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    own = Window.partitionBy("hub", "h")
+    place = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "e")) - 1
+    ranked = single.join(often, ["hub", "e"]).withColumn("j", place)
+    short = F.col("size") - F.floor((up * F.col("size") + down * (F.col("center") - F.col("n"))) / (2 * up))
+    long = F.col("size") - F.greatest(F.lit(1), F.col("size") - F.floor(down * F.col("n") / percent)) + 1
+    ranked = ranked.withColumn("short", short).where((F.col("j") < F.col("short")) | (~F.col("near") & (F.col("j") < long))).select("hub", "e", "h", "n", "size", "near", "j", (F.col("j") < F.col("short")).alias("short"))
+    left = ranked.where("not near")
+    right = ranked.where("short").select("hub", "e", *[F.col(x).alias(f"{x}_") for x in ("h", "n", "size", "near", "j")])
+    most = F.least(F.col("size") - F.col("j"), F.col("size_") - F.col("j_"))
+    enough = 2 * up * most >= up * (F.col("size") + F.col("size_")) - down * (F.col("n") + F.col("n_"))
+    both = left.join(right, ["hub", "e"]).where((F.col("near_") | (F.col("short") & (F.col("h") < F.col("h_")))) & enough & _sizes("n", "n_", percent))
+    return both.select(F.col("h").alias("a"), F.col("h_").alias("b"), "hub").distinct()
+
+
+def _same(pairs: DataFrame, spaces: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of one hub whose sets are similar enough, told from their differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            other = np.array([len(np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(batch.column(3), batch.column(5), strict=True)], dtype=np.int64)
+            shared = (n - other) // 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(100 * shared >= percent * (n - shared)))
+
+    # a class has one hub, so h names its difference
+    one = dealt_join(pairs.select("a", "b"), spaces.select(F.col("h").alias("a"), "n", "d"), "a")
+    two = dealt_join(one, spaces.select(F.col("h").alias("b"), F.col("n").alias("m"), F.col("d").alias("t")), "b")
+    return two.select("a", "b", "n", "d", "m", "t").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,8 +279,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("h").alias("b"), F.col("s").alias("t")), "b")
-    return one.join(sets.select(F.col("h").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    one = dealt_join(pairs, sets.select(F.col("h").alias("b"), F.col("s").alias("t")), "b")
+    return dealt_join(one, sets.select(F.col("h").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
 def _sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> tuple[DataFrame, str]:
@@ -203,45 +312,38 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     lists, lists_path = written(prefix_lists(rows, _sketch(survey), width, percent), "prefix-lists")
     free_shuffles(spark)
     classes = texts.where("n > 0").groupBy("h").agg(F.min("ord").alias("ord"), F.min("doc_id").alias("least_id"))
-    label, paths = lists.select("h").distinct().withColumn("root", F.col("h")), []
-    for trial in range(4):
-        known = lists.join(label, "h")
-        if trial < 3:
-            if not trial:
-                # a class that many lists share is likely what the others were copied from
-                weight = known.join(known.groupBy("token").agg(F.count(F.lit(1)).alias("g")), "token").groupBy("h").agg(F.sum("g").alias("g"))
-                hub = known.join(weight, "h").groupBy("token").agg(F.max_by(F.struct("h", "n", "need", "root"), F.struct("g", "h")).alias("x"))
-                near = known.join(hub, "token")
-            else:
-                seen = Window.partitionBy("token").orderBy(F.xxhash64("h", F.lit(trial)))
-                near = known.select("h", "n", "need", "root", F.lead(F.struct("h", "n", "need", "root")).over(seen).alias("x")).where("x is not null")
-            pairs = near.where((F.col("root") != F.col("x.root")) & _sizes("n", "x.n", percent)).select("h", F.col("x.h").alias("other"), F.least("need", "x.need").alias("need"))
-            met = pairs.groupBy("h", "other").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c > 1 and 8 * c >= need")
-            best = met.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("c"), "other"))).where("k <= 2")
-            pairs = best.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
-        else:
-            sizes = known.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-            main = sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "main")
-            several = known.join(main, "token")
-            side = several.where("root <> main").select("token", *[F.col(x).alias(f"{x}_") for x in ("h", "n", "level", "need", "root")])
-            both = side.join(several, "token").where((F.col("root") != F.col("root_")) & ((F.col("root") == F.col("main")) | (F.col("h_") < F.col("h"))) & _sizes("n", "n_", percent))
-            need = F.least("need", "need_")
-            matched = both.where((F.col("level") <= need) & (F.col("level_") <= need)).select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b"), need.alias("need"))
-            pairs = matched.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
-        pairs, pairs_path = written(pairs, "pairs")
-        sets, sets_path = _sets(rows, classes, pairs, width)
-        found = _verified(pairs, sets, percent)
-        of = lambda side: label.select(F.col("h").alias(side), F.col("root").alias(f"r{side}"))
-        edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        roots, roots_path = components(edges)
-        free_shuffles(spark)
-        label, path = written(label.join(roots, label["root"] == roots["node"], "left").select("h", F.coalesce(roots["root"], label["root"]).alias("root")), "labels")
-        discard(spark, roots_path, pairs_path, sets_path, *paths)
-        paths = [path]
+    hubs, hubs_path = written(hubs_of(lists), "hubs")
+    free_shuffles(spark)
+    spaces, space_paths = differences(rows, classes, hubs, width, percent)
+    pairs, pairs_path = written(close_differences(spaces, percent), "pairs")
+    free_shuffles(spark)
+    edges = spaces.where("near").select(F.col("h").alias("a"), F.col("hub").alias("b")).unionAll(_same(pairs, spaces, percent))
+    roots, roots_path = components(edges)
+    label = lists.select("h").distinct().join(hubs, "h", "left").join(roots.withColumnRenamed("node", "h"), "h", "left")
+    label, label_path = written(label.select("h", F.coalesce("root", "h").alias("root"), F.coalesce("hub", "h").alias("of")), "labels")
+    free_shuffles(spark)
+    discard(spark, roots_path, pairs_path, hubs_path, *space_paths)
+    # pairs of different hubs: the members outside each list's main group against the others
+    known = lists.join(label, "h")
+    sizes = known.groupBy("token", "of").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    main = sizes.groupBy("token").agg(F.max_by("of", F.struct("c", "of")).alias("main"), F.count(F.lit(1)).alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).where("k > 1 and low <> high").select("token", "main")
+    several = known.join(main, "token")
+    side = several.where("of <> main").select("token", *[F.col(x).alias(f"{x}_") for x in ("h", "n", "level", "need", "root", "of")])
+    both = side.join(several, "token").where((F.col("root") != F.col("root_")) & (F.col("of") != F.col("of_")) & ((F.col("of") == F.col("main")) | (F.col("h_") < F.col("h"))) & _sizes("n", "n_", percent))
+    need = F.least("need", "need_")
+    matched = both.where((F.col("level") <= need) & (F.col("level_") <= need)).select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b"), need.alias("need"))
+    pairs, pairs_path = written(matched.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b"), "pairs")
+    free_shuffles(spark)
+    sets, sets_path = _sets(rows, classes, pairs, width)
+    of = lambda side: label.select(F.col("h").alias(side), F.col("root").alias(f"r{side}"))
+    edges = _verified(pairs, sets, percent).join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    roots, roots_path = components(edges)
+    label = label.join(roots, label["root"] == roots["node"], "left").select("h", F.coalesce(roots["root"], label["root"]).alias("root"))
     named = classes.join(label, "h", "left").select("h", F.coalesce("root", "h").alias("root"), "least_id")
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named, _ = written(named.join(least, "root").select("h", "component_id"), "components")
-    discard(spark, lists_path)
+    free_shuffles(spark)
+    discard(spark, lists_path, pairs_path, sets_path, roots_path, label_path)
     return texts.join(named, "h", "left").select("ord", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
