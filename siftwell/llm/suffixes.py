@@ -11,8 +11,8 @@ it of least hash. Equal windows have equal anchors at equal places, so only suff
    done; one whose gram has different covers is left open.
 2. A window has 66 bytes from its anchor on, or 66 up to its anchor's gram's end (for size 100). Each open
    anchor's windows of either kind go, with their text, to those that share these bytes, where windows are
-   compared. A key that more than a thousandth of these rows have isn't gathered: its windows are dealt out
-   and compared as in step 1.
+   compared. A key that more than 20,000 of these rows have isn't gathered: its windows are dealt out and
+   compared as in step 1.
 
 Hashes are of 64 bits besides the leading bytes; two different strings pass for equal with a chance of
 about 1e-5 over 1e8 of them.
@@ -26,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import binary_list, discard, free_shuffles, keyed, mix, pieces, ragged, text_bytes, written
 
 GRAM = 32
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _TABLE = np.random.default_rng(7).integers(1, 2**63, size=256, dtype=np.uint64)
 _R = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
@@ -122,7 +123,7 @@ def anchor_rows(rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 8_000_000):
+            for part in pieces(batch, "text", 2_000_000):
                 for data, at, ords, base in segments(part, size):
                     key, cover, first, number, distance = anchors(data, at, size)
                     owner = np.searchsorted(at, first, side="right") - 1
@@ -290,10 +291,10 @@ def compare(rows: DataFrame, sample: DataFrame, share: float, bucket_rows: int,
     spark = rows.sparkSession
     n = sample.count()
     buckets = max(int(n / share / bucket_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part = min(1.0, 200 * buckets / max(n, 1))
-    taken = sample.where(F.pmod(F.xxhash64("ord", "place"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).toPandas().to_numpy().reshape(-1, 4)
-    taken = taken[multikey_order([taken[:, i] for i in range(4)])]
-    splitters = np.unique(taken[[len(taken) * i // buckets for i in range(1, buckets)]], axis=0) if len(taken) else taken
+    each = 100
+    part = min(1.0, each * buckets / max(n, 1))
+    taken = sample.where(F.pmod(F.xxhash64("ord", "place"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1)
+    splitters = _every(taken, min(each, max(1, n // buckets)), buckets // 1000 + 1)
     columns = ["key", "cover", "ord", "place"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,28 +332,36 @@ def compare(rows: DataFrame, sample: DataFrame, share: float, bucket_rows: int,
     dealt = rows.mapInArrow(deal, "key long, cover long, ord long, place long, bucket int")
     found = dealt.repartitionById(len(splitters) + 1, F.col("bucket")).mapInArrow(sort, "kind int, bucket int, key long, cover long, ord long, place long, covers long")
     found, path = written(found, name)
-    # a few rows for each bucket: the edges
-    edges = found.where("kind >= 2").orderBy("bucket", "key", "cover", "ord", "place").collect()
-    repeated, open_ = [], []
-    kinds: dict[int, set[int]] = {}
-    for r in edges:
-        kinds.setdefault(r["key"], set()).add(r["cover"])
-    before = None
-    for r in edges:
-        if r["kind"] == 2:
-            if before == (r["key"], r["cover"]):
-                repeated.append((r["ord"], r["place"]))
-            elif r["covers"] > 1 or len(kinds[r["key"]]) > 1:
-                open_.append((r["ord"], r["place"]))
-        before = (r["key"], r["cover"])
-    extra = lambda x: spark.createDataFrame(x, "ord long, place long")
-    return found.where("kind = 0").select("ord", "place").unionAll(extra(repeated)), found.where("kind = 1").select("ord", "place").unionAll(extra(open_)), [path]
+    # a few rows for each bucket: equal rows are neighbours, so an edge is repeated if any edge row precedes it
+    edges = found.where("kind >= 2")
+    before = F.row_number().over(Window.partitionBy("key", "cover").orderBy("ord", "place")) > 1
+    of_key = Window.partitionBy("key")
+    mixed = (F.col("covers") > 1) | (F.min("cover").over(of_key) != F.max("cover").over(of_key))
+    edges = edges.withColumn("before", before).withColumn("mixed", mixed).where("kind = 2")
+    repeated = found.where("kind = 0").select("ord", "place").unionAll(edges.where("before").select("ord", "place"))
+    open_ = found.where("kind = 1").select("ord", "place").unionAll(edges.where("mixed and not before").select("ord", "place"))
+    return repeated, open_, [path]
+
+
+def _every(rows: DataFrame, step: int, parts: int) -> np.ndarray:
+    """Each step-th row of (key, cover, ord, place) in ascending order, chosen in sorted ranges; distinct."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skip = step // 2
+        for batch in batches:
+            yield batch.take(pa.array(np.arange(skip, batch.num_rows, step)))
+            skip = (skip - batch.num_rows) % step
+
+    columns = ["key", "cover", "ord", "place"]
+    ranges = rows.select(*columns).repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
+    found = ranges.mapInArrow(pick, "key long, cover long, ord long, place long").toArrow()
+    return np.unique(np.column_stack([found.column(i).to_numpy() for i in range(4)]).reshape(-1, 4), axis=0)
 
 
 def repeated_spans(rows: DataFrame, size: int = 100, bucket_rows: int = 400_000, hot_rows: int = 20_000) -> tuple[DataFrame, list[str]]:
     """(ord, spans): for each text with repeats the windows, as places, that also start earlier; and paths.
 
-    A key of more than hot_rows rows, and of a thousandth of all, is dealt out by its windows.
+    A key of more than hot_rows rows is dealt out by its windows.
     """
     share, spark = 16, rows.sparkSession
     some = rows.where(F.pmod(F.xxhash64("ord"), F.lit(share)) == 0)
@@ -361,14 +370,14 @@ def repeated_spans(rows: DataFrame, size: int = 100, bucket_rows: int = 400_000,
     lists = open_.groupBy("ord").agg(F.sort_array(F.collect_list("place")).alias("open"))
     sides, path = written(side_rows(rows.select("ord", "text").join(lists, "ord"), size), "sides")
     free_shuffles(spark)
-    # at most a thousand keys
-    hot = [r["g"] for r in sides.groupBy("g").count().where(F.col("count") > max(hot_rows, sides.count() // 1000)).collect()]
-    windows = window_rows(sides.where(F.col("g").isin(hot)), size)
-    more, _, others = compare(windows, windows, 1, bucket_rows, "window-runs", False) if hot else (done.limit(0), None, [])
-    cold = compared_sides(sides.where(~F.col("g").isin(hot)) if hot else sides, size)
+    hot, hot_path = written(sides.groupBy("g").count().where(F.col("count") > hot_rows).select("g"), "hot-keys")
+    cold, more, others = compared_sides(sides.join(hot, "g", "left_anti"), size), done.limit(0), []
+    if hot.head(1):
+        windows = window_rows(sides.join(hot, "g", "left_semi"), size)
+        more, _, others = compare(windows, windows, 1, bucket_rows, "window-runs", False)
     near, cold_path = written(cold.unionAll(more), "window-spans")
     both = done.unionAll(near).groupBy("ord").agg(F.collect_list("place").alias("spans"))
-    discard(spark, path, *others)
+    discard(spark, path, hot_path, *others)
     free_shuffles(spark)
     return both, [*paths, cold_path]
 
@@ -406,7 +415,10 @@ def remove_repeats(docs: DataFrame, size: int = 100, bucket_rows: int = 400_000,
                     own = data[at[i] : at[i + 1]]
                     marks = np.zeros(0, dtype=np.int64) if not places.is_valid else places.values.to_numpy()
                     kept, n, removed = kept_text(own, marks, size)
-                    out.append((len(own), n, [{"start": a, "end": b} for a, b in removed], kept.decode("utf-8", "ignore") if decode else kept))
+                    if decode:  # by stretches, as the halves of two cut characters may look like another
+                        edges = [0, *(x for span in removed for x in span), len(own)]
+                        kept = "".join(own[a:b].tobytes().decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    out.append((len(own), n, [{"start": a, "end": b} for a, b in removed], kept))
                 n_bytes, n_removed, removed, kept = zip(*out, strict=True)
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.string() if decode else pa.binary())], names=["ord", "doc_id", "n_bytes", "n_removed", "removed", "kept"])
