@@ -180,11 +180,12 @@ def hubs_of(lists: DataFrame) -> DataFrame:
 
 
 def dealt_join(left: DataFrame, right: DataFrame, key: str, most: int = 500) -> DataFrame:
-    """left with right's columns by key, which is unique in right; a key of many rows is dealt out to tasks of
-    about `most` rows, each with a copy of right's row."""
-    share = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_share"))
-    other = right.join(share, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_share") - 1))).drop("_share")
-    mine = left.join(share, key).withColumn("_salt", F.pmod(F.xxhash64(*[x for x in left.columns if x in ("h", "a", "b")]), F.col("_share")).cast("int")).drop("_share")
+    """left with right's columns by key, which is unique in right; a key of more than `most` rows is dealt out
+    to tasks of about so many, each with a copy of right's row. Such keys are few: a row in `most` at the most."""
+    share = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_share")).where("_share > 1")
+    salt = F.pmod(F.xxhash64(*[x for x in left.columns if x in ("h", "a", "b")]), F.coalesce("_share", F.lit(1))).cast("int")
+    mine = left.join(share, key, "left").withColumn("_salt", salt).drop("_share")
+    other = right.join(share, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_share", F.lit(1)) - 1))).drop("_share")
     return mine.join(other, [key, "_salt"]).drop("_salt")
 
 
