@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import keyed, shared_dir
+from siftwell.llm.common import discard, keyed, shared_dir
 from siftwell.llm.jaccard import link
 from siftwell.llm.langid import UNKNOWN, fit, predict
 from siftwell.llm.packing import pack
@@ -79,11 +79,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over `documents`, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = shared_dir(spark, name)
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                discard(spark, before)
+            before = path
     return docs
