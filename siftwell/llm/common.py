@@ -77,7 +77,7 @@ def bucket_of(value: Column, bounds: list[int]) -> Column:
     return tree(0, len(bounds))
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` text bytes at the most, or of one row."""
     column = batch.column(batch.schema.get_field_index(text))
     at = offsets_of(column)

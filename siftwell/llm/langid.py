@@ -212,38 +212,42 @@ def fit(labelled: DataFrame, order: int = 5, sample_bytes: int = 6_000_000, text
     return Model.build(langs, grams)
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte): the language of least code length, of whole texts.
 
-    id_col may name any column, a struct of a whole row too, which is passed through.
+    With carry, the columns of docs are returned instead of doc_id, as c0, c1, ... in their order.
 
     score is its share when each language weighs 2 ** -bits (a tie goes to the first by name). A text that
     is null or without a letter gets `und` and score 0, as does every text if the model is None. Repeated rows
     are rows of their own with equal results; an empty table gives none.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc_id", "lang_pred", "score", "bits_per_byte"]
+    columns = docs.columns if carry else [id_col]
+    names = [*([f"c{i}" for i in range(len(columns))] if carry else ["doc_id"]), "lang_pred", "score", "bits_per_byte"]
+    carried = [docs[x].alias(n) for x, n in zip(columns, names, strict=False)]
+    kinds = ", ".join(f"{n} {docs.schema[x].dataType.simpleString()}" for x, n in zip(columns, names, strict=False))
+    text, more = (names[columns.index(text_col)], []) if carry else ("text", [docs[text_col].alias("text")])
+    where = len(columns) - 1 + len(more) if not carry else columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in pieces(batch, "text", 2_000_000):
+            for part in pieces(batch, text, 500_000):
                 n = part.num_rows
                 lang, score, rate = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.zeros(n)
                 if model:
-                    data, at = text_bytes(part.column(1))
+                    data, at = text_bytes(part.column(where))
                     bits = model.code_lengths(data, at)
                     best = np.argmin(bits, axis=1)
                     least = bits[np.arange(n), best]
-                    has = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                    has = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
                     lang[has] = np.array(model.langs, dtype=object)[best[has]]
                     score[has] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)[has]
                     rate = least / np.maximum(np.diff(at), 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rate)], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rate)], names=names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), has_letter(F.col(text_col)).alias("letters"))
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    rows = docs.select(*carried, *more, has_letter(docs[text_col]).alias("letters"))
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, bits_per_byte double")
 
 
 def has_letter(text: Column) -> Column:

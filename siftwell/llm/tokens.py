@@ -31,7 +31,7 @@ class Encoder:
     `memory` of them (some 26 bytes each); then the memory starts anew.
     """
 
-    def __init__(self, path: str, memory: int = 2_000_000):
+    def __init__(self, path: str, memory: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
