@@ -25,9 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rejected: null texts, texts without a letter, and texts that even the nearest language codes in no fewer
     bits than their bytes have. Equal texts share their fate; no labelled text at all rejects everything.
     """
-    rows = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"), F.col("text").alias("text"))
-    found = predict(rows, fit(docs), id_col="row").where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < 8))
-    return found.select(*[F.col("lang_pred" if x == "lang" else f"doc_id.{x}").alias(x) for x in docs.columns])
+    found = predict(docs, fit(docs), carry=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < 8))
+    return found.select(*[F.col("lang_pred" if x == "lang" else f"c{i}").alias(x) for i, x in enumerate(docs.columns)])
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
