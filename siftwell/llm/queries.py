@@ -25,7 +25,8 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pitman_yor import score_documents
 
-    return score_documents(_documents(spark, sf_dir), _fold(7) != 2).withColumn("held_out", _fold(7) == 2)
+    found = score_documents(_documents(spark, sf_dir), _fold(7) != 2)
+    return found.select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,7 +172,7 @@ def classify(docs: DataFrame, sample_docs: int = 8000, bits: int = 18, id_col: s
     """(doc_id, p_form, p_abuse, keep) for every row, and the label models.
 
     p_form, p_abuse: the linear scorers' chance that the text is badly formed or abusive; keep is true if
-    both are below one half. sample_docs bounds (in expectation, by a hash of the text) the texts that train
+    both are below one half. sample_docs bounds (in expectation, by a hash) the distinct texts that train
     the scorers; the label models count the votes on all texts. A null text is empty; an empty text has no
     word for or against it and is not kept, its p_form being 1. Repeated rows give a row each.
     """
@@ -189,14 +189,12 @@ def classify(docs: DataFrame, sample_docs: int = 8000, bits: int = 18, id_col: s
                     yield pa.RecordBatch.from_arrays([pa.array([head] * len(n)), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["head", "pattern", "n"])
 
     counted = rows.where("text <> ''").select("text").mapInArrow(patterns, "head string, pattern long, n long").groupBy("head", "pattern").agg(F.sum("n").alias("n")).collect()
-    models, total = {}, 0
+    models = {}
     for head, m in (("form", len(FORM)), ("abuse", len(ABUSE))):
         own = [r for r in counted if r["head"] == head]
         code = np.array([r["pattern"] for r in own], dtype=np.int64)
         n = np.array([r["n"] for r in own], dtype=np.float64)
-        total = int(n.sum())
         models[head] = LabelModel.fit((code[:, None] // 3 ** np.arange(m) % 3).reshape(-1, m), n)
-    share = min(1.0, sample_docs / max(total, 1))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +207,11 @@ def classify(docs: DataFrame, sample_docs: int = 8000, bits: int = 18, id_col: s
                 for i in range(part.num_rows):
                     yield pa.RecordBatch.from_arrays([pa.array([slots[at[i] : at[i + 1]].astype(np.int32).tobytes()], pa.binary()), pa.array([values[at[i] : at[i + 1]].astype(np.float32).tobytes()], pa.binary()), pa.array([float(models["form"].posterior(form[i : i + 1])[0])]), pa.array([float(models["abuse"].posterior(abuse[i : i + 1])[0])])], names=["slots", "values", "form", "abuse"])
 
-    some = rows.where("text <> ''").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    # of distinct texts, so that copies neither crowd the sample nor outgrow its bound
+    hashed = rows.where("text <> ''").select("text", F.xxhash64("text").alias("h"))
+    kinds = hashed.select("h").distinct().count()
+    highest = int(min(1.0, sample_docs / max(kinds, 1)) * 2**64) - 2**63 - 1
+    some = hashed.where(F.col("h") <= F.lit(min(highest, 2**63 - 1))).groupBy("h").agg(F.first("text").alias("text"))
     got = some.select("text").mapInArrow(sample, "slots binary, values binary, form double, abuse double").toLocalIterator()
     lists, form_, abuse_ = [], [], []
     for r in got:
