@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import copy
+import functools
 import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -98,12 +100,24 @@ def _options(given: list[str]) -> dict[str, str]:
     return out
 
 
+def _renamed(parser, id_column: str):
+    """A copy of a parser with another id column, so that its own one isn't asked for; the parser itself if it
+    has none. Partial functions and objects with an id_column are known."""
+    if isinstance(parser, functools.partial) and "id_column" in parser.keywords:
+        return functools.partial(parser, id_column=id_column)
+    if hasattr(parser, "id_column"):
+        parser = copy.copy(parser)
+        parser.id_column = id_column
+    return parser
+
+
 def _source(a: argparse.Namespace, config: Config) -> Iterator[Entry]:
     if config.parser is not None:
         if a.format or a.format_option or a.table:
             raise ValueError("a parser of the configuration has no format options")
-        for e in config.parser(a.file):
-            if a.id_column:
+        parser = _renamed(config.parser, a.id_column) if a.id_column else config.parser
+        for e in parser(a.file):
+            if a.id_column and parser is config.parser:  # it has no id column of its own to replace
                 e.id = scalar_id(e.data[a.id_column])
             yield e
         return

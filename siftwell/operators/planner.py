@@ -107,39 +107,38 @@ def plans(entries: Iterable[Entry], config: Config, options: BatchOptions) -> It
         yield plan(e, config, options)
 
 
+def _until_failure(found: Iterable[Plan]) -> Iterator[tuple[Plan | None, Exception | None]]:
+    """Each plan, and at last the error with which the source ends, if it does."""
+    try:
+        for p in found:
+            yield p, None
+    except Exception as e:  # noqa: BLE001
+        yield None, e
+
+
 def windows(found: Iterable[Plan], options: BatchOptions) -> Iterator[list[Plan]]:
     """Lookahead windows: an entry alone in its own layout, else up to cap entries within the token budget.
 
-    What's held is given out before an error of the source goes on.
+    A window's entries share one state, so its tokens count once. An entry that reaches the budget ends its
+    window; what's held is given out before an error of the source goes on.
     """
     held: list[Plan] = []
     used = 0
-    failure: Exception | None = None
-    source = iter(found)
-    while True:
-        try:
-            p = next(source)
-        except StopIteration:
-            break
-        except Exception as e:  # noqa: BLE001
-            failure = e
-            break
-        if p.layout == "entry":
-            if held:
-                yield held
-            held, used = [], 0
-            yield [p]
-            continue
-        size, _ = estimate(p.request)
-        if held and (len(held) == options.cap or used + size > options.tokens):
+    for p, failure in _until_failure(found):
+        alone = p is None or p.layout == "entry"
+        total, state = (0, 0) if alone else (estimate(p.request)[0], tokens_of(canonical(p.request["state"])) + 64)
+        if held and (alone or used + total - state > options.tokens):
             yield held
             held, used = [], 0
+        if failure is not None:
+            raise failure
+        used += total - state if held else total
         held.append(p)
-        used += size
+        if alone or used >= options.tokens or len(held) == options.cap:
+            yield held
+            held, used = [], 0
     if held:
         yield held
-    if failure is not None:
-        raise failure
 
 
 @dataclass

@@ -131,7 +131,10 @@ def test_wire_forms_and_retries():
     with pytest.raises(EvaluationError):
         from_questions({"model": "m", "answers": [{"type": "refusal", "name": "field_0"}]}, request)
     assert [retry_delay(x, 0, 0) for x in (None, "5", "inf", "99", "Thu, 01 Jan 1970 00:00:10 GMT", "soon")] == [1, 5, 1, 30, 10, 1]
-    assert says_too_large(413, b"") and says_too_large(400, b'{"code":"context_length_exceeded"}') and not says_too_large(500, b"context length")
+    too_large = [(400, {"code": "context_length_exceeded"}), (413, {"error": {"code": "input_tokens_exceeded"}}), (400, {"detail": {"error_type": "max_tokens_exceeded"}}), (422, {"detail": "The context window was exceeded"}), (400, {"error": {"message": "input is too long for the token limit"}})]
+    other = [(413, ""), (413, {"message": "body exceeds 1 MB"}), (500, {"code": "context_length_exceeded"}), (400, {"note": "context length exceeded"}), (422, ["context length exceeded"]), (400, {"code": 7})]
+    assert all(says_too_large(s, json.dumps(b).encode()) for s, b in too_large) and not any(says_too_large(s, json.dumps(b).encode()) for s, b in other) and not says_too_large(413, b"<html>")
+    assert retry_delay("Thu, 01 Jan 1970 00:00:20 -0000", 0, now=0.0) == 20.0
 
 
 def test_config_checks():
@@ -203,3 +206,33 @@ def test_command_line(tmp_path, capsys, spark, monkeypatch):
     for bad in (["scan", "x.csv", "-o", "x.csv"], ["scan", "x.csv", "-s", "--sort-score"], ["scan", "x.csv", "-f", "/none"], ["scan", "none.csv"], ["scan", "x.csv", "--batch-size", "0"]):
         assert run(bad) == 1
     assert run(["scan"]) == 2 and run(["formats"]) == 0
+
+
+def test_windows_count_the_shared_state_once():
+    config, options = Config(guidance="long guidance " * 500), BatchOptions("auto")
+    found = list(plans(entries(30), config, options))
+    got = list(windows(found, options))
+    assert [p.layout for p in found] == ["shared"] * 30 and len(got) == 1
+    assert sum(1 for w in got for _ in pack(w, options)) == 1
+
+
+def test_windows_give_out_what_they_hold_before_an_error():
+    def broken():
+        yield from plans(entries(3), Config(guidance="rule. " * 500), options)
+        raise ValueError("torn")
+
+    options = BatchOptions("auto")
+    got = windows(broken(), options)
+    assert len(next(got)) == 3
+    with pytest.raises(ValueError, match="torn"):
+        next(got)
+
+
+def test_id_column_replaces_a_parsers_own(tmp_path, capsys):
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps({"current": "now", "value": "ok"}))
+    config = tmp_path / "config.py"
+    config.write_text("import functools\nfrom siftwell.operators.config import Config\nfrom siftwell.sources.readers import read_json\nconfig = Config(parser=functools.partial(read_json, id_column='old'))\n")
+    assert run(["preview", str(path), "--config", str(config), "--id-column", "current"]) == 0
+    assert json.loads(capsys.readouterr().out)["id"] == "now"
+    assert run(["preview", str(path), "--config", str(config)]) == 1

@@ -91,11 +91,17 @@ def test_toml(tmp_path):
 def test_obo(tmp_path):
     text = "format-version: 1.2\n\n[Term] ! first\nid: X:1\nname: one\nsynonym: a\nsynonym: b \\\n c\n\n[Typedef]\nname: rel\n"
     first, second = read(made(tmp_path, "a.obo", text))
-    assert (first.id, second.id) == ("X:1", "Typedef:10") and first.data["_stanza"] == "Term"
+    assert (first.id, second.id) == ("X:1", "stanza:10") and first.data["_stanza"] == "Term"
     assert first.paths() == ["/id/0", "/name/0", "/synonym/0", "/synonym/1"] and first.data["synonym"][1] == "b  c"
     assert len(read(tmp_path / "a.obo", options={"stanza": "Term"})) == 1
     with pytest.raises(SourceError):
         read(made(tmp_path, "b.obo", "[Term]\nid: a\\\n"))
+    for header in ("[Term]", "[Term] ! example [note]", "[Term]!with [ and ]", "[Term]\t! [Typedef]"):
+        (e,) = read(made(tmp_path, "c.obo", f"no tag here\n{header}\nid: X:1\n"))
+        assert e.id == "X:1" and e.data == {"_stanza": "Term", "id": ["X:1"]}
+    for bad in ("[Term", "[]", "[ ]", "[Term]]", "[[Term]]", "[Term] more", "[Typedef: y", "[Term]\n_stanza: x", "[Term]\nno tag"):
+        with pytest.raises(SourceError):
+            read(made(tmp_path, "d.obo", f"{bad}\nid: X:1\n"))
 
 
 def test_text_kinds(tmp_path):
@@ -144,6 +150,13 @@ def test_sqlite(tmp_path):
     assert len(read(path, tables=["v"])) == 2 and len(read(path, tables=["items", "main.items"])) == 2
     with pytest.raises(SourceError):
         read(path, tables=["none"])
+    assert [e.id for e in read(path, tables=["items"], id_column="value")] == ['"main"."items":key:["ok"]', '"main"."items":key:["hex:00ff"]']
+    alone = tmp_path / "views.db"
+    c = sqlite3.connect(alone)
+    c.execute("CREATE VIEW v AS SELECT 1 AS a")
+    c.close()
+    with pytest.raises(SourceError):
+        read(alone)
 
 
 def test_duckdb(tmp_path):
