@@ -370,7 +370,7 @@ def changed_entries(spark, d):
     return cache.misses(new, old).select("id")
 
 
-@query("followup_semi", LINES_SQL + ", s AS (SELECT id FROM e ORDER BY score DESC, id LIMIT 50) SELECT id, path, score FROM f WHERE id IN (SELECT id FROM s)")
+@query("followup_semi", LINES_SQL + ", s AS MATERIALIZED (SELECT id FROM e ORDER BY score DESC, id LIMIT 50) SELECT f.id, f.path, f.score FROM f JOIN s ON f.id = s.id")
 def followup_semi(spark, d):
     found = lines(spark, d)
     short = found.orderBy(F.desc("score"), "id").limit(50).select("id")
