@@ -29,9 +29,11 @@ _MIX = np.random.default_rng(20240229).integers(1, 2**63, size=(2, 4096), dtype=
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder the cluster names; a folder of our own only where none is named."""
+    """A fresh path below the folder the cluster names; a folder of our own only in local mode without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siftwell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/siftwell/{name}-{uuid.uuid4().hex}"
