@@ -22,10 +22,13 @@ from siftwell.llm.templates import contaminated
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a language is told, with it as their `lang`.
 
-    Rejected: null texts, texts without a letter, and texts that even the nearest language codes in no fewer
-    bits than their bytes have. Equal texts share their fate; no labelled text at all rejects everything.
+    Rejected: null texts, texts without a letter, and noise: texts that even the nearest language codes in 64
+    bits more than plain bytes would take, so that odds of 2 ** 64 are against it (a short text of unknown words
+    has no such odds and stays). Equal texts share their fate; no labelled text at all rejects everything.
     """
-    found = predict(docs, fit(docs), carry=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < 8))
+    found = predict(docs, fit(docs), carry=True)
+    over = (F.col("bits_per_byte") - 8) * F.octet_length(f"c{docs.columns.index('text')}")
+    found = found.where((F.col("lang_pred") != UNKNOWN) & (over < 64))
     return found.select(*[F.col("lang_pred" if x == "lang" else f"c{i}").alias(x) for i, x in enumerate(docs.columns)])
 
 
