@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import JACCARD, SUFFIXES
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -91,4 +93,4 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_weak_labels": op10_weak_labels,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_suffixes": SUFFIXES, "op9_jaccard": JACCARD}
