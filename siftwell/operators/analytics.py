@@ -58,8 +58,7 @@ def stratified(rows: DataFrame, strata: Sequence[str], salt: str, columns: Seque
 
 def interleaved(rows: DataFrame, place: str, order: Sequence[str]) -> DataFrame:
     """rows with place: first all first ones, then all second ones, and so on."""
-    keyed = rows.withColumn("_o", F.struct(place, *order))
-    return ranked(keyed, "_o").withColumn("place", F.col("place") + 1).drop("_o")
+    return ranked(rows, place, *order).withColumn("place", F.col("place") + 1)
 
 
 def alternating(rows: list[tuple], label: int, query: int) -> list[tuple]:

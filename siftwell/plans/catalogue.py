@@ -167,8 +167,8 @@ def anomalies_field_rows(spark, d):
 
 
 def _ranked(frame: DataFrame, *keys: Column) -> DataFrame:
-    """A rank over all rows, for reports that people read; the report is one sorted file, as its sink is."""
-    return frame.withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+    """A rank over all rows, from a sort by ranges."""
+    return packing.ranked(frame, *keys).withColumn("rank", F.col("place") + 1).drop("place")
 
 
 @query("sort_score_rank", CUSTOMERS_SQL + " SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM e")
