@@ -26,9 +26,13 @@ class Rule:
     low: float = 0.1
     confidence: float = 0.8
 
+    def chance(self) -> Column:
+        """The score of this field: a literal of two, by the condition."""
+        return F.when(F.expr(self.when), F.lit(self.high)).otherwise(F.lit(self.low))
+
     def struct(self) -> Column:
         """path, value, label, confidence, score of this field."""
-        score = F.when(F.expr(self.when), F.lit(self.high)).otherwise(F.lit(self.low))
+        score = self.chance()
         return F.struct(
             F.lit(self.path).alias("path"),
             F.expr(f"CAST({self.value} AS STRING)").alias("value"),
@@ -44,9 +48,16 @@ def assess(table: DataFrame, entry_id: str, rules: Sequence[Rule], threshold: fl
     Fields stand in code-point order of their paths; the entry has label, confidence and score of the field
     of greatest score, the first path winning ties.
     """
-    fields = F.array(*[r.struct() for r in sorted(rules, key=lambda r: r.path)])
-    rows = table.select(F.expr(entry_id).alias("id"), fields.alias("fields"))
-    return rolled_up(rows, threshold)
+    ordered = sorted(rules, key=lambda r: r.path)
+    fields = F.array(*[r.struct() for r in ordered]).alias("fields")
+    if not ordered:
+        raise ValueError("an assessment needs a rule")
+    # the verdict is made of the conditions themselves, so that a filter on it runs before any field is built
+    scores = [r.chance() for r in ordered]
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    confidence = F.coalesce(*[F.when(x == best, F.lit(r.confidence)) for x, r in zip(scores, ordered, strict=True)])
+    label = F.when(best >= 0.5, ANOMALY).otherwise(NORMAL)
+    return table.select(F.expr(entry_id).alias("id"), fields, label.alias("label"), confidence.alias("confidence"), best.alias("score"), (best >= threshold).alias("warning"))
 
 
 def rolled_up(entries: DataFrame, threshold: float = 0.5) -> DataFrame:
