@@ -89,4 +89,4 @@ def shortlist(rows: DataFrame, top: int, threshold: float, ordinal: str) -> Data
     checked = rows.where(F.when(bad, F.raise_error(F.lit("a score must lie in 0..1"))).otherwise(F.col("score") >= threshold))
     best = checked.orderBy(F.desc("score"), ordinal).limit(top)
     numbered = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), ordinal)).cast("long"))
-    return numbered.crossJoin(checked.agg(F.count(F.lit(1)).alias("matching")))
+    return numbered.withColumn("matching", checked.agg(F.count(F.lit(1))).scalar())

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import canonical as C
 from ..functions.columns import is_present, resolved, token_estimate, value_text
@@ -135,7 +135,8 @@ def field_view_parent_context(spark, d):
 @query("csv_entry_expansion", rolled("supplier", "s_suppkey", [Rule("/s_acctbal", "CAST(floor(s_acctbal) AS BIGINT)", "s_acctbal < 0", 0.9, 0.1), Rule("/s_name", "s_name", "s_nationkey = 7", 0.6, 0.2)]) + " SELECT e.id, e.label, e.score, f.path AS field_path, f.value AS field_value, f.label AS field_label, f.score AS field_score FROM e JOIN f ON e.id = f.id")
 def csv_entry_expansion(spark, d):
     found = rules.assess(table(spark, d, "supplier"), "s_suppkey", [Rule("/s_acctbal", "CAST(floor(s_acctbal) AS BIGINT)", "s_acctbal < 0", 0.9, 0.1), Rule("/s_name", "s_name", "s_nationkey = 7", 0.6, 0.2)])
-    return found.select("id", "label", "score", F.explode("fields").alias("f")).select("id", "label", "score", *[F.col(f"f.{x}").alias(f"field_{x}") for x in ("path", "value", "label", "score")])
+    entry = [F.col(f"entry_{x}").alias(x) for x in ("label", "score")]
+    return rules.field_rows(found).select("id", *entry, *[F.col(x).alias(f"field_{x}") for x in ("path", "value", "label", "score")])
 
 
 @query("flagged_fields", LINES_SQL + " SELECT id, path, score FROM f WHERE score >= 0.5")
@@ -298,8 +299,11 @@ def token_estimate_(spark, d):
 
 @query("request_key", f"SELECT n_nationkey AS id, sha256(concat('{{\"endpoint\":\"{C.ENDPOINT}\",\"request\":{{\"name\":\"', n_name, '\",\"region\":', n_regionkey, '}}}}')) AS request_hash FROM nation")
 def request_key(spark, d):
-    text = F.concat(F.lit(f'{{"endpoint":"{C.ENDPOINT}","request":{{"name":"'), "n_name", F.lit('","region":'), F.col("n_regionkey").cast("string"), F.lit("}}"))
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.sha2(text, 256).alias("request_hash"))
+    @F.pandas_udf("string")
+    def key(names: pd.Series, regions: pd.Series) -> pd.Series:
+        return pd.Series([C.request_key({"region": int(r), "name": n}) for n, r in zip(names, regions, strict=True)], dtype="object")
+
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), key("n_name", "n_regionkey").alias("request_hash"))
 
 
 @query("duplicate_ids", "SELECT sha256(text) AS id, count(*) AS entries FROM documents GROUP BY 1 HAVING count(*) > 1")
