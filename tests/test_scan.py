@@ -164,11 +164,15 @@ def test_row_expressions(spark):
     keep = lambda e: [r["id"] for r in where(rows, e).orderBy("id").collect()]
     assert keep("value ->> 'k' = 'x'") == ["a"] and keep("score >= 0.2 -- all\n") == ["a", "b"] and keep("CAST(value ->> '/n/m' AS INT) = 3") == ["a"]
     assert keep("starts_with(id, 'a') OR score IS NULL") == ["a", "c"]
-    for bad in ("sum(score) > 1", "none_such = 1"):
+    assert keep("CAST(score * 10 AS INT) // 2") == ["a", "b"] and keep("round(score * 10)::INT ** 2 = 81") == ["a"] and keep("2 ** (1 + 1) = 4 AND id = 'b'") == ["b"]
+    assert keep("id[1:1] = 'c'") == ["c"] and keep("list_filter(split('p,q,r', ','), lambda x: x > 'p')[2:] = array('r') AND split(id, ',')[1] = 'a'") == ["a"]
+    assert keep("strftime(strptime('2020-01-02', '%Y-%m-%d'), '%d of %b') = '02 of Jan' AND epoch(strptime('1970-01-01', '%Y-%m-%d')) = 0 AND score > 0.5") == ["a"]
+    for bad in ("sum(score) > 1", "none_such = 1", "strftime(id, id)", "strptime(id, '%Q') > id"):
         with pytest.raises(ReportError):
             where(rows, bad)
     assert [r["id"] for r in rows.orderBy(*order_keys(rows, "score DESC")).collect()] == ["a", "b", "c"]
     assert [r["id"] for r in rows.orderBy(*order_keys(rows, "2 NULLS FIRST")).collect()] == ["c", "b", "a"]
+    assert [r["id"] for r in rows.orderBy(*order_keys(rows, "ALL DESC")).collect()] == ["c", "b", "a"]
 
 
 def test_scan_frame(spark, tmp_path):
