@@ -4,23 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .packing import ranked
 
 
 def confusion(rows: DataFrame, gold: str, pred: str, kinds: Sequence[str]) -> DataFrame:
-    """(gold, one column of counts for each kind of prediction), zeros included."""
-    return rows.groupBy(F.col(gold).alias("gold")).agg(*[F.count_if(F.col(pred) == k).alias(k) for k in kinds])
+    """(gold, one column of counts for each kind of prediction): a row for each kind, zeros included."""
+    counts = rows.where(F.col(gold).isin([*kinds])).agg(*[F.count_if((F.col(gold) == g) & (F.col(pred) == p)).alias(f"{i} {j}") for i, g in enumerate(kinds) for j, p in enumerate(kinds)])
+    one = [F.struct(F.lit(g).alias("gold"), *[F.col(f"{i} {j}").alias(p) for j, p in enumerate(kinds)]) for i, g in enumerate(kinds)]
+    return counts.select(F.explode(F.array(*one)).alias("r")).select("r.*")
 
 
-def metrics(rows: DataFrame, gold: str, pred: str, kinds: Sequence[str], negative: str, by: str | None = None) -> DataFrame:
+def metrics(rows: DataFrame, gold: str, pred: str, kinds: Sequence[str], negative: str, by: str | Sequence[str] | None = None) -> DataFrame:
     """n, accuracy, majority (share of the commonest gold kind), precision and recall of `negative`.
 
-    With by, a row for each of its values and one (null) for all, from one pass; a ratio without a
-    denominator is null.
+    With by, a row for each of its values and one (null) for all, from one pass, and so on for several columns
+    from the last; a ratio without a denominator is null.
     """
     g, p = F.col(gold), F.col(pred)
     both = F.count_if((g == negative) & (p == negative))
@@ -31,7 +36,7 @@ def metrics(rows: DataFrame, gold: str, pred: str, kinds: Sequence[str], negativ
         F.try_divide(both, F.count_if(p == negative)).alias("precision"),
         F.try_divide(both, F.count_if(g == negative)).alias("recall"),
     ]
-    return rows.agg(*columns) if by is None else rows.rollup(by).agg(*columns)
+    return rows.agg(*columns) if by is None else rows.rollup(*([by] if isinstance(by, str) else by)).agg(*columns)
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -61,22 +66,41 @@ def interleaved(rows: DataFrame, place: str, order: Sequence[str]) -> DataFrame:
     return ranked(rows, place, *order).withColumn("place", F.col("place") + 1)
 
 
-def alternating(rows: list[tuple], label: int, query: int) -> list[tuple]:
-    """Rows alternating between labels, never two of one query: the exact fold, for samples that fit the driver."""
-    queues: dict[object, list[tuple]] = {}
-    for r in rows:
-        queues.setdefault(r[label], []).append(r)
-    used: set[object] = set()
-    out: list[tuple] = []
-    while queues:
-        for name in sorted(queues, key=str):
-            while queues[name] and queues[name][0][query] in used:
-                queues[name].pop(0)
-            if queues[name]:
-                out.append(queues[name].pop(0))
-                used.add(out[-1][query])
-        queues = {k: v for k, v in queues.items() if v}
-    return out
+def alternating(rows: DataFrame, domain: str, label: str, query: str, salt: str, columns: Sequence[str], labels: Sequence) -> DataFrame:
+    """For each domain a row for each of labels in turn: the first by salted hash that has the label and a query that
+    no earlier one has. Columns step (from 1) and h are added; a step that finds no row is left out.
+
+    Of n labels no row counts but the first of the n first queries of its label, so what a domain's fold gets is at
+    most n rows a label, whatever the table's size; the first row of a query is a partial aggregation.
+    """
+    n, kinds = len(labels), [*dict.fromkeys(labels)]
+    hashed = rows.where(F.col(label).isin(kinds)).withColumn("h", salted_hash(salt, columns))
+    first = hashed.groupBy(domain, label, query).agg(F.min_by(F.struct(*hashed.columns), "h").alias("_row"))
+    nth = F.row_number().over(Window.partitionBy(domain, label).orderBy("_row.h"))
+    few = first.withColumn("_k", nth).where(F.col("_k") <= n).select("_row.*")
+
+    def fold(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("h", kind="stable")
+        used: set = set()
+        picked: list[int] = []
+        steps: list[int] = []
+        for step, wanted in enumerate(labels, 1):
+            for i in np.flatnonzero((found[label] == wanted).to_numpy()):
+                if found[query].iloc[i] not in used:
+                    used.add(found[query].iloc[i])
+                    picked.append(int(i))
+                    steps.append(step)
+                    break
+        return found.iloc[picked].assign(step=np.array(steps, dtype=np.int64))
+
+    schema = T.StructType([*few.schema, T.StructField("step", T.LongType())])
+    return few.groupBy(domain).applyInPandas(fold, schema)
+
+
+def planned(rows: DataFrame) -> DataFrame:
+    """What a preview's rows (request_hash, layout, estimated_tokens) come to: planned_requests,
+    estimated_input_tokens, layouts."""
+    return rows.agg(F.count(F.lit(1)).alias("planned_requests"), F.sum("estimated_tokens").alias("estimated_input_tokens"), F.array_sort(F.collect_set("layout")).alias("layouts"))
 
 
 def shortlist(rows: DataFrame, top: int, threshold: float, ordinal: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 ColumnOrName = Column | str
 
 
-def _checkpointed(rows: DataFrame) -> DataFrame:
+def checkpointed(rows: DataFrame) -> DataFrame:
     """rows, computed once: what is read twice after a sort by ranges must have the same ranges both times."""
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -31,7 +31,7 @@ def _checkpointed(rows: DataFrame) -> DataFrame:
 
 def _sorted(rows: DataFrame, *keys: ColumnOrName) -> DataFrame:
     """rows in order, with _at: the number of their range << 33 | their place in it."""
-    return _checkpointed(rows.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    return checkpointed(rows.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()))
 
 
 def ranked(rows: DataFrame, *keys: ColumnOrName) -> DataFrame:

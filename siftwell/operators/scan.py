@@ -1,16 +1,19 @@
 """A scan: entries to plans, stored answers first, the rest asked once, rolled up in input order.
 
 scan_frame() is the form for a cluster: plans, the join with the store, and the evaluation are stages of a
-job, and each answer is a file of the ledger before the task that paid for it ends. scan() is the same for
-one process, entry by entry, for interactive runs.
+job, and a task's answers are files of the store as soon as the task ends, even if the job fails later.
+scan() is the same for one process, entry by entry, for interactive runs.
 """
 
 from __future__ import annotations
 
+import fcntl
 import json
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from typing import TextIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,21 +68,34 @@ class Stats:
                 setattr(self, k, getattr(self, k) + n)
 
 
+def _whole(line: str) -> dict | None:
+    """A line of a store, unless a crash cut it short."""
+    try:
+        r = json.loads(line) if line.endswith("\n") else None
+    except ValueError:
+        return None
+    return r if isinstance(r, dict) else None
+
+
 @dataclass
 class Store:
-    """Answers by key, kept in an append-only JSONL file if a path is given; the last of a key wins."""
+    """Answers by key, kept in an append-only JSONL file if a path is given; the last of a key wins.
+
+    The file is opened and locked with the first row that is written, so that a second process is refused
+    rather than let write between the lines; close() gives it free, and later rows open it again.
+    """
 
     path: str | None = None
     answers: dict[str, tuple[dict, str]] = field(default_factory=dict)
     ledger: dict[str, dict] = field(default_factory=dict)
+    _file: TextIO | None = field(default=None, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         if self.path:
             try:
                 with open(self.path, encoding="utf-8") as f:
                     for line in f:
-                        if line.endswith("\n"):  # a line that a crash cut short is no answer
-                            r = json.loads(line)
+                        if (r := _whole(line)) is not None:
                             if r["kind"] == "answer":
                                 self.answers[r["key"]] = (r["response"], r["assessed_at"])
                             else:
@@ -89,9 +105,36 @@ class Store:
 
     def _append(self, row: dict) -> None:
         if self.path:
-            with open(self.path, "a", encoding="utf-8") as f:
-                f.write(canonical(row) + "\n")
-                f.flush()
+            if self._file is None:
+                self._file = self._opened()
+            self._file.write(canonical(row) + "\n")
+            self._file.flush()
+
+    def _opened(self) -> TextIO:
+        out = open(self.path, "a+", encoding="utf-8")  # noqa: SIM115
+        try:
+            fcntl.flock(out, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except OSError:
+            out.close()
+            raise EvaluationError(f"{self.path} is being written by another run") from None
+        with open(self.path, "rb") as f:  # a line that a crash cut short must not swallow the next
+            end = f.seek(0, 2)
+            f.seek(max(0, end - 1))
+            whole = not end or f.read(1) == b"\n"
+        if not whole:
+            out.write("\n")
+        return out
+
+    def close(self) -> None:
+        if self._file is not None:
+            self._file.close()
+            self._file = None
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     def put(self, key: str, response: dict, at: str) -> None:
         self.answers[key] = (response, at)
@@ -132,9 +175,22 @@ def _gather(batch: Batch, evaluator: Evaluator, window: list[Plan], stats: Stats
 
 
 def scan(entries: Iterable[Entry], config: Config, *, store: Store | None = None, refresh: bool = False, evaluator: Evaluator | None = None, options: BatchOptions | None = None, stats: Stats | None = None, now: Callable[[], str] | None = None) -> Iterator[Result]:
-    """Results in input order. An answer is stored as soon as all of its entry's fields are answered."""
-    options, stats = options or BatchOptions(), stats or Stats()
-    now = now or (lambda: datetime.now(UTC).isoformat())
+    """Results in input order. An answer is stored as soon as all of its entry's fields are answered.
+
+    However the scan ends, by its last result, an error or by being left, the source is closed if it can be,
+    then the store's file, and an evaluator that the scan made itself.
+    """
+    own: list[Evaluator] = []
+    try:
+        yield from _scan(entries, config, store, refresh, evaluator, own, options or BatchOptions(), stats or Stats(), now or (lambda: datetime.now(UTC).isoformat()))
+    finally:
+        for x in (entries, store, *own):
+            close = getattr(x, "close", None)
+            if close is not None:
+                close()
+
+
+def _scan(entries: Iterable[Entry], config: Config, store: Store | None, refresh: bool, evaluator: Evaluator | None, own: list[Evaluator], options: BatchOptions, stats: Stats, now: Callable[[], str]) -> Iterator[Result]:
     for window in windows(plans(entries, config, options), options):
         ready: dict[int, Result] = {}
         first: dict[str, int] = {}
@@ -149,7 +205,9 @@ def scan(entries: Iterable[Entry], config: Config, *, store: Store | None = None
                 first[p.key] = i
                 missing.append(i)
         asked = [window[i] for i in missing]
-        evaluator = evaluator or (for_model(config.model) if asked else None)
+        if asked and evaluator is None:
+            evaluator = for_model(config.model)
+            own.append(evaluator)
         answers: list[dict] = [{} for _ in asked]
         model: list[str | None] = [None] * len(asked)
         hashes: list[list[str]] = [[] for _ in asked]
@@ -160,11 +218,11 @@ def scan(entries: Iterable[Entry], config: Config, *, store: Store | None = None
                 whole = asked[0].layout == "entry" and request is batch.request
                 key = request_key(request) if whole or not store else store.put_request(request, response, at)
                 for k, a in response["answers"].items():
-                    i, own = batch.owners[k]
+                    i, name = batch.owners[k]
                     if model[i] not in (None, response["model"]):
                         raise EvaluationError(f"entry {asked[i].entry.id} was answered by two models")
                     model[i] = response["model"]
-                    answers[i][own] = a
+                    answers[i][name] = a
                     if key not in hashes[i]:
                         hashes[i].append(key)
                 for i in sorted({batch.owners[k][0] for k in response["answers"]}):
@@ -202,6 +260,21 @@ def plan_frame(entries: DataFrame, config: Config) -> DataFrame:
     return entries.select("ordinal", "id", "source", "entry_json", "fields", "absent").mapInArrow(run, PLAN_SCHEMA)
 
 
+def summed(usages: list[dict]) -> dict:
+    """The usage of one request, or of its halves together: numbers are added, of other values the last stays."""
+    if len(usages) == 1:
+        return usages[0]
+    total: Counter[str] = Counter()
+    rest: dict = {}
+    for usage in usages:
+        for k, n in usage.items():
+            if isinstance(n, int) and not isinstance(n, bool):
+                total[k] += n
+            else:
+                rest[k] = n
+    return rest | dict(total)
+
+
 def answer_frame(requests: DataFrame, make: Callable[[], Evaluator]) -> DataFrame:
     """(request_hash, response, assessed_at) of (request_hash, request). mapInArrow keeps filters of the report
     from being pushed below it, and the caller writes the result once, so that no request is sent twice."""
@@ -213,11 +286,14 @@ def answer_frame(requests: DataFrame, make: Callable[[], Evaluator]) -> DataFram
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 evaluator = evaluator or make()
                 request = json.loads(text)
-                answers, usage, model = {}, {}, None
+                answers, usages, model = {}, [], None
                 for _, response in evaluate_split(evaluator, request):
+                    if model not in (None, response["model"]):
+                        raise EvaluationError(f"request {key} was answered by two models")
                     answers |= response["answers"]
-                    usage = response.get("usage", {})
+                    usages.append(response.get("usage", {}))
                     model = response["model"]
+                usage = summed(usages)
                 out.append((key, canonical({"model": model, "answers": answers, "usage": usage}), datetime.now(UTC).isoformat()))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 3, names=["request_hash", "response", "assessed_at"])
 
@@ -255,23 +331,29 @@ def scan_frame(entries: DataFrame, config: Config, store_path: str, make: Callab
 
     A key is asked once however many entries have it; cached says that the store had it, or an earlier entry.
     New answers are appended before anything reads them, so evaluation is never part of what a later filter,
-    sort or retry recomputes.
+    sort or retry recomputes. Plans are made once. If the job fails, the answers of the tasks that ended stay in
+    the store, and the next run doesn't ask for them again; a task that is run twice may leave a key twice, which
+    reading by key takes as one.
     """
     from .cache import cached_flags, first_of, latest, misses
+    from .packing import checkpointed
 
     spark = entries.sparkSession
     model = config.model
     make = make or (lambda: for_model(model))
-    planned = plan_frame(entries, config)
+    planned = checkpointed(plan_frame(entries, config))
     repeated = planned.groupBy("id").count().where("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"id {repeated[0]['id']} occurs twice")
     where = spark._jvm.org.apache.hadoop.fs.Path(store_path)
     there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
     known = latest(spark.read.schema(ANSWER_SCHEMA).parquet(store_path), ["response"]) if there and not refresh else spark.createDataFrame([], ANSWER_SCHEMA)
-    fresh = answer_frame(first_of(misses(planned, known), ["request_hash"]), make)
+    # asking takes far longer than a shuffle: dealt over all tasks, whose number isn't lowered for small data
+    unknown = first_of(misses(planned, known), ["request_hash"]).select("request_hash", "request")
+    fresh = answer_frame(unknown.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("request_hash")), make)
     stamp = datetime.now(UTC).isoformat()  # answers of this run come later
-    fresh.write.mode("append").parquet(store_path)
+    # by this committer a task's files are in place when the task ends
+    fresh.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store_path)
     after = latest(spark.read.schema(ANSWER_SCHEMA).parquet(store_path), ["response"])
     flagged = cached_flags(planned)
     stored = F.lit(False) if refresh else F.col("assessed_at") < F.lit(stamp)

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import os
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.canonical import canonical
+from ..sources.readers import Entry, SourceError
+
+CONTEXT_LIMIT = "These are the chosen events and the user messages before them. What assistants and tools did before, and the state of things outside, may be missing; that the file ends doesn't mean that the task was done."
+
 
 def _so_far(key: str, order: str):
     return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -24,10 +35,59 @@ def segments(turns: DataFrame, key: str = "conv_id", order: str = "turn", role:
     )
 
 
-def prior_messages(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role") -> DataFrame:
-    """turns with prior: the places of the user's turns before each."""
+def prior_messages(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str | None = None) -> DataFrame:
+    """turns with prior: the places of the user's turns before each, or with text structs of place and text."""
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return turns.withColumn("prior", F.collect_list(F.when(F.col(role) == "user", F.col(order).cast("string"))).over(before))
+    told = F.col(order).cast("string") if text is None else F.struct(F.col(order).alias("i"), F.col(text).alias("text"))
+    return turns.withColumn("prior", F.collect_list(F.when(F.col(role) == "user", told)).over(before))
+
+
+def selected(rows: DataFrame, keep: Sequence[str], messages: str = "messages", answer: str = "answer_text", entry_id: str = "total_index") -> DataFrame:
+    """Whole traces as entries (id, entry_json, fields): of the columns only `keep`, so that labels and reference
+    answers never reach a request; fields are the assistant's messages and the answer."""
+    names = sorted(x for x in keep if x in rows.columns)
+    pointers = F.transform(F.col(messages), lambda m, i: F.when(m["role"] == "assistant", F.concat(F.lit(f"/{messages}/"), i.cast("string"))))
+    told = F.concat(F.array_compact(pointers), F.array(F.lit(f"/{answer}")))
+    return rows.select(F.col(entry_id).cast("string").alias("id"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("entry_json"), told.alias("fields"))
+
+
+def event_entries(text: str, name: str, whole: bool = False) -> Iterator[Entry]:
+    """Segments of one trace file: its events from each user message to the next (those before the first too), each
+    with its pointer into the file, and the user messages before; or all events as one entry.
+
+    The file is an object with events, or with a session that has them.
+    """
+    document = json.loads(text)
+    session = document.get("session", document) if isinstance(document, dict) else None
+    events = session.get("events") if isinstance(session, dict) else None
+    if not isinstance(events, list) or not all(isinstance(e, dict) for e in events):
+        raise SourceError(f"{name}: a trace is an object with a list of events")
+    prefix = "/session/events" if "session" in document else "/events"
+    trace = session.get("session_id") or os.path.splitext(os.path.basename(name))[0]
+    pointed = [{"source_pointer": f"{prefix}/{i}", "event": e} for i, e in enumerate(events)]
+    asked = [i for i, e in enumerate(events) if e.get("kind") == "message" and e.get("role") == "user"]
+    cuts = [0, len(events)] if whole else sorted({0, *asked, len(events)})
+    for a, b in pairwise(cuts):
+        if a < b:
+            about = {"trace_id": trace, "scope": "whole_trace" if whole else "user_turn_segment", "event_range": {"start": a, "stop_exclusive": b}}
+            data = about | {"prior_user_messages": [pointed[i] for i in asked if i < a], "segment": pointed[a:b], "context_limit": CONTEXT_LIMIT}
+            yield Entry(f"{trace}:{a}-{b}", data, ["/segment"], f"{name}#{prefix}/{a}")
+
+
+def read_events(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """event_entries() of every file under path, read by Spark: (id, source, entry_json, fields, absent)."""
+    names = ["id", "source", "entry_json", "fields", "absent"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [(e.id, e.source, canonical(e.data), e.fields, e.absent) for e in event_entries(raw.as_py().decode(), name, whole)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(run, "id string, source string, entry_json string, fields array<string>, absent array<string>")
 
 
 def assistant_fields(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", answer: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as C
 from ..functions.columns import is_present, resolved, token_estimate, value_text
-from ..operators import analytics, cache, packing, report, rules, selection, traces
+from ..operators import analytics, cache, packing, report, results, rules, selection, traces
 from ..operators.rules import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,6 +198,12 @@ def where_expr_fields(spark, d):
     return report.where(rules.field_rows(orders(spark, d)), "path = '/o_totalprice' AND value::BIGINT BETWEEN 399000 AND 401000").select("id", "path", "value")
 
 
+@query("where_dialect_entries", LINES_SQL + " SELECT id, score FROM e WHERE (score * 100)::INTEGER // 7 > 11 AND split_part(id, ':', 1)::BIGINT % 2 AND 2 ** 3 < 9 AND strftime(strptime('1998-07-05', '%Y-%m-%d'), '%d.%m.%y') = '05.07.98' AND id[1:1] <> '4'")
+def where_dialect_entries(spark, d):
+    found = report.where(lines(spark, d), "(score * 100)::INTEGER // 7 > 11 AND (split_part(id, ':', 1)::BIGINT % 2)::BOOLEAN AND 2 ** 3 < 9 AND strftime(strptime('1998-07-05', '%Y-%m-%d'), '%d.%m.%y') = '05.07.98' AND id[1:1] <> '4'")
+    return found.select("id", "score")
+
+
 @query("where_json_fields", "SELECT event_id AS id, props FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) >= 90")
 def where_json_fields(spark, d):
     return report.where(table(spark, d, "events").select(F.col("event_id").alias("id"), "props"), "CAST(props ->> 'k' AS INT) >= 90")
@@ -455,7 +461,7 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("source", F.when(F.col("quality") == 0, "bad").when(F.col("toxic") == 1, "toxic").otherwise("good").alias("gold"), F.when(F.col("n_chars") < 300, "bad").when(F.col("n_chars") % 11 == 0, "toxic").otherwise("good").alias("pred"))
 
 
-@query("confusion_matrix", "SELECT gold, " + ", ".join(f"count(*) FILTER (WHERE pred = '{k}') AS {k}" for k in KINDS) + f" FROM ({_GOLD}) GROUP BY gold")
+@query("confusion_matrix", "SELECT gold, " + ", ".join(f"count(*) FILTER (WHERE pred = '{k}') AS {k}" for k in KINDS) + f" FROM (VALUES ('bad'), ('good'), ('toxic')) k(gold) LEFT JOIN ({_GOLD}) g USING (gold) GROUP BY gold")
 def confusion_matrix(spark, d):
     return analytics.confusion(gold(spark, d), "gold", "pred", KINDS)
 
@@ -489,6 +495,40 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").select("doc_id", "source", "quality")
 
 
+_CASES = f"SELECT CASE WHEN doc_id % 3 = 0 THEN 'outcome' ELSE 'step' END AS kind, d.source AS domain, CASE WHEN l.quality = 0 THEN 'bad' WHEN l.toxic = 1 THEN 'toxic' ELSE 'good' END AS gold, CASE WHEN d.n_chars < 300 THEN 'bad' WHEN d.n_chars % 11 = 0 THEN 'toxic' ELSE 'good' END AS pred FROM labels l JOIN documents d USING (doc_id)"
+_CONFUSED = "[" + ", ".join("[" + ", ".join(f"count(*) FILTER (WHERE gold = '{g}' AND pred = '{p}')" for p in KINDS) + "]" for g in KINDS) + "]"
+
+
+@query("evaluation_outputs", f"SELECT kind, domain, {_METRICS}, array_to_string(flatten({_CONFUSED}), ',') AS confusion FROM ({_CASES}) GROUP BY GROUPING SETS ((kind, domain), (kind))")
+def evaluation_outputs(spark, d):
+    documents = table(spark, d, "documents").select("doc_id", "n_chars", "source")
+    both = table(spark, d, "labels").join(documents, "doc_id")
+    place = F.when(F.col("doc_id") % 3 == 0, "/answer_text").otherwise("/messages/1").alias("path")
+    told = both.select(F.col("doc_id").cast("string").alias("id"), place, F.when(F.col("n_chars") < 300, "bad").when(F.col("n_chars") % 11 == 0, "toxic").otherwise("good").alias("label"))
+    people = both.select(F.col("doc_id").cast("string").alias("id"), place, F.col("source").alias("domain"), F.when(F.col("quality") == 0, "bad").when(F.col("toxic") == 1, "toxic").otherwise("good").alias("gold"))
+    found = results.agreement(results.judged(told, people), KINDS, "bad")
+    return found.withColumn("confusion", F.concat_ws(",", F.transform(F.flatten("confusion"), lambda x: x.cast("string"))))
+
+
+@query("result_entry_table", ORDERS_SQL + " SELECT CAST(e.id AS VARCHAR) || ' · ' || s.value AS entry, e.label, round(e.score, 2) AS score, CASE WHEN e.warning THEN 'Yes' ELSE 'No' END AS warning FROM e JOIN f s ON s.id = e.id AND s.path = '/o_orderstatus'")
+def result_entry_table(spark, d):
+    return results.entry_table(orders(spark, d), "/o_orderstatus")
+
+
+@query("result_flagged_table", ORDERS_SQL + " SELECT CAST(f.id AS VARCHAR) || ' · ' || s.value AS entry, f.path AS field, f.value, round(f.score, 2) AS score FROM f JOIN f s ON s.id = f.id AND s.path = '/o_orderstatus' WHERE f.score >= 0.5")
+def result_flagged_table(spark, d):
+    return results.flagged_table(orders(spark, d), 0.5, "/o_orderstatus")
+
+
+@query("alternating_pick", f"""WITH RECURSIVE c AS (SELECT source, quality, doc_id, doc_id % 37 AS q, sha256('7:' || source || ':' || doc_id) AS h FROM ({_LABELLED})),
+p AS (SELECT DISTINCT source, 0 AS step, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS doc_id FROM c
+UNION ALL SELECT p.source, p.step + 1, list_append(any_value(p.used), arg_min(c.q, c.h)), arg_min(c.doc_id, c.h) FROM p LEFT JOIN c ON c.source = p.source AND c.quality = p.step % 2 AND NOT list_contains(p.used, c.q) WHERE p.step < 6 GROUP BY p.source, p.step)
+SELECT source, CAST(step AS BIGINT) AS step, doc_id FROM p WHERE doc_id IS NOT NULL""")
+def alternating_pick(spark, d):
+    rows = labelled(spark, d).withColumn("q", F.col("doc_id") % 37)
+    return analytics.alternating(rows, "source", "quality", "q", "7", ["source", "doc_id"], [0, 1, 0, 1, 0, 1]).select("source", "step", "doc_id")
+
+
 @query("hash_ordered_sample", f"SELECT doc_id, sha256('7:' || source || ':' || doc_id) AS h FROM ({_LABELLED}) ORDER BY h LIMIT 40")
 def hash_ordered_sample(spark, d):
     return analytics.hash_sample(labelled(spark, d), "7", ["source", "doc_id"], 40).select("doc_id", "h")
@@ -528,6 +568,20 @@ def trace_prior_messages(spark, d):
     return traces.prior_messages(table(spark, d, "conversations")).select("conv_id", "turn", F.concat_ws(",", "prior").alias("prior"))
 
 
+@query("trace_prior_texts", "SELECT conv_id, turn, coalesce(string_agg(CASE WHEN role = 'user' THEN turn || '=' || text END, '|' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM conversations")
+def trace_prior_texts(spark, d):
+    found = traces.prior_messages(table(spark, d, "conversations"), text="text")
+    return found.select("conv_id", "turn", F.concat_ws("|", F.transform("prior", lambda m: F.concat(m["i"].cast("string"), F.lit("="), m["text"]))).alias("prior"))
+
+
+@query("trace_selection", "SELECT CAST(conv_id AS VARCHAR) AS id, coalesce(string_agg('/messages/' || (k - 1), ',' ORDER BY k) FILTER (WHERE role = 'assistant') || ',', '') || '/answer_text' AS fields FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) GROUP BY conv_id")
+def trace_selection(spark, d):
+    whole = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"), F.max("text").alias("answer_text"))
+    found = traces.selected(whole.withColumn("step_labels", F.lit("secret")), ["messages", "answer_text"], entry_id="conv_id")
+    clean = F.assert_true(~F.contains("entry_json", F.lit("step_labels")))
+    return found.select("id", F.concat_ws(",", "fields").alias("fields"), clean.alias("_")).drop("_")
+
+
 @query("assistant_fields", "SELECT conv_id, string_agg('/messages/' || turn, ',' ORDER BY turn) AS fields FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def assistant_fields(spark, d):
     return traces.assistant_fields(table(spark, d, "conversations")).where(F.size("fields") > 0).select("conv_id", F.concat_ws(",", "fields").alias("fields"))

@@ -240,3 +240,69 @@ def test_id_column_replaces_a_parsers_own(tmp_path, capsys):
     assert run(["preview", str(path), "--config", str(config), "--id-column", "current"]) == 0
     assert json.loads(capsys.readouterr().out)["id"] == "now"
     assert run(["preview", str(path), "--config", str(config)]) == 1
+
+
+def test_a_scan_that_is_left_closes_what_it_holds(tmp_path, monkeypatch):
+    closed = []
+
+    def source():
+        try:
+            yield from entries()
+        finally:
+            closed.append("source")
+
+    class Closing(LiteralEvaluator):
+        def close(self):
+            closed.append("evaluator")
+
+    monkeypatch.setattr("siftwell.operators.scan.for_model", lambda _: Closing())
+    path = str(tmp_path / "a.jsonl")
+    store = Store(path)
+    running = scan(source(), Config(), store=store)
+    next(running)
+    with pytest.raises(EvaluationError, match="another run"):
+        Store(path).put("k", {}, "now")
+    running.close()
+    assert closed == ["source", "evaluator"] and store._file is None
+    given = Closing()
+    list(scan(entries(), Config(), evaluator=given))
+    assert closed == ["source", "evaluator"]  # a given evaluator stays open
+    with open(path, "a") as f:
+        f.write('{"cut":')
+    list(scan(entries(), Config(), store=Store(path)))
+    assert len(Store(path).answers) == 4
+
+
+def test_answers_of_tasks_that_ended_outlive_a_failed_job(spark, tmp_path):
+    rows = [(i, e.id, None, canonical(e.data), e.paths(), []) for i, e in enumerate(entries(8))]
+    frame = spark.createDataFrame(rows, "ordinal long, id string, source string, entry_json string, fields array<string>, absent array<string>")
+    log = str(tmp_path / "asked")
+
+    def maker(broken):
+        class Logged(LiteralEvaluator):
+            def evaluate(self, request):
+                value = str(request["questions"]["field_1"]["instructions"]["field_value"])
+                if broken and value == "value 51":
+                    import time
+
+                    time.sleep(15)  # the other tasks end first
+                    raise EvaluationError("down")
+                with open(log, "a") as f:
+                    f.write(value + "\n")
+                return super().evaluate(request)
+
+        return Logged
+
+    with pytest.raises(Exception, match="down"):
+        scan_frame(frame, Config(), str(tmp_path / "store"), maker(True))
+    stored = spark.read.parquet(str(tmp_path / "store")).count()
+    before = len(open(log).read().split("\n")) - 1
+    assert 0 < stored < 8
+    assert scan_frame(frame, Config(), str(tmp_path / "store"), maker(False)).count() == 8
+    assert len(open(log).read().split("\n")) - 1 - before == 8 - stored
+
+
+def test_halves_count_together():
+    from siftwell.operators.scan import summed
+
+    assert summed([{"input_tokens": 3, "tier": "a"}, {"input_tokens": 4, "cached": True}]) == {"input_tokens": 7, "tier": "a", "cached": True} and summed([{"x": None}]) == {"x": None}
