@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .oracles import JACCARD, SUFFIXES
+from .oracles import AUDIT, JACCARD, SUFFIXES
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,26 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_documents(spark, sf_dir))[0]
 
 
+def op11_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .outliers import judge
+
+    return judge(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "cell")
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .align import align, count_links, digest
+    from .common import written
+
+    found, _ = written(digest(align(_documents(spark, sf_dir))), "aligned")
+    return count_links(found).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_pitman_yor": op2_pitman_yor,
@@ -92,5 +112,8 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_jaccard": op9_jaccard,
     "op10_weak_labels": op10_weak_labels,
+    "op11_outliers": op11_outliers,
+    "op12_align": op12_align,
+    "op13_audit": op13_audit,
 }
-ORACLES: dict[str, str] = {"op8_suffixes": SUFFIXES, "op9_jaccard": JACCARD}
+ORACLES: dict[str, str] = {"op8_suffixes": SUFFIXES, "op9_jaccard": JACCARD, "op13_audit": AUDIT}
