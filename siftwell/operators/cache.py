@@ -46,12 +46,6 @@ def latest(store: DataFrame, columns: Sequence[str]) -> DataFrame:
     return store.groupBy(KEY).agg(*[F.max_by(c, order).alias(c) for c in columns], F.max("assessed_at").alias("assessed_at"))
 
 
-def ledger_totals(rows: DataFrame) -> DataFrame:
-    """Calls and tokens, counted once a request though entries share it: rows are (request, tokens)."""
-    once = rows.groupBy("request").agg(F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("entries"))
-    return once.agg(F.count(F.lit(1)).alias("api_calls"), F.sum("tokens").alias("input_tokens"), F.sum("entries").alias("entries"))
-
-
 def answer_verdict(probabilities: Column, choice: Column, tolerance: Column) -> Column:
     """ok, or what is wrong with an answer: a probability out of range, their sum, or a choice that isn't the likeliest."""
     values = F.map_values(probabilities)

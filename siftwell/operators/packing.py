@@ -1,4 +1,4 @@
-"""Request packing: entry caps, token budgets, layouts, and halving on refusal, as frames."""
+"""Request packing: entry caps and token budgets, as frames."""
 
 from __future__ import annotations
 
@@ -180,26 +180,3 @@ def budgeted(rows: DataFrame, group: Sequence[str], order: str, budget: int, cap
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(out), pa.array(sums)], names=[*columns, "batch", "used"])
 
     return placed.mapInArrow(fill, T.StructType([*rows.schema, T.StructField("batch", T.LongType()), T.StructField("used", T.LongType())]))
-
-
-def layouts(sized: DataFrame, guidance: int, context: int) -> DataFrame:
-    """(id, layout) from (id, entry tokens): `shared` where putting two entries into one request saves the
-    greater of 256 tokens and a tenth, and fits the context; else `entry`. Each row decides by itself."""
-    single = 2 * (F.col("entry") + guidance + 64)
-    shared = F.col("entry") * 2 + guidance + 64
-    good = (single - shared >= F.greatest(F.lit(256.0), 0.1 * single)) & (shared <= context)
-    return sized.select("id", F.when(good, "shared").otherwise("entry").alias("layout"))
-
-
-def split_calls(rows: DataFrame, fits: int, depth: int) -> DataFrame:
-    """(id, calls, answered) when requests of n questions are halved until at most `fits` are left.
-
-    calls counts refused requests too; requests still too large at `depth` aren't answered.
-    """
-    level = rows.select("id", "n").withColumn("answered", (F.col("n") <= fits).cast("long"))
-    all_ = level
-    for _ in range(depth):  # each level is a projection of the one above
-        half = F.floor(F.col("n") / 2)
-        level = level.where(F.col("n") > fits).select("id", F.explode(F.array(half, F.col("n") - half)).alias("n")).withColumn("answered", (F.col("n") <= fits).cast("long"))
-        all_ = all_.unionAll(level)
-    return all_.groupBy("id").agg(F.count(F.lit(1)).alias("calls"), F.sum("answered").alias("answered"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import fcntl
 import json
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -23,7 +22,8 @@ from ..functions.canonical import canonical, request_key, resolve
 from ..sources.readers import Entry
 from .config import Config
 from .evaluators import EvaluationError, Evaluator, evaluate_split, for_model
-from .planner import Batch, BatchOptions, Plan, make_request, pack, plans, windows
+from .planner import Batch, BatchOptions, Plan, pack, plans, windows
+from .shared import discard, exists, written
 
 
 @dataclass
@@ -238,68 +238,10 @@ def _scan(entries: Iterable[Entry], config: Config, store: Store | None, refresh
         yield from (ready[i] for i in range(len(window)))
 
 
-PLAN_SCHEMA = "ordinal long, id string, source string, entry_json string, absent array<string>, paths array<string>, request_hash string, request string"
 ANSWER_SCHEMA = "request_hash string, response string, assessed_at string"
 _FIELDS = "array<struct<path:string,value:string,label:string,probabilities:map<string,double>,confidence:double,score:double>>"
 
 
-def plan_frame(entries: DataFrame, config: Config) -> DataFrame:
-    """Plans, each entry in a request of its own, from (ordinal, id, source, entry_json, fields, absent)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                e = Entry(r["id"], json.loads(r["entry_json"]), r["fields"], r["source"], r["absent"] or [])
-                request = make_request(e, config)
-                out.append(r | {"paths": sorted(e.paths()), "request_hash": request_key(request), "request": canonical(request)})
-            names = ["ordinal", "id", "source", "entry_json", "absent", "paths", "request_hash", "request"]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], k) for n, k in zip(names, kinds, strict=True)], names=names)
-
-    return entries.select("ordinal", "id", "source", "entry_json", "fields", "absent").mapInArrow(run, PLAN_SCHEMA)
-
-
-def summed(usages: list[dict]) -> dict:
-    """The usage of one request, or of its halves together: numbers are added, of other values the last stays."""
-    if len(usages) == 1:
-        return usages[0]
-    total: Counter[str] = Counter()
-    rest: dict = {}
-    for usage in usages:
-        for k, n in usage.items():
-            if isinstance(n, int) and not isinstance(n, bool):
-                total[k] += n
-            else:
-                rest[k] = n
-    return rest | dict(total)
-
-
-def answer_frame(requests: DataFrame, make: Callable[[], Evaluator]) -> DataFrame:
-    """(request_hash, response, assessed_at) of (request_hash, request). mapInArrow keeps filters of the report
-    from being pushed below it, and the caller writes the result once, so that no request is sent twice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evaluator = None
-        for batch in batches:
-            out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                evaluator = evaluator or make()
-                request = json.loads(text)
-                answers, usages, model = {}, [], None
-                for _, response in evaluate_split(evaluator, request):
-                    if model not in (None, response["model"]):
-                        raise EvaluationError(f"request {key} was answered by two models")
-                    answers |= response["answers"]
-                    usages.append(response.get("usage", {}))
-                    model = response["model"]
-                usage = summed(usages)
-                out.append((key, canonical({"model": model, "answers": answers, "usage": usage}), datetime.now(UTC).isoformat()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 3, names=["request_hash", "response", "assessed_at"])
-
-    return requests.select("request_hash", "request").mapInArrow(run, ANSWER_SCHEMA)
-
-
 def results_frame(planned: DataFrame, answers: DataFrame, config: Config) -> DataFrame:
     """Report rows (entry view with fields as structs), from plans joined with answers by key."""
 
@@ -326,35 +268,41 @@ def results_frame(planned: DataFrame, answers: DataFrame, config: Config) -> Dat
     return rolled_up(rows, config.threshold)
 
 
-def scan_frame(entries: DataFrame, config: Config, store_path: str, make: Callable[[], Evaluator] | None = None, refresh: bool = False) -> DataFrame:
-    """Assess a frame of entries; answers go to, and come from, the Parquet table at store_path.
+def scan_frame(entries: DataFrame, config: Config, store_path: str, make: Callable[[], Evaluator] | None = None, refresh: bool = False, options: BatchOptions | None = None, concurrency: int = 4) -> DataFrame:
+    """Assess a frame of (ordinal, id, source, entry_json, fields, absent); answers go to, and come from, the table at store_path.
 
-    A key is asked once however many entries have it; cached says that the store had it, or an earlier entry.
-    New answers are appended before anything reads them, so evaluation is never part of what a later filter,
-    sort or retry recomputes. Plans are made once. If the job fails, the answers of the tasks that ended stay in
-    the store, and the next run doesn't ask for them again; a task that is run twice may leave a key twice, which
-    reading by key takes as one.
+    Windows, requests, their keys and the results are those of scan() with the same options and a store: entries
+    in order of ordinal are packed by layout, budget and cap, a key is asked once however many entries have it,
+    and cached says that the store had it, or an earlier entry. With refresh every key is asked once more. Calls
+    and tokens are told by packed.usage(packed.ledger(spark, store_path)).
+
+    Answers are in the ledger as each task ends. If the job fails, the entries that are wholly answered go to the
+    store, at once or by the next run, and aren't asked for again. Everything in between is deleted; what is
+    returned reads a table of results.
     """
-    from .cache import cached_flags, first_of, latest, misses
-    from .packing import checkpointed
+    from .cache import cached_flags, latest
+    from .packed import ask_all, members_frame, plan_frame, requests_frame, run_name, settle, windows_frame
 
-    spark = entries.sparkSession
+    spark, options = entries.sparkSession, options or BatchOptions()
     model = config.model
     make = make or (lambda: for_model(model))
-    planned = checkpointed(plan_frame(entries, config))
+    planned, plans_path = written(plan_frame(entries, config, options), "plans")
     repeated = planned.groupBy("id").count().where("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"id {repeated[0]['id']} occurs twice")
-    where = spark._jvm.org.apache.hadoop.fs.Path(store_path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    known = latest(spark.read.schema(ANSWER_SCHEMA).parquet(store_path), ["response"]) if there and not refresh else spark.createDataFrame([], ANSWER_SCHEMA)
-    # asking takes far longer than a shuffle: dealt over all tasks, whose number isn't lowered for small data
-    unknown = first_of(misses(planned, known), ["request_hash"]).select("request_hash", "request")
-    fresh = answer_frame(unknown.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("request_hash")), make)
-    stamp = datetime.now(UTC).isoformat()  # answers of this run come later
-    # by this committer a task's files are in place when the task ends
-    fresh.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store_path)
-    after = latest(spark.read.schema(ANSWER_SCHEMA).parquet(store_path), ["response"])
-    flagged = cached_flags(planned)
-    stored = F.lit(False) if refresh else F.col("assessed_at") < F.lit(stamp)
-    return results_frame(flagged, after, config).withColumn("cached", F.col("cached") | stored)
+    settle(spark, store_path)
+    known = latest(spark.read.schema(ANSWER_SCHEMA).parquet(store_path), ["response"]) if not refresh and exists(spark, store_path) else None
+    started = datetime.now(UTC)  # answers of this run come later
+    windows = windows_frame(planned, config, options)
+    requests, requests_path = written(requests_frame(members_frame(planned, windows, known), config, options), "requests")
+    try:
+        if not requests.isEmpty():
+            ask_all(requests, config, make, store_path, run_name(started), concurrency)
+    finally:
+        settle(spark, store_path)
+    after = latest(spark.read.schema(ANSWER_SCHEMA).parquet(store_path), ["response"]) if exists(spark, store_path) else spark.createDataFrame([], ANSWER_SCHEMA)
+    stored = F.lit(False) if refresh else F.col("assessed_at") < F.lit(started.isoformat())
+    found = results_frame(cached_flags(planned), after, config).withColumn("cached", F.col("cached") | stored)
+    out, _ = written(found, "results")
+    discard(spark, plans_path, requests_path)
+    return out

@@ -6,35 +6,13 @@ whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import canonical as C
 from ..functions.columns import is_present, resolved, token_estimate, value_text
 from ..operators import analytics, cache, packing, report, results, rules, selection, traces
 from ..operators.rules import Rule
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 ORDERS = [
     Rule("/o_orderpriority", "o_orderpriority", "o_orderpriority = '1-URGENT'", 0.9, 0.15, 0.7),
@@ -303,15 +281,6 @@ def token_estimate_(spark, d):
     return table(spark, d, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("request_key", f"SELECT n_nationkey AS id, sha256(concat('{{\"endpoint\":\"{C.ENDPOINT}\",\"request\":{{\"name\":\"', n_name, '\",\"region\":', n_regionkey, '}}}}')) AS request_hash FROM nation")
-def request_key(spark, d):
-    @F.pandas_udf("string")
-    def key(names: pd.Series, regions: pd.Series) -> pd.Series:
-        return pd.Series([C.request_key({"region": int(r), "name": n}) for n, r in zip(names, regions, strict=True)], dtype="object")
-
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), key("n_name", "n_regionkey").alias("request_hash"))
-
-
 @query("duplicate_ids", "SELECT sha256(text) AS id, count(*) AS entries FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_ids(spark, d):
     return selection.duplicates(table(spark, d, "documents"), F.sha2("text", 256))
@@ -380,7 +349,7 @@ def changed_entries(spark, d):
     return cache.misses(new, old).select("id")
 
 
-@query("followup_semi", LINES_SQL + ", s AS MATERIALIZED (SELECT id FROM e ORDER BY score DESC, id LIMIT 50) SELECT f.id, f.path, f.score FROM f JOIN s ON f.id = s.id")
+@query("followup_semi", f"SELECT id, path, score FROM (SELECT *, dense_rank() OVER (ORDER BY best DESC, id) AS place FROM (SELECT id, path, score, max(score) OVER (PARTITION BY id) AS best FROM ({rules.rule_sql('lineitem', LINE_ID_SQL, LINES)}))) WHERE place <= 50")
 def followup_semi(spark, d):
     found = lines(spark, d)
     short = found.orderBy(F.desc("score"), "id").limit(50).select("id")
@@ -407,28 +376,9 @@ def batch_token_budget(spark, d):
     return packing.budgeted(sized, ["source"], "id", 4000).select("source", "id", "batch", "used")
 
 
-@query("layout_choice", "WITH t AS (SELECT doc_id AS id, CAST(ceil(strlen(text) / 2.0) + 16 AS BIGINT) AS entry, 600 AS guidance FROM documents), c AS (SELECT id, 2 * (entry + guidance + 64) AS single, entry * 2 + guidance + 64 AS shared FROM t) SELECT id, CASE WHEN single - shared >= greatest(256, 0.1 * single) AND shared <= 24000 THEN 'shared' ELSE 'entry' END AS layout FROM c")
-def layout_choice(spark, d):
-    sized = table(spark, d, "documents").select(F.col("doc_id").alias("id"), token_estimate(F.col("text")).alias("entry"))
-    return packing.layouts(sized, 600, 24_000)
-
-
-@query("context_split_calls", """WITH RECURSIVE s AS (SELECT n_nationkey AS id, CAST(n_nationkey * 3 + 1 AS BIGINT) AS n, 0 AS depth FROM nation
-UNION ALL SELECT id, CASE WHEN side = 0 THEN n // 2 ELSE n - n // 2 END, depth + 1 FROM s, (VALUES (0), (1)) h(side) WHERE n > 8 AND depth < 10)
-SELECT id, count(*) AS calls, count(*) FILTER (WHERE n <= 8) AS answered FROM s GROUP BY id""")
-def context_split_calls(spark, d):
-    return packing.split_calls(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") * 3 + 1).cast("long").alias("n")), 8, 10)
-
-
 # --- counters and answers ------------------------------------------------------------------------------------
 
 
-@query("request_ledger_usage", "WITH l AS (SELECT o_custkey AS request, max(CAST(floor(o_totalprice) AS BIGINT)) AS tokens, count(*) AS entries FROM orders GROUP BY 1) SELECT count(*) AS api_calls, CAST(sum(tokens) AS BIGINT) AS input_tokens, CAST(sum(entries) AS BIGINT) AS entries FROM l")
-def request_ledger_usage(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("request"), F.floor("o_totalprice").alias("tokens"))
-    return cache.ledger_totals(rows)
-
-
 @query("scan_summary", LINES_SQL + " SELECT count(*) AS entries, count(*) FILTER (WHERE warning) AS warnings, count(*) FILTER (WHERE score > 0.9) AS emitted FROM e")
 def scan_summary(spark, d):
     return lines(spark, d).agg(F.count(F.lit(1)).alias("entries"), F.count_if("warning").alias("warnings"), F.count_if(F.col("score") > 0.9).alias("emitted"))
@@ -578,8 +528,9 @@ def trace_prior_texts(spark, d):
 def trace_selection(spark, d):
     whole = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"), F.max("text").alias("answer_text"))
     found = traces.selected(whole.withColumn("step_labels", F.lit("secret")), ["messages", "answer_text"], entry_id="conv_id")
-    clean = F.assert_true(~F.contains("entry_json", F.lit("step_labels")))
-    return found.select("id", F.concat_ws(",", "fields").alias("fields"), clean.alias("_")).drop("_")
+    # a filter, as a column that nobody reads isn't computed
+    leaked = F.when(F.contains("entry_json", F.lit("step_labels")), F.raise_error(F.concat(F.lit("labels are sent with "), "id"))).otherwise(F.lit(True))
+    return found.where(leaked).select("id", F.concat_ws(",", "fields").alias("fields"))
 
 
 @query("assistant_fields", "SELECT conv_id, string_agg('/messages/' || turn, ',' ORDER BY turn) AS fields FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
@@ -616,10 +567,14 @@ def sql_value_text(spark, d):
     return t.select(F.col("event_id").alias("id"), value_text(F.col("ts"), t.schema["ts"].dataType).alias("ts_text"), value_text(odd, T.DoubleType()).alias("odd"))
 
 
-@query("catalog_tables", "SELECT * FROM (VALUES ('customer', CAST(5 AS BIGINT)), ('nation', 3), ('orders', 6), ('region', 2)) t(name, columns)")
+CATALOGUED = ("customer", "documents", "events", "nation", "orders", "region")
+
+
+@query("catalog_tables", " UNION ALL ".join(f"SELECT '{n}' AS name, (SELECT count(*) FROM (DESCRIBE {n})) AS columns, count(*) AS rows FROM {n}" for n in CATALOGUED))
 def catalog_tables(spark, d):
-    rows = [(n, len(table(spark, d, n).columns)) for n in ("customer", "nation", "orders", "region")]
-    return spark.createDataFrame(rows, "name string, columns long")
+    from ..sources.tables import catalogued
+
+    return catalogued({n: table(spark, d, n) for n in CATALOGUED})
 
 
 @query("table_entries", "SELECT concat('\"main\".\"nation\":key:[', n_nationkey, ']') AS id, concat('{\"n_name\":\"', n_name, '\",\"n_nationkey\":', n_nationkey, ',\"n_regionkey\":', n_regionkey, '}') AS entry_json FROM nation")
@@ -627,3 +582,6 @@ def table_entries(spark, d):
     from ..sources.tables import entries
 
     return entries(table(spark, d, "nation"), "nation", ["n_nationkey"]).select("id", "entry_json")
+
+
+from . import scans  # noqa: E402, F401

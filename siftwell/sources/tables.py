@@ -38,9 +38,24 @@ def key_id(schema: str, name: str, table: DataFrame, key: Sequence[str]) -> Colu
     return F.concat(F.lit(f"{selector(schema, name)}:key:["), parts, F.lit("]"))
 
 
+def object_json(table: DataFrame, columns: Sequence[str]) -> Column:
+    """Columns of a row as the text of a JSON object with sorted keys."""
+    name = lambda c: F.to_json(F.array(F.lit(c)))
+    pairs = [F.concat(name(c).substr(F.lit(2), F.length(name(c)) - 2), F.lit(":"), _json(table[c], table.schema[c].dataType)) for c in sorted(columns)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
+
+
+def catalogued(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, columns, rows) of each table."""
+    found = [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), F.lit(len(t.columns)).cast("long").alias("columns"), "rows") for n, t in tables.items()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
+
+
 def entries(table: DataFrame, name: str, key: Sequence[str], schema: str = "main") -> DataFrame:
     """(id, source, entry_json, fields) for each row: columns as an object with sorted keys, all of them fields."""
     columns = sorted(table.columns)
-    pairs = [F.concat(F.to_json(F.array(F.lit(c))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(c)))) - 2), F.lit(":"), _json(table[c], table.schema[c].dataType)) for c in columns]
     found = key_id(schema, name, table, key)
-    return table.select(found.alias("id"), F.concat(F.lit(f"table:{selector(schema, name)}:"), found).alias("source"), F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("entry_json"), F.array(*[F.lit(f"/{pointer_key(c)}") for c in columns]).alias("fields"))
+    return table.select(found.alias("id"), F.concat(F.lit(f"table:{selector(schema, name)}:"), found).alias("source"), object_json(table, columns).alias("entry_json"), F.array(*[F.lit(f"/{pointer_key(c)}") for c in columns]).alias("fields"))

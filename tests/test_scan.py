@@ -300,9 +300,3 @@ def test_answers_of_tasks_that_ended_outlive_a_failed_job(spark, tmp_path):
     assert 0 < stored < 8
     assert scan_frame(frame, Config(), str(tmp_path / "store"), maker(False)).count() == 8
     assert len(open(log).read().split("\n")) - 1 - before == 8 - stored
-
-
-def test_halves_count_together():
-    from siftwell.operators.scan import summed
-
-    assert summed([{"input_tokens": 3, "tier": "a"}, {"input_tokens": 4, "cached": True}]) == {"input_tokens": 7, "tier": "a", "cached": True} and summed([{"x": None}]) == {"x": None}
