@@ -584,4 +584,4 @@ def table_entries(spark, d):
     return entries(table(spark, d, "nation"), "nation", ["n_nationkey"]).select("id", "entry_json")
 
 
-from . import scans  # noqa: E402, F401
+from . import documents, scans  # noqa: E402, F401

@@ -106,13 +106,13 @@ def test_obo(tmp_path):
 
 def test_text_kinds(tmp_path):
     path = made(tmp_path, "a.md", "\none\ntwo\r\n\n \nthree\n")
-    assert [(e.id, e.data) for e in read(path)] == [("2", "one\ntwo"), ("6", "three")]
-    assert [e.id for e in read(path, options={"split": "lines"})] == ["2", "3", "6"]
-    assert read(path, options={"split": "file"})[0].data == "\none\ntwo\r\n\n \nthree\n"
+    assert [(e.id, e.data) for e in read(path)] == [("2", {"text": "one\ntwo"}), ("6", {"text": "three"})]
+    assert [e.id for e in read(path, options={"split": "lines"})] == ["2", "3", "6"] and read(path)[0].paths() == ["/text"]
+    assert read(path, options={"split": "file"})[0].data["text"] == "\none\ntwo\r\n\n \nthree\n"
 
 
 def test_fasta_and_gmt(tmp_path):
-    assert [e.data for e in read(made(tmp_path, "a.fa", ">s1 about it\nAC gt\nTT\n>s2\nA\n"))] == [{"id": "s1", "description": "about it", "sequence": "ACgtTT"}, {"id": "s2", "description": "", "sequence": "A"}]
+    assert [e.data for e in read(made(tmp_path, "a.fa", ">s1 about it\nAC gt\nTT\n\n  >s2  \nA\n"))] == [{"id": "s1", "description": "about it", "sequence": "ACgtTT"}, {"id": "s2", "description": "", "sequence": "A"}]
     assert read(made(tmp_path, "a.gmt", "set\tdesc\tg1\tg1\n"))[0].data["members"] == ["g1", "g1"]
     for name, bad in (("b.fa", "ACGT\n"), ("c.fa", ">\nA\n"), ("d.fa", ">a\n>b\nA\n"), ("b.gmt", "set\tdesc\n"), ("c.gmt", "set\td\ta\t\tb\n")):
         with pytest.raises(SourceError):
@@ -159,6 +159,48 @@ def test_sqlite(tmp_path):
         read(alone)
 
 
+def test_kinds_of_tables(tmp_path):
+    from siftwell.sources.databases import tables_of
+
+    path = tmp_path / "a.db"
+    c = sqlite3.connect(path)
+    c.executescript("CREATE TABLE t (raw BLOB, b INTEGER GENERATED ALWAYS AS (1), a TEXT, PRIMARY KEY (a, raw)); CREATE VIEW v AS SELECT a FROM t; CREATE VIRTUAL TABLE s USING fts5(words); CREATE TABLE auto (id INTEGER PRIMARY KEY AUTOINCREMENT);")
+    c.close()
+    assert {t.name: (t.kind, t.key) for t in tables_of(path)} == {"t": ("table", ("a", "raw")), "v": ("view", ()), "s": ("virtual", ()), "auto": ("table", ("id",))}
+    duckdb = pytest.importorskip("duckdb")
+    path = tmp_path / "a.duckdb"
+    c = duckdb.connect(str(path))
+    c.execute("CREATE TABLE t (x INTEGER, b INTEGER, a TEXT, PRIMARY KEY (b, a)); CREATE SCHEMA second; CREATE TABLE second.t (id INTEGER PRIMARY KEY, other INTEGER UNIQUE); CREATE VIEW v AS SELECT 1 AS one")
+    c.close()
+    assert {t.selector: (t.kind, t.columns, t.key) for t in tables_of(path)} == {'"main"."t"': ("table", ("x", "b", "a"), ("b", "a")), '"second"."t"': ("table", ("id", "other"), ("id",)), '"main"."v"': ("view", ("one",), ())}
+    with pytest.raises(SourceError, match="ambiguous"):
+        read(path, tables=["t"])
+    assert read(path, tables=["second.t"]) == []
+
+
+@pytest.mark.parametrize("kind", ["sqlite", "duckdb"])
+def test_tables_by_ranges_of_their_keys(spark, tmp_path, kind):
+    from siftwell.sources.datasource import register
+
+    register(spark)
+    path = str(tmp_path / f"a.{kind}")
+    c = sqlite3.connect(path) if kind == "sqlite" else pytest.importorskip("duckdb").connect(path)
+    c.execute("CREATE TABLE a (id INTEGER PRIMARY KEY, v TEXT)")
+    c.execute("CREATE TABLE b (id TEXT PRIMARY KEY, v TEXT)")
+    for i in range(-20, 80, 3):
+        c.execute(f"INSERT INTO a VALUES ({i}, 'x')")
+        c.execute(f"INSERT INTO b VALUES ('k{i}', 'y')")
+    c.commit()
+    c.close()
+    whole = spark.read.format("entries").load(path)
+    ranged = spark.read.format("entries").option("ranges", "4").load(path)
+    assert ranged.rdd.getNumPartitions() == 5 and whole.rdd.getNumPartitions() == 2
+    told = lambda f: [(r["id"], r["entry_json"]) for r in f.orderBy("ordinal").collect()]
+    assert told(whole) == told(ranged) and len(told(whole)) == 68
+    assert told(spark.read.format("entries").option("limit", "3").load(path)) == told(whole)[:3]
+    assert spark.read.format("entries").option("limit", "40").option("ranges", "4").load(path).count() == 40
+
+
 def test_duckdb(tmp_path):
     duckdb = pytest.importorskip("duckdb")
     path = tmp_path / "a.duckdb"
