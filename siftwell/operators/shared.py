@@ -53,3 +53,25 @@ def mark(spark: SparkSession, path: str) -> None:
     """An empty file."""
     system, where = _at(spark, path)
     system.create(where, True).close()
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    system, where = _at(spark, path)
+    if not system.rename(where, _at(spark, to)[1]):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
+def streamed(spark: SparkSession, paths: list[str], to: str) -> None:
+    """Files put together in order as one, through a buffer; they may stand in another store."""
+    system, where = _at(spark, to)
+    out = system.create(where, True)
+    try:
+        for path in paths:
+            source, part = _at(spark, path)
+            given = source.open(part)
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, 1 << 20, False)
+            finally:
+                given.close()
+    finally:
+        out.close()
