@@ -238,7 +238,6 @@ def _scan(entries: Iterable[Entry], config: Config, store: Store | None, refresh
         yield from (ready[i] for i in range(len(window)))
 
 
-ANSWER_SCHEMA = "request_hash string, response string, assessed_at string"
 _FIELDS = "array<struct<path:string,value:string,label:string,probabilities:map<string,double>,confidence:double,score:double>>"
 
 
@@ -281,7 +280,8 @@ def scan_frame(entries: DataFrame, config: Config, store_path: str, make: Callab
     returned reads a table of results.
     """
     from .cache import cached_flags, latest
-    from .packed import ask_all, members_frame, plan_frame, requests_frame, run_name, settle, windows_frame
+    from .packed import ask_all, assembled, ledger, ledger_path, members_frame, plan_frame, requests_frame, run_name, settle, windows_frame
+    from .store import stored
 
     spark, options = entries.sparkSession, options or BatchOptions()
     model = config.model
@@ -291,18 +291,21 @@ def scan_frame(entries: DataFrame, config: Config, store_path: str, make: Callab
     if repeated:
         raise ValueError(f"id {repeated[0]['id']} occurs twice")
     settle(spark, store_path)
-    known = latest(spark.read.schema(ANSWER_SCHEMA).parquet(store_path), ["response"]) if not refresh and exists(spark, store_path) else None
+    known, known_path = (None, None) if refresh else written(stored(spark, store_path, planned), "known")
     started = datetime.now(UTC)  # answers of this run come later
+    run = run_name(started)
     windows = windows_frame(planned, config, options)
     requests, requests_path = written(requests_frame(members_frame(planned, windows, known), config, options), "requests")
     try:
         if not requests.isEmpty():
-            ask_all(requests, config, make, store_path, run_name(started), concurrency)
+            ask_all(requests, config, make, store_path, run, concurrency)
     finally:
         settle(spark, store_path)
-    after = latest(spark.read.schema(ANSWER_SCHEMA).parquet(store_path), ["response"]) if exists(spark, store_path) else spark.createDataFrame([], ANSWER_SCHEMA)
-    stored = F.lit(False) if refresh else F.col("assessed_at") < F.lit(started.isoformat())
-    found = results_frame(cached_flags(planned), after, config).withColumn("cached", F.col("cached") | stored)
+    # what was known, and of this run's ledger what is answered wholly: the store isn't read again
+    fresh = assembled(ledger(spark, store_path, [run] if exists(spark, f"{ledger_path(store_path)}/run={run}") else []))
+    after = fresh if known is None else latest(fresh.unionByName(known.select(fresh.columns)), ["response"])
+    before = F.lit(False) if refresh else F.col("assessed_at") < F.lit(started.isoformat())
+    found = results_frame(cached_flags(planned), after, config).withColumn("cached", F.col("cached") | before)
     out, _ = written(found, "results")
-    discard(spark, plans_path, requests_path)
+    discard(spark, plans_path, requests_path, *[known_path] * (known_path is not None))
     return out
