@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 KEY = "request_hash"
 
@@ -61,8 +60,3 @@ def answer_verdict(probabilities: Column, choice: Column, tolerance: Column) ->
 def windowed(plans: DataFrame, size: int) -> DataFrame:
     """Plans with window_id: `size` consecutive ordinals each, for dense ordinals from 0."""
     return plans.withColumn("window_id", F.floor(F.col("ordinal") / size))
-
-
-def first_of(plans: DataFrame, keys: Sequence[str], order: str = "ordinal") -> DataFrame:
-    """The first plan of each key."""
-    return plans.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_k = 1").drop("_k")

@@ -47,6 +47,7 @@ def plan_frame(entries: DataFrame, config: Config, options: BatchOptions | None
     """Plans from (ordinal, id, source, entry_json, fields, absent): paths, key, layout and the tokens of all questions.
 
     The entry stays as its JSON text; requests are made where they are sent, so guidance and exemplars are in no row.
+    A row without an entry (entry_json null) is planned as the `end` of what comes before it, which streams use.
     """
     options = options or BatchOptions()
 
@@ -54,6 +55,9 @@ def plan_frame(entries: DataFrame, config: Config, options: BatchOptions | None
         for batch in batches:
             out = []
             for r in batch.to_pylist():
+                if r["entry_json"] is None:
+                    out.append((r["ordinal"], r["id"], r["source"], None, [], [], None, "end", 0))
+                    continue
                 p = plan(Entry(r["id"], json.loads(r["entry_json"]), r["fields"], r["source"], r["absent"] or []), config, options)
                 size = sum(tokens_of(canonical(q)) for q in p.request["questions"].values()) if p.layout == "shared" else 0
                 out.append((r["ordinal"], r["id"], r["source"], r["entry_json"], r["absent"], p.paths, p.key, p.layout, size))

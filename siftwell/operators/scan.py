@@ -279,22 +279,30 @@ def scan_frame(entries: DataFrame, config: Config, store_path: str, make: Callab
     store, at once or by the next run, and aren't asked for again. Everything in between is deleted; what is
     returned reads a table of results.
     """
-    from .cache import cached_flags, latest
-    from .packed import ask_all, assembled, ledger, ledger_path, members_frame, plan_frame, requests_frame, run_name, settle, windows_frame
-    from .store import stored
+    from .packed import plan_frame, windows_frame
 
     spark, options = entries.sparkSession, options or BatchOptions()
-    model = config.model
-    make = make or (lambda: for_model(model))
     planned, plans_path = written(plan_frame(entries, config, options), "plans")
     repeated = planned.groupBy("id").count().where("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"id {repeated[0]['id']} occurs twice")
+    out = scan_windows(planned, windows_frame(planned, config, options), config, store_path, make, refresh, options, concurrency)
+    discard(spark, plans_path)
+    return out
+
+
+def scan_windows(planned: DataFrame, windows: DataFrame, config: Config, store_path: str, make: Callable[[], Evaluator] | None = None, refresh: bool = False, options: BatchOptions | None = None, concurrency: int = 4) -> DataFrame:
+    """scan_frame() of a written table of plans, whose entries have been put into windows (ordinal, window) already."""
+    from .cache import cached_flags, latest
+    from .packed import ask_all, assembled, ledger, ledger_path, members_frame, requests_frame, run_name, settle
+    from .store import stored
+
+    spark, options, model = planned.sparkSession, options or BatchOptions(), config.model
+    make = make or (lambda: for_model(model))
     settle(spark, store_path)
     known, known_path = (None, None) if refresh else written(stored(spark, store_path, planned), "known")
     started = datetime.now(UTC)  # answers of this run come later
     run = run_name(started)
-    windows = windows_frame(planned, config, options)
     requests, requests_path = written(requests_frame(members_frame(planned, windows, known), config, options), "requests")
     try:
         if not requests.isEmpty():
@@ -307,5 +315,5 @@ def scan_frame(entries: DataFrame, config: Config, store_path: str, make: Callab
     before = F.lit(False) if refresh else F.col("assessed_at") < F.lit(started.isoformat())
     found = results_frame(cached_flags(planned), after, config).withColumn("cached", F.col("cached") | before)
     out, _ = written(found, "results")
-    discard(spark, plans_path, requests_path, *[known_path] * (known_path is not None))
+    discard(spark, requests_path, *[known_path] * (known_path is not None))
     return out
