@@ -5,15 +5,19 @@ by new symbols, again and again; what is kept is the rules, the number of ids th
 expands to, and the remaining sequence. A stretch of ids is read by a search in the running expansion
 lengths and by expanding only the symbols that cover it.
 
-File format (little-endian), one payload for each shard:
-    8 bytes   b"SWRP\\x01\\0\\0\\0"
-    6 int64   base (first rule's symbol), documents, ids, rules, symbols of the sequence, reserved (0)
+File format (little-endian), one payload for each shard; symbols below `base` are ids, base + i is rule i:
+    8 bytes   b"SWRP\\x02\\0\\0\\0"
+    8 int64   base, documents, ids, rules, symbols of the sequence, bits of a symbol, far steps, long rules
     int64     doc_id of each document (the least int64 for null)
     int64     end of each document, in ids from the shard's start
-    uint32    left symbol of each rule, then right symbols, then expansion lengths
-    uint32    the sequence
-Payloads are rows of a Parquet table (part, shard, n_docs, n_ids, payload), whose order of (part, shard) is
-that of doc_id, nulls first.
+    int64     ids before every 256th symbol of the sequence
+    uint8     step from each rule's left symbol to the next one's, modulo 2^32; 255 where it is far
+    uint8     how many ids each rule expands to; 255 where it is long
+    uint32    the far steps, then the long rules' lengths, in order
+    bits      the right symbol of each rule, then (from a whole byte) the sequence, the first bit being the highest
+Rules come round by round, and within a round in order of their left symbols, so that most steps are small.
+Payloads are rows of a Parquet table (part, shard, n_docs, n_ids, first_doc, last_doc, payload), whose order of
+(part, shard) is that of doc_id, nulls first.
 """
 
 from __future__ import annotations
@@ -30,22 +34,25 @@ from pyspark.sql.window import Window
 from .common import mix, pieces, shared_dir, spread
 from .tokens import encoder, tokenizer_path
 
-MAGIC = b"SWRP\x01\0\0\0"
+MAGIC = b"SWRP\x02\0\0\0"
+#: Symbols between two entries of the index of running lengths.
+STEP = 256
+_SCHEMA = "part long, shard long, n_docs long, n_ids long, first_doc long, last_doc long, payload binary"
 NULL_ID = -(1 << 63)
 
 
-def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (n, 2) and the remaining sequence, in which no pair occurs twice. Rule i is symbol base + i.
+def compress(ids: np.ndarray, base: int, frequent: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (n, 2) and the remaining sequence, in which no pair occurs `frequent` times. Rule i is symbol base + i.
 
-    Each round replaces the pairs that occur about an eighth as often as the most frequent one; where chosen
-    pairs overlap, the more frequent one goes first, and a pair left with one place waits for another round.
+    Each round replaces the pairs that occur about a sixteenth as often as the most frequent one; where chosen
+    pairs overlap, the more frequent one goes first, and a pair left with too few places waits for another round.
     Pairs are counted exactly. A pair of given symbols never becomes more frequent, as new pairs hold a new
-    symbol; so one that is found once isn't looked at again.
+    symbol; so one that is found too seldom isn't looked at again.
     """
     now = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     fresh = base
-    live = np.ones(len(now), dtype=bool)  # places whose pair may occur twice
+    live = np.ones(len(now), dtype=bool)  # places whose pair may be frequent
     while True:
         at = np.flatnonzero(live[:-1])
         key = now[at] << 32 | now[at + 1]
@@ -55,27 +62,26 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         if len(twin):
             head = np.append(True, np.diff(twin) > 1)
             use[twin[(twin - twin[head][np.cumsum(head) - 1]) % 2 == 0]] = False
-        # pairs whose cell of a hashed count stays below 2 occur once
+        # pairs whose cell of a hashed count stays low are seldom
         cell = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).view(np.int64)
         cells = np.bincount(cell[use], minlength=1 << 22) if len(at) > 1 << 20 else None
         if cells is not None:
-            stay = cells[cell] > 1
+            stay = cells[cell] >= frequent
             live[at[~stay]] = False
             at, key, use, cell = at[stay], key[stay], use[stay], cell[stay]
-            bar = max(2, int(cells.max(initial=0)) // 8) if stay.any() else 2
+            bar = max(frequent, int(cells.max(initial=0)) // 16) if stay.any() else frequent
             some = np.flatnonzero(use & (cells[cell] >= bar))
         else:
-            bar, some = 2, np.flatnonzero(use)
+            bar, some = frequent, np.flatnonzero(use)
         pairs, which, counts = np.unique(key[some], return_inverse=True, return_counts=True)
-        if bar > 2 and counts.max(initial=0) < 2:  # cells full of pairs that occur once
-            bar, some = 2, np.flatnonzero(use)
+        if bar > frequent and counts.max(initial=0) < frequent:  # cells full of seldom pairs
+            bar, some = frequent, np.flatnonzero(use)
             pairs, which, counts = np.unique(key[some], return_inverse=True, return_counts=True)
-        if bar == 2:
-            known = np.searchsorted(pairs, key)
-            live[at[counts[known] < 2]] = False
-        if not len(counts) or counts.max() < 2:
+        if bar == frequent:
+            live[at[some[counts[which] < frequent]]] = False
+        if not len(counts) or counts.max() < frequent:
             break
-        bar = max(2, int(counts.max()) // 8)
+        bar = max(frequent, int(counts.max()) // 16)
         order = np.lexsort((mix(pairs.view(np.uint64)), counts))
         rank = np.empty(len(pairs), dtype=np.int64)
         rank[order] = np.arange(1, len(pairs) + 1)
@@ -87,7 +93,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         win[:-1] &= ~next_ | (own[:-1] > own[1:])
         win[1:] &= ~next_ | (own[1:] > own[:-1])
         used = np.bincount(which[win], minlength=len(pairs))
-        kept = used >= 2  # the first in rank keeps all its places
+        kept = used >= frequent  # the first in rank keeps all its places
         win &= kept[which]
         place, which = place[win], which[win]
         now[place] = (np.cumsum(kept) - 1 + fresh)[which]
@@ -117,11 +123,44 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def encode_shard(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
-    rules, rest = compress(ids, base)
-    head = np.array([base, len(doc_ids), len(ids), len(rules), len(rest), 0], dtype="<i8")
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """Values of `width` bits each, the highest first."""
+    out = np.zeros((len(values), width), dtype=np.uint8)
+    for i in range(width):
+        out[:, i] = values >> (width - 1 - i) & 1
+    return np.packbits(out).tobytes()
+
+
+def _unpacked(raw: np.ndarray, width: int, first: int, last: int) -> np.ndarray:
+    """The values from place first up to last of packed ones; only their bytes are looked at."""
+    if first >= last:
+        return np.zeros(0, dtype=np.int64)
+    lo = first * width // 8
+    bits = np.unpackbits(raw[lo : -(-last * width // 8)])[first * width - lo * 8 :][: (last - first) * width].reshape(-1, width)
+    out = np.zeros(last - first, dtype=np.int64)
+    for i in range(width):
+        out = out << 1 | bits[:, i]
+    return out
+
+
+def _bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values as bytes, 255 standing for those that don't fit, and these."""
+    far = values >= 255
+    return np.where(far, 255, values).astype(np.uint8), values[far].astype("<u4")
+
+
+def encode_shard(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, base: int, frequent: int = 2) -> bytes:
+    if len(ids) and int(ids.max()) >= base:
+        raise ValueError(f"id {int(ids.max())} isn't below the first rule's symbol, {base}")
+    rules, rest = compress(ids, base, frequent)
     lengths = expansion_lengths(rules, base)
-    return b"".join([MAGIC, head.tobytes(), doc_ids.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), rules[:, 0].astype("<u4").tobytes(), rules[:, 1].astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), rest.astype("<u4").tobytes()])
+    width = max(1, int(base + len(rules) - 1).bit_length())
+    steps, far = _bytes(np.diff(rules[:, 0], prepend=0) & 0xFFFFFFFF)
+    sizes, long = _bytes(lengths)
+    after = np.cumsum(np.where(rest >= base, lengths[np.maximum(rest - base, 0)], 1) if len(rules) else np.ones(len(rest), dtype=np.int64))
+    index = np.concatenate([[0], after])[:-1:STEP] if len(rest) else np.zeros(0, dtype=np.int64)
+    head = np.array([base, len(doc_ids), len(ids), len(rules), len(rest), width, len(far), len(long)], dtype="<i8")
+    return b"".join([MAGIC, head.tobytes(), doc_ids.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), index.astype("<i8").tobytes(), steps.tobytes(), sizes.tobytes(), far.tobytes(), long.tobytes(), _packed(rules[:, 1], width), _packed(rest, width)])
 
 
 class Shard:
@@ -130,14 +169,26 @@ class Shard:
     def __init__(self, payload: bytes):
         if payload[:8] != MAGIC:
             raise ValueError("not a payload of this format")
-        self.base, docs, self.size, rules, rest, _ = np.frombuffer(payload, "<i8", 6, 8).tolist()
-        at = 56
-        self.doc_ids = np.frombuffer(payload, "<i8", docs, at)
-        self.ends = np.frombuffer(payload, "<i8", docs, at + 8 * docs)
-        at += 16 * docs
-        self.left, self.right, self.lengths = (np.frombuffer(payload, "<u4", rules, at + 4 * rules * i).astype(np.int64) for i in range(3))
-        self.sequence = np.frombuffer(payload, "<u4", rest, at + 12 * rules).astype(np.int64)
-        self.after = np.cumsum(self._sizes(self.sequence))
+        self.base, docs, self.size, rules, self.symbols, self.width, far, long = np.frombuffer(payload, "<i8", 8, 8).tolist()
+        at = 72
+
+        def take(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            found = np.frombuffer(payload, kind, n, at)
+            at += found.nbytes
+            return found
+
+        self.doc_ids, self.ends = take("<i8", docs), take("<i8", docs)
+        self.index = take("<i8", -(-self.symbols // STEP))
+        steps, sizes = take("u1", rules).astype(np.int64), take("u1", rules).astype(np.int64)
+        steps[steps == 255], sizes[sizes == 255] = take("<u4", far), take("<u4", long)
+        self.left, self.lengths = np.cumsum(steps) & 0xFFFFFFFF, sizes
+        self.right = _unpacked(take("u1", -(-rules * self.width // 8)), self.width, 0, rules)
+        self._sequence = take("u1", -(-self.symbols * self.width // 8))
+
+    @property
+    def sequence(self) -> np.ndarray:
+        return _unpacked(self._sequence, self.width, 0, self.symbols)
 
     def _sizes(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), dtype=np.int64)
@@ -146,10 +197,16 @@ class Shard:
         return out
 
     def ids(self, start: int, end: int) -> np.ndarray:
-        """The ids from start up to end, of those of the shard."""
-        first, last = np.searchsorted(self.after, start, side="right"), np.searchsorted(self.after, end, side="left")
-        symbols = self.sequence[first : last + 1]
-        skip = start - (int(self.after[first - 1]) if first else 0)
+        """The ids from start up to end, of those of the shard: the index tells which symbols to look at."""
+        if start >= end:
+            return np.zeros(0, dtype=np.uint32)
+        block = int(np.searchsorted(self.index, start, side="right")) - 1
+        stop = int(np.searchsorted(self.index, end, side="left"))
+        symbols = _unpacked(self._sequence, self.width, block * STEP, min(stop * STEP, self.symbols))
+        after = int(self.index[block]) + np.cumsum(self._sizes(symbols))
+        first, last = np.searchsorted(after, start, side="right"), np.searchsorted(after, end, side="left")
+        skip = start - (int(after[first - 1]) if first else int(self.index[block]))
+        symbols = symbols[first : last + 1]
         while len(symbols) and (rule := symbols >= self.base).any():
             out = np.repeat(symbols, 1 + rule)
             place = np.cumsum(1 + rule) - 1 - rule
@@ -162,18 +219,20 @@ class Shard:
         return self.ids(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, base: int = 65_536, shard_ids: int = 2_000_000, part_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, base: int = 65_536, shard_ids: int = 2_000_000, part_rows: int = 2000, frequent: int = 4, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write all documents' ids, each document's followed by end_id, as a table of shards at path.
 
     Documents stand in ascending doc_id, nulls first, ties in order of the text. A null text has the end id
-    only. base must exceed every id. A shard has shard_ids ids, or more if one document has.
+    only. base must exceed every id (an error otherwise). A shard has shard_ids ids, or more if one document has.
+    A pair is replaced where it occurs `frequent` times in its shard: a rule costs about a symbol and two bytes
+    and wider symbols, so that those used less often make a shard larger.
     """
     tokenizer = tokenizer or tokenizer_path()
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     part, parts = spread(plain, "doc_id", part_rows)
     dealt = plain.withColumn("part", part.cast("long")).repartition(max(parts // 4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
     ordered = dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
-    names = ["part", "shard", "n_docs", "n_ids", "payload"]
+    names = ["part", "shard", "n_docs", "n_ids", "first_doc", "last_doc", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -182,9 +241,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal shard, held_ids, held_docs, held_sizes
             if held_docs:
-                ids, sizes = np.concatenate(held_ids), np.concatenate(held_sizes)
-                payload = encode_shard(ids, np.concatenate(held_docs), np.cumsum(sizes), base)
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part_now, shard, len(sizes), len(ids), payload)], names=names)
+                ids, sizes, of = np.concatenate(held_ids), np.concatenate(held_sizes), np.concatenate(held_docs)
+                payload = encode_shard(ids, of, np.cumsum(sizes), base, frequent)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part_now, shard, len(sizes), len(ids), int(of[0]), int(of[-1]), payload)], names=names)
                 shard += 1
                 held_ids, held_docs, held_sizes = [], [], []
 
@@ -204,7 +263,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
                         yield from flush()
         yield from flush()
 
-    ordered.mapInArrow(run, "part long, shard long, n_docs long, n_ids long, payload binary").write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(run, _SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
@@ -214,7 +273,7 @@ def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
-    shards = spark.read.schema("part long, shard long, n_docs long, n_ids long, payload binary").parquet(path)
+    shards = spark.read.schema(_SCHEMA).parquet(path)
     sizes = shards.select("part", "shard", "n_ids")
     # parts are bounded in number, so their running sum is small; shards are summed within parts
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -237,6 +296,28 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return found.join(starts, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_documents(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
+    """(doc_id, ids) of some documents, by random access: Parquet's statistics leave out the shards that can't have
+    them, and of the others only the symbols that cover a document are expanded. Ids that occur twice come twice."""
+    held = np.unique(np.array(wanted, dtype=np.int64))
+    shards = spark.read.schema(_SCHEMA).parquet(path)
+    if not len(held):
+        shards = shards.limit(0)
+    else:
+        shards = shards.where((F.col("last_doc") >= int(held[0])) & (F.col("first_doc") <= int(held[-1])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if np.searchsorted(held, first) == np.searchsorted(held, last, side="right"):
+                    continue
+                shard = Shard(payload.as_buffer().to_pybytes())
+                for i in np.flatnonzero(np.isin(shard.doc_ids, held)).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([int(shard.doc_ids[i])]), pa.array([shard.document(i).astype(np.int32)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return shards.select("first_doc", "last_doc", "payload").mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def round_trip(docs: DataFrame, **options) -> DataFrame:
     """Write docs into files of their own in the shared folder, and read_ids() of these."""
     path = shared_dir(docs.sparkSession, "ids")

@@ -161,6 +161,43 @@ def test_repair_leaves_no_pair_that_occurs_twice():
     assert len(compress(cases[0], 65_536)[1]) < 905
 
 
+def test_repair_is_smaller_than_plain_ids_and_refuses_ids_that_are_symbols():
+    from siftwell.llm.repair import Shard, compress, encode_shard
+
+    rng = np.random.default_rng(6)
+    phrases = [rng.integers(0, 50_000, rng.integers(2, 9)) for _ in range(300)]
+    ids = np.concatenate([phrases[min(int(i), 299)] for i in rng.zipf(1.2, 20_000)])
+    sizes = {k: len(encode_shard(ids, np.arange(1), np.array([len(ids)]), 65_536, k)) for k in (2, 4)}
+    assert max(sizes.values()) < len(ids)  # half of two bytes an id
+    _, rest = compress(ids, 65_536, 4)
+    pairs: dict[tuple[int, int], list[int]] = {}
+    for i, pair in enumerate(zip(rest.tolist(), rest[1:].tolist(), strict=False)):
+        if not pairs.get(pair) or i - pairs[pair][-1] > 1:
+            pairs.setdefault(pair, []).append(i)
+    assert max(map(len, pairs.values())) < 4
+    shard = Shard(encode_shard(ids, np.arange(1), np.array([len(ids)]), 65_536, 4))
+    for a, b in rng.integers(0, len(ids), (200, 2)):
+        assert np.array_equal(shard.ids(min(a, b), max(a, b)), ids[min(a, b) : max(a, b)])
+    with pytest.raises(ValueError, match="70000"):
+        encode_shard(np.array([1, 70_000]), np.arange(1), np.array([2]), 65_536)
+
+
+def test_repair_reads_documents_by_random_access(spark, any_docs):
+    from tokenizers import Tokenizer
+
+    from siftwell.llm.common import shared_dir
+    from siftwell.llm.repair import read_documents, write_ids
+    from siftwell.llm.tokens import tokenizer_path
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    path = shared_dir(spark, "ids")
+    write_ids(any_docs, path, shard_ids=300, part_rows=8)
+    rows = [(d, [*plain.encode(t, add_special_tokens=False).ids, 0]) for d, t in ordered(any_docs)]
+    wanted = [0, 6, 33, 90, 12345]
+    assert sorted((r["doc_id"], r["ids"]) for r in read_documents(spark, path, wanted).collect()) == sorted((d, x) for d, x in rows if d in wanted)
+    assert read_documents(spark, path, []).count() == 0
+
+
 def test_templates(spark, docs, odd, none):
     from siftwell.llm.templates import contaminated
 
