@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, pieces, shared_dir, spread
+from .common import discard, mix, pieces, ragged, shared_dir, spread, written
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"SWRP\x02\0\0\0"
@@ -44,18 +44,19 @@ NULL_ID = -(1 << 63)
 def compress(ids: np.ndarray, base: int, frequent: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Rules (n, 2) and the remaining sequence, in which no pair occurs `frequent` times. Rule i is symbol base + i.
 
-    Each round replaces the pairs that occur about a sixteenth as often as the most frequent one; where chosen
+    Each round replaces the pairs that occur about a thirty-second as often as the most frequent one; where chosen
     pairs overlap, the more frequent one goes first, and a pair left with too few places waits for another round.
     Pairs are counted exactly. A pair of given symbols never becomes more frequent, as new pairs hold a new
     symbol; so one that is found too seldom isn't looked at again.
     """
-    now = ids.astype(np.int64)
+    now = ids.astype(np.int32)
     rules: list[np.ndarray] = []
     fresh = base
     live = np.ones(len(now), dtype=bool)  # places whose pair may be frequent
     while True:
         at = np.flatnonzero(live[:-1])
-        key = now[at] << 32 | now[at + 1]
+        key = now[at].astype(np.int64) << 32
+        key |= now[at + 1]
         # of a symbol's run, every second place from the left
         twin = np.flatnonzero((key[1:] == key[:-1]) & (np.diff(at) == 1)) + 1
         use = np.ones(len(at), dtype=bool)
@@ -69,7 +70,7 @@ def compress(ids: np.ndarray, base: int, frequent: int = 2) -> tuple[np.ndarray,
             stay = cells[cell] >= frequent
             live[at[~stay]] = False
             at, key, use, cell = at[stay], key[stay], use[stay], cell[stay]
-            bar = max(frequent, int(cells.max(initial=0)) // 16) if stay.any() else frequent
+            bar = max(frequent, int(cells.max(initial=0)) // 32) if stay.any() else frequent
             some = np.flatnonzero(use & (cells[cell] >= bar))
         else:
             bar, some = frequent, np.flatnonzero(use)
@@ -81,7 +82,7 @@ def compress(ids: np.ndarray, base: int, frequent: int = 2) -> tuple[np.ndarray,
             live[at[some[counts[which] < frequent]]] = False
         if not len(counts) or counts.max() < frequent:
             break
-        bar = max(frequent, int(counts.max()) // 16)
+        bar = max(frequent, int(counts.max()) // 32)
         order = np.lexsort((mix(pairs.view(np.uint64)), counts))
         rank = np.empty(len(pairs), dtype=np.int64)
         rank[order] = np.arange(1, len(pairs) + 1)
@@ -106,7 +107,7 @@ def compress(ids: np.ndarray, base: int, frequent: int = 2) -> tuple[np.ndarray,
         live[np.maximum(fresh_at - 1, 0)] = True
         rules.append(np.column_stack([pairs[kept] >> 32, pairs[kept] & 0xFFFFFFFF]))
         fresh += int(np.count_nonzero(kept))
-    return np.vstack(rules) if rules else np.zeros((0, 2), dtype=np.int64), now
+    return np.vstack(rules) if rules else np.zeros((0, 2), dtype=np.int64), now.astype(np.int64)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -207,13 +208,38 @@ class Shard:
         first, last = np.searchsorted(after, start, side="right"), np.searchsorted(after, end, side="left")
         skip = start - (int(after[first - 1]) if first else int(self.index[block]))
         symbols = symbols[first : last + 1]
+        return (self._all(symbols) if len(symbols) > len(self.left) else self._some(symbols))[skip : skip + end - start].astype(np.uint32)
+
+    def _some(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of a few symbols, whose rules are followed level by level."""
         while len(symbols) and (rule := symbols >= self.base).any():
             out = np.repeat(symbols, 1 + rule)
             place = np.cumsum(1 + rule) - 1 - rule
             out[place[rule]] = self.left[symbols[rule] - self.base]
             out[place[rule] + 1] = self.right[symbols[rule] - self.base]
             symbols = out
-        return symbols[skip : skip + end - start].astype(np.uint32)
+        return symbols
+
+    def _all(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of many symbols: each rule is expanded once, then all are looked up."""
+        first = np.cumsum(self.lengths) - self.lengths
+        table = np.zeros(int(self.lengths.sum()), dtype=np.int64)
+        done, sides = 0, (self.left, self.right)
+        while done < len(self.left):  # rules of one round refer to earlier rounds only
+            block = np.flatnonzero(np.maximum(self.left[done:], self.right[done:]) - self.base >= done)
+            end = done + (int(block[0]) if len(block) else len(self.left) - done)
+            pair = np.column_stack([x[done:end] for x in sides]).ravel()
+            table[first[done] : first[end - 1] + self.lengths[end - 1]] = self._read(pair, table, first)
+            done = end
+        return self._read(symbols, table, first)
+
+    def _read(self, symbols: np.ndarray, table: np.ndarray, first: np.ndarray) -> np.ndarray:
+        size = self._sizes(symbols)
+        out = np.repeat(symbols, size)
+        rule = symbols >= self.base
+        inner = np.repeat(rule, size)
+        out[inner] = table[ragged(first[symbols[rule] - self.base], size[rule])]
+        return out
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
@@ -319,7 +345,9 @@ def read_documents(spark: SparkSession, path: str, wanted: list[int]) -> DataFra
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
-    """Write docs into files of their own in the shared folder, and read_ids() of these."""
-    path = shared_dir(docs.sparkSession, "ids")
+    """Write docs into files of their own in the shared folder, and read_ids() of these, read once; the files are deleted."""
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "ids")
     write_ids(docs, path, **options)
-    return read_ids(docs.sparkSession, path)
+    found, _ = written(read_ids(spark, path), "ids-read")
+    discard(spark, path)
+    return found

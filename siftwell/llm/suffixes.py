@@ -31,6 +31,8 @@ from pyspark.sql.window import Window
 from .common import binary_list, discard, free_shuffles, keyed, mix, pieces, ragged, text_bytes, written
 
 GRAM = 32
+#: The longest string that can be asked for: a place has eight bits for the windows of an anchor.
+MOST_SIZE = GRAM + 254
 _SEGMENT = 1 << 18
 _TABLE = np.random.default_rng(7).integers(1, 2**63, size=256, dtype=np.uint64)
 _R = 0x9E3779B97F4A7C15
@@ -267,17 +269,26 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def bucket(columns: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
-    """How many splitters (rows of as many keys) are at or below each row, in lexicographic order."""
-    lo = np.searchsorted(splitters[:, 0], columns[0], side="left")
-    hi = np.searchsorted(splitters[:, 0], columns[0], side="right")
-    if splitters.shape[1] == 1:
-        return hi
-    for i in np.flatnonzero(np.append(True, splitters[1:, 0] != splitters[:-1, 0])) if len(splitters) else []:
-        own = np.flatnonzero(columns[0] == splitters[i, 0])
-        if len(own):
-            end = i + np.count_nonzero(splitters[:, 0] == splitters[i, 0])
-            lo[own] = i + bucket([c[own] for c in columns[1:]], splitters[i:end, 1:])
-    return lo
+    """How many splitters (rows of as many keys) are at or below each row, in lexicographic order.
+
+    The first keys give each row a range of splitters with the same one; rows whose range isn't empty go on by
+    bisection in it, all at once, so the work grows with the logarithm of the number of splitters.
+    """
+    low = np.searchsorted(splitters[:, 0], columns[0], side="left")
+    own = np.flatnonzero(low < np.searchsorted(splitters[:, 0], columns[0], side="right"))
+    if not len(own):
+        return low
+    keys = [c[own] for c in columns]
+    a, z = low[own], np.searchsorted(splitters[:, 0], keys[0], side="right")
+    while (open_ := a < z).any():
+        middle = np.minimum((a + z) // 2, len(splitters) - 1)
+        below = np.ones(len(own), dtype=bool)
+        for k in range(len(keys) - 1, 0, -1):
+            at = splitters[middle, k]
+            below = (at < keys[k]) | ((at == keys[k]) & below)
+        a, z = np.where(open_ & below, middle + 1, a), np.where(open_ & ~below, middle, z)
+    low[own] = a
+    return low
 
 
 def compare(rows: DataFrame, sample: DataFrame, share: float, bucket_rows: int, name: str, want_open: bool) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -402,6 +413,8 @@ def remove_repeats(docs: DataFrame, size: int = 100, bucket_rows: int = 400_000,
     their UTF-8 bytes, matches never cross texts and are judged on the input. A null text is empty; repeated
     rows are documents of their own. Returns ord, doc_id, n_bytes, n_removed, removed (start, end), kept: bytes, or with decode the text, in which a character that is cut goes as a whole.
     """
+    if size > MOST_SIZE:
+        raise ValueError(f"size must be at most {MOST_SIZE}")
     rows = keyed(docs, id_col, text_col)
     spans, _ = repeated_spans(rows, size, bucket_rows, hot_rows)
     schema = "ord long, doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept " + ("string" if decode else "binary")

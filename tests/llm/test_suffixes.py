@@ -1,6 +1,7 @@
 """Suffix-array removal: texts longer than a segment, cut characters, a hot passage over many buckets."""
 
 import numpy as np
+import pytest
 
 from siftwell.llm.suffixes import remove_repeats
 
@@ -52,3 +53,37 @@ def test_a_passage_that_most_texts_share(spark):
     for hot in (5, 20_000):
         found = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in remove_repeats(docs, bucket_rows=40, hot_rows=hot).collect())
         assert found == brute(rows)
+
+
+def test_a_size_that_places_cannot_hold_is_refused(spark):
+    from siftwell.llm.suffixes import MOST_SIZE, remove_repeats
+
+    shared = "".join(chr(97 + i * i % 26) + str(i) for i in range(700))
+    docs = spark.createDataFrame([(1, shared), (2, shared)], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in remove_repeats(docs, size=MOST_SIZE).collect()) == [0, len(shared)]
+    with pytest.raises(ValueError, match="286"):
+        remove_repeats(docs, size=MOST_SIZE + 1)
+
+
+def test_rows_find_their_bucket_among_many_splitters():
+    """Splitters of which many share leading keys, against counting; the time hardly grows with their number."""
+    import time
+
+    from siftwell.llm.suffixes import bucket
+
+    rng = np.random.default_rng(2)
+    splitters = rng.integers(0, 4, (60, 3))
+    splitters = splitters[np.lexsort(splitters.T[::-1])]
+    rows = rng.integers(-1, 5, (500, 3))
+    want = [sum(tuple(s) <= tuple(r) for s in splitters) for r in rows]
+    assert bucket(list(rows.T), splitters).tolist() == want
+    took = []
+    for n in (200, 20_000):
+        many = rng.integers(0, n, (n, 4))
+        many = many[np.lexsort(many.T[::-1])]
+        some = list(rng.integers(0, n, (10_000, 4)).T)
+        began = time.perf_counter()
+        for _ in range(5):
+            bucket(some, many)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0]
