@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -21,11 +21,11 @@ def confusion(rows: DataFrame, gold: str, pred: str, kinds: Sequence[str]) -> Da
     return counts.select(F.explode(F.array(*one)).alias("r")).select("r.*")
 
 
-def metrics(rows: DataFrame, gold: str, pred: str, kinds: Sequence[str], negative: str, by: str | Sequence[str] | None = None) -> DataFrame:
+def metrics(rows: DataFrame, gold: str, pred: str, kinds: Sequence[str], negative: str, by: str | Sequence[str] | None = None, more: Sequence[Column] = ()) -> DataFrame:
     """n, accuracy, majority (share of the commonest gold kind), precision and recall of `negative`.
 
     With by, a row for each of its values and one (null) for all, from one pass, and so on for several columns
-    from the last; a ratio without a denominator is null.
+    from the last; a ratio without a denominator is null. `more` are further aggregates of the same pass.
     """
     g, p = F.col(gold), F.col(pred)
     both = F.count_if((g == negative) & (p == negative))
@@ -35,6 +35,7 @@ def metrics(rows: DataFrame, gold: str, pred: str, kinds: Sequence[str], negativ
         (F.greatest(*[F.count_if(g == k) for k in kinds]) / F.count(F.lit(1))).alias("majority"),
         F.try_divide(both, F.count_if(p == negative)).alias("precision"),
         F.try_divide(both, F.count_if(g == negative)).alias("recall"),
+        *more,
     ]
     return rows.agg(*columns) if by is None else rows.rollup(*([by] if isinstance(by, str) else by)).agg(*columns)
 

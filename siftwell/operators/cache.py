@@ -60,3 +60,33 @@ def answer_verdict(probabilities: Column, choice: Column, tolerance: Column) ->
 def windowed(plans: DataFrame, size: int) -> DataFrame:
     """Plans with window_id: `size` consecutive ordinals each, for dense ordinals from 0."""
     return plans.withColumn("window_id", F.floor(F.col("ordinal") / size))
+
+
+def answer_problem(kind: Column, choice: Column, probabilities: Column, confidence: Column, labels: Column) -> Column:
+    """ok, or what is wrong with an answer to a question of these labels: kind, labels, range, sum or choice.
+
+    Probabilities may miss 1 by half a hundredth for each label where all of them are told to two decimals, else by
+    a thousandth. The choice must be a likeliest label; NaN is out of range.
+    """
+    values = F.map_values(probabilities)
+    chance = lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x <= 1)
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    rounded = F.forall(values, lambda x: F.abs(x * 100 - F.round(x * 100)) < 1e-9)
+    tolerance = F.when(rounded, 0.005 * F.size(values)).otherwise(0.001) + 1e-12
+    own = F.try_element_at(probabilities, choice)
+    same = F.array_sort(F.map_keys(probabilities)).eqNullSafe(F.array_sort(labels))
+    return (
+        F.when(F.coalesce(kind, F.lit("")) != "choice", "kind")
+        .when(~same, "labels")
+        .when(~F.forall(values, chance) | ~F.coalesce(chance(confidence), F.lit(False)), "range")
+        .when(F.abs(total - 1) > tolerance, "sum")
+        .when(own.isNull() | (own < F.array_max(values)), "choice")
+        .otherwise("ok")
+    )
+
+
+def response_problem(model: Column, questions: Column, answered: Column, usage: Column) -> Column:
+    """ok, or what is wrong with a response: no model, answers to other questions than those asked (lists of their
+    names), or a usage (JSON text, null where there is none) that is no object."""
+    asked = F.array_sort(questions).eqNullSafe(F.array_sort(answered)) & (F.size(F.array_distinct(answered)) == F.size(answered))
+    return F.when(model.isNull() | (model == ""), "model").when(~asked, "questions").when(usage.isNotNull() & F.json_object_keys(usage).isNull(), "usage").otherwise("ok")

@@ -101,6 +101,14 @@ def _date_call(name: str, arguments: list[list[str]], sliced: str) -> str:
     return f"{_DATES[name]}({value}, '{pattern}')"
 
 
+def _extracted(arguments: list[list[str]], sliced: str) -> str:
+    """json_extract of a value and a literal path: what stands there, as JSON text."""
+    if len(arguments) != 2 or len(arguments[1]) != 1 or arguments[1][0][0] != "'":
+        raise ReportError("json_extract takes a value and a literal path")
+    path = _json_path(arguments[1][0]).replace("\\", "\\\\").replace("'", "\\'")
+    return f"to_json(try_variant_get(try_parse_json({_translated(arguments[0], sliced)}), '{path}', 'variant'))"
+
+
 def translated(expression: str, sliced: str = "list") -> str:
     """A row expression in Spark's SQL; refuses what isn't an expression over one row.
 
@@ -132,6 +140,10 @@ def _translated(found: list[str], sliced: str) -> str:
             end = _until(found, i + 1, ")")
             out.append(_date_call(low, _listed(found[i + 2 : end]), sliced))
             i = end
+        elif low == "json_extract" and after == "(":
+            end = _until(found, i + 1, ")")
+            out.append(_extracted(_listed(found[i + 2 : end]), sliced))
+            i = end
         elif low in FUNCTIONS and after == "(":
             out.append(FUNCTIONS[low])
         elif low == "lambda" and ":" in found[i:]:

@@ -25,11 +25,8 @@ def judged(fields: DataFrame, gold: DataFrame, outcome: str = "/answer_text") ->
 def agreement(cases: DataFrame, kinds: Sequence[str], negative: str) -> DataFrame:
     """Metrics of each kind of case, by domain and (domain null) over all, with confusion: a row of counts by
     prediction for each label of gold."""
-    by_domain = metrics(cases, "gold", "predicted", kinds, negative, by=["kind", "domain"]).where(F.col("kind").isNotNull())
     counts = F.array(*[F.array(*[F.count_if((F.col("gold") == g) & (F.col("predicted") == p)) for p in kinds]) for g in kinds])
-    confused = cases.rollup("kind", "domain").agg(counts.alias("confusion")).where(F.col("kind").isNotNull())
-    same = F.col("a.kind").eqNullSafe(F.col("b.kind")) & F.col("a.domain").eqNullSafe(F.col("b.domain"))
-    return by_domain.alias("a").join(confused.alias("b"), same).select("a.*", "b.confusion")
+    return metrics(cases, "gold", "predicted", kinds, negative, by=["kind", "domain"], more=[counts.alias("confusion")]).where(F.col("kind").isNotNull())
 
 
 def write_evaluation(cases: DataFrame, kinds: Sequence[str], negative: str, path: str) -> None:

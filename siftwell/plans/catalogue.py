@@ -395,6 +395,24 @@ def response_validation(spark, d):
     return answers.select("id", cache.answer_verdict(F.col("probabilities"), F.col("choice"), F.lit(0.01)).alias("verdict"))
 
 
+_ROUNDED = "SELECT *, round(l_quantity / 70, k) AS a, round(1 - l_quantity / 70, k) + CASE l_linenumber WHEN 3 THEN 0.004 WHEN 5 THEN 0.01 ELSE 0 END AS b FROM (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN 2 ELSE 3 END AS k FROM lineitem)"
+_TWO = "abs(a * 100 - round(a * 100)) < 1e-9 AND abs(b * 100 - round(b * 100)) < 1e-9"
+
+
+@query("answer_validation", f"SELECT {LINE_ID_SQL} AS id, CASE WHEN l_returnflag = 'N' AND l_linenumber = 2 THEN 'kind' WHEN l_linenumber = 1 AND l_returnflag = 'A' THEN 'labels' WHEN b > 1 OR l_tax > 0.07 THEN 'range' WHEN abs(a + b - 1) > CASE WHEN {_TWO} THEN 0.01 ELSE 0.001 END + 1e-12 THEN 'sum' WHEN CASE WHEN l_returnflag = 'R' THEN a ELSE b END < greatest(a, b) THEN 'choice' ELSE 'ok' END AS verdict FROM ({_ROUNDED})")
+def answer_validation(spark, d):
+    """Answers checked as a scan checks them: labels, ranges, a sum as exact as its decimals, and the choice."""
+    t = table(spark, d, "lineitem").withColumn("k", F.when(F.col("l_partkey") % 2 == 0, 2).otherwise(3))
+    share = lambda x: F.when(F.col("k") == 2, F.round(x, 2)).otherwise(F.round(x, 3))
+    a = share(F.col("l_quantity") / 70)
+    b = share(1 - F.col("l_quantity") / 70) + F.when(F.col("l_linenumber") == 3, 0.004).when(F.col("l_linenumber") == 5, 0.01).otherwise(0.0)
+    kind = F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 2), "text").otherwise("choice")
+    labels = F.when((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "A"), F.array(F.lit("A"))).otherwise(F.array(F.lit("B"), F.lit("A")))
+    confidence = F.when(F.col("l_tax") > 0.07, F.lit(2.0)).otherwise(F.lit(0.5))
+    found = cache.answer_problem(kind, F.when(F.col("l_returnflag") == "R", "A").otherwise("B"), F.create_map(F.lit("A"), a, F.lit("B"), b), confidence, labels)
+    return t.select(F.expr(LINE_ID).alias("id"), found.alias("verdict"))
+
+
 @query("shortlist_topk", LINES_SQL + ", m AS (SELECT *, count(*) OVER () AS matching FROM e WHERE score >= 0.5) SELECT id, score, matching, row_number() OVER (ORDER BY score DESC, id) AS rank FROM m ORDER BY score DESC, id LIMIT 25")
 def shortlist_topk(spark, d):
     return analytics.shortlist(lines(spark, d).select("id", "score"), 25, 0.5, "id")

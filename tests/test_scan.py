@@ -167,7 +167,8 @@ def test_row_expressions(spark):
     assert keep("CAST(score * 10 AS INT) // 2") == ["a", "b"] and keep("round(score * 10)::INT ** 2 = 81") == ["a"] and keep("2 ** (1 + 1) = 4 AND id = 'b'") == ["b"]
     assert keep("id[1:1] = 'c'") == ["c"] and keep("list_filter(split('p,q,r', ','), lambda x: x > 'p')[2:] = array('r') AND split(id, ',')[1] = 'a'") == ["a"]
     assert keep("strftime(strptime('2020-01-02', '%Y-%m-%d'), '%d of %b') = '02 of Jan' AND epoch(strptime('1970-01-01', '%Y-%m-%d')) = 0 AND score > 0.5") == ["a"]
-    for bad in ("sum(score) > 1", "none_such = 1", "strftime(id, id)", "strptime(id, '%Q') > id"):
+    assert keep("json_extract(value, '$.k') = '\"x\"' AND json_extract(value, '/n/m') = '3'") == ["a"] and keep("json_extract(value, '$.none') IS NULL AND value IS NOT NULL") == ["a", "b"]
+    for bad in ("json_extract(value, id) = 'x'", "json_extract(value) = 'x'", "sum(score) > 1", "none_such = 1", "strftime(id, id)", "strptime(id, '%Q') > id"):
         with pytest.raises(ReportError):
             where(rows, bad)
     assert [r["id"] for r in rows.orderBy(*order_keys(rows, "score DESC")).collect()] == ["a", "b", "c"]
@@ -300,3 +301,31 @@ def test_answers_of_tasks_that_ended_outlive_a_failed_job(spark, tmp_path):
     assert 0 < stored < 8
     assert scan_frame(frame, Config(), str(tmp_path / "store"), maker(False)).count() == 8
     assert len(open(log).read().split("\n")) - 1 - before == 8 - stored
+
+
+@pytest.mark.parametrize(("change", "problem"), [({}, "ok"), ({"kind": "text"}, "kind"), ({"kind": None}, "kind"), ({"probabilities": {"A": 1.0}}, "labels"), ({"probabilities": {"A": 0.2, "B": 0.8, "C": 0.0}}, "labels"), ({"confidence": 2.0}, "range"), ({"confidence": None}, "range"), ({"probabilities": {"A": float("nan"), "B": 0.8}}, "range"), ({"probabilities": {"A": -0.1, "B": 1.1}}, "range"), ({"probabilities": {"A": 0.21, "B": 0.8}}, "ok"), ({"probabilities": {"A": 0.22, "B": 0.8}}, "sum"), ({"probabilities": {"A": 0.2005, "B": 0.8}}, "ok"), ({"probabilities": {"A": 0.2015, "B": 0.8}}, "sum"), ({"choice": "A"}, "choice"), ({"choice": "Z"}, "choice"), ({"choice": "A", "probabilities": {"A": 0.5, "B": 0.5}}, "ok")])
+def test_answers_are_judged_as_a_process_does(spark, change, problem):
+    from pyspark.sql import functions as F
+
+    from siftwell.operators.cache import answer_problem
+
+    answer = {"kind": "choice", "choice": "B", "probabilities": {"A": 0.2, "B": 0.8}, "confidence": 0.5} | change
+    row = spark.createDataFrame([(answer["kind"], answer["choice"], answer["probabilities"], answer["confidence"])], "kind string, choice string, probabilities map<string,double>, confidence double")
+    assert row.select(answer_problem(F.col("kind"), F.col("choice"), F.col("probabilities"), F.col("confidence"), F.array(F.lit("B"), F.lit("A")))).first()[0] == problem
+    request = {"questions": {"q": {"criteria": {"B": None, "A": None}}}}
+    response = {"model": "m", "answers": {"q": {"type": answer["kind"], "choice": answer["choice"], "probabilities": answer["probabilities"], "confidence": answer["confidence"]}}}
+    if problem == "ok":
+        check_response(response, request)
+    else:
+        with pytest.raises(InvalidResponse):
+            check_response(response, request)
+
+
+def test_responses_are_judged_as_a_whole(spark):
+    from pyspark.sql import functions as F
+
+    from siftwell.operators.cache import response_problem
+
+    rows = [("m", ["a", "b"], ["b", "a"], None, "ok"), ("m", ["a"], ["a"], "{}", "ok"), (None, ["a"], ["a"], None, "model"), ("m", ["a"], [], None, "questions"), ("m", ["a"], ["a", "a"], None, "questions"), ("m", ["a"], ["a"], "[1]", "usage")]
+    found = spark.createDataFrame(rows, "model string, q array<string>, a array<string>, usage string, want string")
+    assert [r for r in found.select("want", response_problem(F.col("model"), F.col("q"), F.col("a"), F.col("usage")).alias("got")).collect() if r["want"] != r["got"]] == []
