@@ -5,7 +5,7 @@ import pytest
 from siftwell.plans.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
