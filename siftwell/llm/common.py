@@ -61,6 +61,18 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return memory that this worker holds but doesn't use to the system: a worker serves many tasks, and what the
+    last one needed at its peak stays with it otherwise."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most parts - 1 ascending split points of an integer column, from one sketch of bounded size."""
     found = df.select(column).approxQuantile(column, [i / parts for i in range(1, parts)], 1 / (4 * parts))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pieces, written
+from .common import give_back, pieces, written
 from .tokens import encoder, tokenizer_path
 
 Config = dict[int, int]
@@ -227,6 +227,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id
                         out.append((doc, k, start, end - start, zlib.crc32(own[start:end].tobytes())))
                         start = end
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
