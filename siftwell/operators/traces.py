@@ -42,6 +42,42 @@ def prior_messages(turns: DataFrame, key: str = "conv_id", order: str = "turn",
     return turns.withColumn("prior", F.collect_list(F.when(F.col(role) == "user", told)).over(before))
 
 
+def _pieced(turns: DataFrame, key: str, order: str, size: int) -> DataFrame:
+    return turns.withColumn("piece", F.floor(F.col(order) / size))
+
+
+def context_pieces(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", size: int = 1000) -> DataFrame:
+    """(key, piece, before, users): the user's turns of each stretch of `size` places as structs of place and text, and how
+    many there are before it. Each text stands once, however many turns follow on it, and a conversation of any length is
+    as many rows as it has stretches; what a stretch passes on is a count."""
+    users = F.array_compact(F.array_sort(F.collect_list(F.when(F.col(role) == "user", F.struct(F.col(order).alias("i"), F.col(text).alias("text"))))))
+    found = _pieced(turns, key, order, size).groupBy(key, "piece").agg(users.alias("users"))
+    before = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    return found.select(key, "piece", F.coalesce(F.sum(F.size("users").cast("long")).over(before), F.lit(0)).alias("before"), "users")
+
+
+def prior_counts(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", size: int = 1000) -> DataFrame:
+    """turns with n_prior: how many user turns come before each; with context_pieces() this is all that a list for each
+    turn would say, in a size that grows with the turns and not with their square."""
+    placed = _pieced(turns, key, order, size)
+    is_user = F.coalesce((F.col(role) == "user").cast("long"), F.lit(0))
+    sums = placed.groupBy(key, "piece").agg(F.sum(is_user).alias("_n"))
+    before = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.sum(is_user).over(Window.partitionBy(key, "piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("_own", F.coalesce(own, F.lit(0))).join(sums, [key, "piece"]).select(*turns.columns, (F.col("_before") + F.col("_own")).alias("n_prior"))
+
+
+def prior_lists(some: DataFrame, pieces: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Rows of prior_counts() with `prior`, the user turns before them, cut from the stretches: for the turns that are
+    asked about, and not before that."""
+    told = pieces.select(key, F.col("before").alias("_before"), F.col("users").alias("_users"))
+    met = some.join(told, key).where(F.col("_before") < F.col("n_prior")).withColumn("_cut", F.struct("_before", F.slice("_users", F.lit(1), F.greatest(F.least(F.size("_users").cast("long"), F.col("n_prior") - F.col("_before")), F.lit(0)).cast("int")).alias("l")))
+    lists = met.groupBy(key, order).agg(F.flatten(F.transform(F.array_sort(F.collect_list("_cut")), lambda c: c["l"])).alias("prior"))
+    none = F.lit(None).cast(lists.schema["prior"].dataType)
+    return some.join(lists, [key, order], "left").withColumn("prior", F.coalesce("prior", F.filter(F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit("").alias("text"))), lambda _: F.lit(False)), none))
+
+
 def selected(rows: DataFrame, keep: Sequence[str], messages: str = "messages", answer: str = "answer_text", entry_id: str = "total_index") -> DataFrame:
     """Whole traces as entries (id, entry_json, fields): of the columns only `keep`, so that labels and reference
     answers never reach a request; fields are the assistant's messages and the answer."""

@@ -542,6 +542,22 @@ def trace_prior_texts(spark, d):
     return found.select("conv_id", "turn", F.concat_ws("|", F.transform("prior", lambda m: F.concat(m["i"].cast("string"), F.lit("="), m["text"]))).alias("prior"))
 
 
+@query("trace_prior_counts", "SELECT conv_id, turn, CAST(count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS n_prior FROM conversations")
+def trace_prior_counts(spark, d):
+    """How much of its conversation's shared context each turn has seen."""
+    return traces.prior_counts(table(spark, d, "conversations"), size=3).select("conv_id", "turn", "n_prior")
+
+
+@query("trace_last_context", "SELECT conv_id, max(turn) AS turn, coalesce(string_agg(turn || '=' || text, '|' ORDER BY turn) FILTER (WHERE role = 'user' AND turn < last), '') AS prior FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) GROUP BY conv_id")
+def trace_last_context(spark, d):
+    """What each conversation's last turn has before it, cut from the stretches that its turns share."""
+    turns = table(spark, d, "conversations")
+    counted = traces.prior_counts(turns, size=3)
+    last = counted.join(turns.groupBy("conv_id").agg(F.max("turn").alias("turn")), ["conv_id", "turn"], "left_semi")
+    found = traces.prior_lists(last.select("conv_id", "turn", "n_prior"), traces.context_pieces(turns, size=3))
+    return found.select("conv_id", "turn", F.concat_ws("|", F.transform("prior", lambda m: F.concat(m["i"].cast("string"), F.lit("="), m["text"]))).alias("prior"))
+
+
 @query("trace_selection", "SELECT CAST(conv_id AS VARCHAR) AS id, coalesce(string_agg('/messages/' || (k - 1), ',' ORDER BY k) FILTER (WHERE role = 'assistant') || ',', '') || '/answer_text' AS fields FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) GROUP BY conv_id")
 def trace_selection(spark, d):
     whole = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"), F.max("text").alias("answer_text"))
