@@ -90,3 +90,19 @@ def test_alternating_pick(spark):
 def test_planned_requests(spark):
     rows = spark.createDataFrame([("entry", 5), ("shared", 7)], "layout string, estimated_tokens long")
     assert tuple(analytics.planned(rows).first()) == (2, 12, ["entry", "shared"])
+
+
+def test_shared_contexts_say_what_lists_say(spark):
+    """Stretches of two turns, a long conversation, turns without a user before them, and gaps between places."""
+    from pyspark.sql import functions as F
+
+    from siftwell.operators.traces import context_pieces, prior_counts, prior_lists, prior_messages
+
+    rows = [(1, i, "user" if i % 3 == 0 else "assistant", f"t{i}") for i in range(25)] + [(2, 0, "assistant", "a"), (2, 7, "user", "b"), (2, 9, "tool", None), (2, 10, "user", "c"), (3, 4, "user", "only")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    counted, pieces = prior_counts(turns, size=2), context_pieces(turns, size=2)
+    expected = {(r["conv_id"], r["turn"]): [tuple(x) for x in r["prior"]] for r in prior_messages(turns, text="text").collect()}
+    assert {(r["conv_id"], r["turn"]): r["n_prior"] for r in counted.collect()} == {k: len(v) for k, v in expected.items()}
+    found = {(r["conv_id"], r["turn"]): [tuple(x) for x in r["prior"]] for r in prior_lists(counted.select("conv_id", "turn", "n_prior"), pieces).collect()}
+    assert found == expected
+    assert pieces.select(F.sum(F.size("users"))).first()[0] == sum(r[2] == "user" for r in rows)
