@@ -78,7 +78,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .weak_labels import classify
 
-    return classify(_documents(spark, sf_dir))[0]
+    return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))[0]
 
 
 def op11_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
