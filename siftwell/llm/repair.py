@@ -41,6 +41,26 @@ _SCHEMA = "part long, shard long, n_docs long, n_ids long, first_doc long, last_
 NULL_ID = -(1 << 63)
 
 
+def _counted(key: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs (left << 32 | right) of symbols below `symbols`, ascending, which of them each key is, and their counts.
+
+    Where a pair and its place fit a number together, numbers are sorted instead of places by numbers.
+    """
+    wide, far = (symbols - 1).bit_length(), len(key).bit_length()
+    if not len(key) or 2 * wide + far > 63:
+        return np.unique(key, return_inverse=True, return_counts=True)
+    both = ((key >> 32) << wide | key & 0xFFFFFFFF) << far
+    both |= np.arange(len(key))
+    both.sort()
+    pair, place = both >> far, both & (1 << far) - 1
+    new = np.append(True, pair[1:] != pair[:-1])
+    first = np.flatnonzero(new)
+    which = np.empty(len(key), dtype=np.int64)
+    which[place] = np.cumsum(new) - 1
+    pair = pair[first]
+    return (pair >> wide) << 32 | pair & (1 << wide) - 1, which, np.diff(np.append(first, len(key)))
+
+
 def compress(ids: np.ndarray, base: int, frequent: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Rules (n, 2) and the remaining sequence, in which no pair occurs `frequent` times. Rule i is symbol base + i.
 
@@ -74,19 +94,20 @@ def compress(ids: np.ndarray, base: int, frequent: int = 2) -> tuple[np.ndarray,
             some = np.flatnonzero(use & (cells[cell] >= bar))
         else:
             bar, some = frequent, np.flatnonzero(use)
-        pairs, which, counts = np.unique(key[some], return_inverse=True, return_counts=True)
+        pairs, which, counts = _counted(key[some], fresh)
         if bar > frequent and counts.max(initial=0) < frequent:  # cells full of seldom pairs
             bar, some = frequent, np.flatnonzero(use)
-            pairs, which, counts = np.unique(key[some], return_inverse=True, return_counts=True)
+            pairs, which, counts = _counted(key[some], fresh)
         if bar == frequent:
             live[at[some[counts[which] < frequent]]] = False
         if not len(counts) or counts.max() < frequent:
             break
         bar = max(frequent, int(counts.max()) // 32)
-        order = np.lexsort((mix(pairs.view(np.uint64)), counts))
-        rank = np.empty(len(pairs), dtype=np.int64)
-        rank[order] = np.arange(1, len(pairs) + 1)
-        mine = np.flatnonzero(counts[which] >= bar)
+        chosen = np.flatnonzero(counts >= bar)
+        order = chosen[np.lexsort((mix(pairs[chosen].view(np.uint64)), counts[chosen]))]
+        rank = np.zeros(len(pairs), dtype=np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        mine = np.flatnonzero((rank > 0)[which])
         place, which = at[some[mine]], which[mine]
         own = rank[which]
         next_ = np.diff(place) == 1

@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .common import hash_runs, text_bytes
+from .common import hash_runs, ragged, text_bytes
 
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _PUNCTUATION = np.isin(np.arange(256), [x for x in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"])
@@ -38,6 +38,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memory = memory
+        # a byte-level vocabulary has a character for each byte
+        named = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1, dtype=np.int64)
+        self.bytes_of[np.fromiter(named.values(), dtype=np.int64, count=len(named))] = np.fromiter(map(len, named), dtype=np.int64, count=len(named))
         self._forget()
 
     def _forget(self) -> None:
@@ -75,36 +79,78 @@ class Encoder:
         cut[1:-1] = (data[1:-1] == 32) & solid[:-2] & solid[2:] & ~_WIDE_LEAD[data[2:]]
         near = np.flatnonzero(cut)
         high = near[data[near - 1] >= 0x80]
-        lead2, lead3 = data[np.maximum(high - 2, 0)], data[np.maximum(high - 3, 0)]
-        cut[high[(lead2 == 0xC2) | np.isin(lead3, [0xE1, 0xE2, 0xE3])]] = False
+        cut[high[Encoder._wide_end(data, high)]] = False
         cut[1:] |= (_LETTER[data[:-1]] & _PUNCTUATION[data[1:]]) | (_PUNCTUATION[data[:-1]] & (data[1:] == 10))
         return cut
 
+    @staticmethod
+    def _wide_end(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the character beyond ASCII before each place may be white space."""
+        return (data[np.maximum(end - 2, 0)] == 0xC2) | np.isin(data[np.maximum(end - 3, 0)], [0xE1, 0xE2, 0xE3])
+
     def _places(self, distinct: pa.StringArray) -> np.ndarray:
         """Where each of the pieces stands in the memory, into which the new ones go first."""
         data, at = text_bytes(distinct)
         h = hash_runs(data, at[:-1], at[1:])
-        found = np.searchsorted(self.keys, h)
-        known = self.keys[np.minimum(found, len(self.keys) - 1)] == h if len(self.keys) else np.zeros(len(h), dtype=bool)
-        if known.all():
-            return found
-        if len(self.keys) and len(self.keys) + np.count_nonzero(~known) > self.memory:
-            self._forget()
-            known[:] = False
-        new = np.flatnonzero(~known)
-        lists, sizes = [self.ids], []
-        for lo in range(0, len(new), 20_000):
-            texts = distinct.take(pa.array(new[lo : lo + 20_000])).to_pylist()
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes += map(len, got)
-            lists.append(np.fromiter(chain.from_iterable(got), dtype=np.uint32))
-        size = np.array(sizes, dtype=np.int32)
-        first = len(self.ids) + np.cumsum(size, dtype=np.int32) - size
-        keys = np.concatenate([self.keys, h[new]])
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.concatenate(lists)
-        self.first, self.size = np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
-        return np.searchsorted(self.keys, h)
+        order = np.argsort(h)
+        ascending = h[order]  # looked up in order, as neighbours then share what is read of the memory
+        found = np.searchsorted(self.keys, ascending)
+        known = self.keys[np.minimum(found, len(self.keys) - 1)] == ascending if len(self.keys) else np.zeros(len(h), dtype=bool)
+        if not known.all():
+            if len(self.keys) and len(self.keys) + np.count_nonzero(~known) > self.memory:
+                self._forget()
+                found, known = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
+            ids, size = self._encoded(distinct, order[~known], data, at)
+            first = len(self.ids) + np.cumsum(size, dtype=np.int32) - size
+            before = found[~known]
+            self.keys = np.insert(self.keys, before, ascending[~known])
+            self.first, self.size = np.insert(self.first, before, first), np.insert(self.size, before, size)
+            self.ids = np.concatenate([self.ids, ids])
+            found = found + np.cumsum(~known) - ~known  # as many new ones came in before
+        place = np.empty(len(h), dtype=np.int64)
+        place[order] = found
+        return place
+
+    def _encoded(self, distinct: pa.StringArray, which: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some pieces joined, and how many each has.
+
+        Pieces that begin with a single space and end with a character that's surely no white space may stand one
+        after another, as texts are cut there, so they are encoded some hundred at a time and told apart by how many
+        bytes their tokens stand for.
+        """
+        start, end = at[:-1][which], at[1:][which]
+        second, last = data[np.minimum(start + 1, len(data) - 1)], data[end - 1]
+        plain = (data[start] == 32) & (end - start > 1) & (second > 32) & ~_WIDE_LEAD[second] & (last > 32)
+        high = np.flatnonzero(plain & (last >= 0x80))
+        plain[high[self._wide_end(data, end[high])]] = False
+        size, parts, places = np.zeros(len(which), dtype=np.int32), [], []
+        for own in (np.flatnonzero(plain), np.flatnonzero(~plain)):
+            for lo in range(0, len(own), 20_000):
+                some = own[lo : lo + 20_000]
+                texts = distinct.take(pa.array(which[some])).to_pylist()
+                got = self._joined(texts, (end - start)[some]) if plain[some[0]] else None
+                if got is None:
+                    lists = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                    got = np.fromiter(chain.from_iterable(lists), dtype=np.uint32), np.fromiter(map(len, lists), dtype=np.int32, count=len(lists))
+                parts.append(got[0])
+                size[some] = got[1]
+                places.append(some)
+        ids = np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
+        took = np.concatenate([np.zeros(0, dtype=np.int64), *places])
+        held = size[took].astype(np.int64)
+        first = np.empty(len(which), dtype=np.int64)
+        first[took] = np.cumsum(held) - held
+        return ids[ragged(first, size)], size
+
+    def _joined(self, texts: list[str], width: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their numbers for pieces of given widths in bytes, encoded joined; none if tokens don't tell the pieces."""
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast(["".join(texts[i : i + 200]) for i in range(0, len(texts), 200)], add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(lists), dtype=np.uint32)
+        ends, bounds = np.cumsum(self.bytes_of[ids]), np.cumsum(width)
+        last = np.searchsorted(ends, bounds)
+        if not len(ends) or ends[-1] != bounds[-1] or (ends[last] != bounds).any():
+            return None
+        return ids, np.diff(last + 1, prepend=0).astype(np.int32)
 
 
 _ENCODERS: dict[str, Encoder] = {}
