@@ -31,6 +31,9 @@ class Encoder:
     `memory` of them (some 26 bytes each); then the memory starts anew.
     """
 
+    #: How many bytes each id stands for, where pieces may be encoded joined.
+    bytes_of: np.ndarray | None = None
+
     def __init__(self, path: str, memory: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -121,15 +124,16 @@ class Encoder:
         start, end = at[:-1][which], at[1:][which]
         second, last = data[np.minimum(start + 1, len(data) - 1)], data[end - 1]
         plain = (data[start] == 32) & (end - start > 1) & (second > 32) & ~_WIDE_LEAD[second] & (last > 32)
+        plain &= self.bytes_of is not None
         high = np.flatnonzero(plain & (last >= 0x80))
         plain[high[self._wide_end(data, end[high])]] = False
         size, parts, places = np.zeros(len(which), dtype=np.int32), [], []
         for own in (np.flatnonzero(plain), np.flatnonzero(~plain)):
             for lo in range(0, len(own), 20_000):
                 some = own[lo : lo + 20_000]
-                texts = distinct.take(pa.array(which[some])).to_pylist()
-                got = self._joined(texts, (end - start)[some]) if plain[some[0]] else None
+                got = self._joined(data, start[some], (end - start)[some]) if plain[some[0]] else None
                 if got is None:
+                    texts = distinct.take(pa.array(which[some])).to_pylist()
                     lists = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                     got = np.fromiter(chain.from_iterable(lists), dtype=np.uint32), np.fromiter(map(len, lists), dtype=np.int32, count=len(lists))
                 parts.append(got[0])
@@ -142,11 +146,13 @@ class Encoder:
         first[took] = np.cumsum(held) - held
         return ids[ragged(first, size)], size
 
-    def _joined(self, texts: list[str], width: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    def _joined(self, data: np.ndarray, start: np.ndarray, width: np.ndarray, together: int = 200) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and their numbers for pieces of given widths in bytes, encoded joined; none if tokens don't tell the pieces."""
-        lists = [x.ids for x in self.tokenizer.encode_batch_fast(["".join(texts[i : i + 200]) for i in range(0, len(texts), 200)], add_special_tokens=False)]
+        raw, bounds = data[ragged(start, width)].tobytes(), np.cumsum(width)
+        cut = [0, *bounds[together - 1 : -1 : together].tolist(), len(raw)]
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast([raw[i:j].decode() for i, j in zip(cut, cut[1:], strict=False)], add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(lists), dtype=np.uint32)
-        ends, bounds = np.cumsum(self.bytes_of[ids]), np.cumsum(width)
+        ends = np.cumsum(self.bytes_of[ids])
         last = np.searchsorted(ends, bounds)
         if not len(ends) or ends[-1] != bounds[-1] or (ends[last] != bounds).any():
             return None

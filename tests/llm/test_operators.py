@@ -42,6 +42,45 @@ def test_encoder_is_the_library():
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("memory", [50, 700_000])
+def test_encoder_joins_pieces(memory):
+    """Thousands of distinct pieces of all kinds, in batches, remembered or forgotten in between."""
+    from tokenizers import Tokenizer
+
+    from siftwell.llm.align import PieceEncoder
+    from siftwell.llm.tokens import Encoder, tokenizer_path
+
+    draw = np.random.default_rng(7)
+    letters = [*"aeinrst", "é", "ß", "я", "日", "\u00a0", "\u2003", "\u3000", "¿", "'s", "1", "22", "#", ",", ".", "\t", "\n", " ", "<|endoftext|>", "😀"]
+    chance = np.array([8.0] * 7 + [1.0] * (len(letters) - 7))
+    words = ["".join(draw.choice(letters, size, p=chance / chance.sum())) for size in draw.integers(1, 9, 3000)]
+    batches = [[" ".join(draw.choice(words, 40)) for _ in range(30)] for _ in range(4)]
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = True
+    encode, pieces = Encoder(tokenizer_path(), memory=memory), PieceEncoder(tokenizer_path("piece_bpe_32k.model"), memory=memory)
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    for texts in [*batches, batches[0]]:
+        ids, counts = encode(pa.array(texts))
+        at = np.concatenate([[0], np.cumsum(counts)])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        clean = [" " + re.sub(r"\W+", " ", t).strip() for t in texts]
+        ids, counts = pieces(pa.array(clean))
+        at = np.concatenate([[0], np.cumsum(counts)])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [model.encode(t[1:]) for t in clean]
+
+
+def test_pairs_are_counted_as_by_numpy():
+    from siftwell.llm.repair import _counted
+
+    draw = np.random.default_rng(3)
+    for n, symbols in ((0, 70_000), (1, 70_000), (1000, 40), (5000, 1 << 17), (5000, 1 << 26)):
+        key = draw.integers(0, symbols, n) << 32 | draw.integers(0, min(symbols, 50), n)
+        for found, right in zip(_counted(key, symbols), np.unique(key, return_inverse=True, return_counts=True), strict=True):
+            assert (found == right).all()
+
+
 def test_language(docs, none):
     from siftwell.llm.langid import fit, predict
 
