@@ -11,6 +11,7 @@ import re
 ENDPOINT = "siftwell:field-choice/1"
 _INDEX = re.compile(r"0|[1-9][0-9]*")
 _MISSING = object()
+_WRITE = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False).encode
 
 
 class InvalidValue(ValueError):
@@ -19,7 +20,7 @@ class InvalidValue(ValueError):
 
 def canonical(value: object) -> str:
     """JSON text with sorted keys and no spaces; non-ASCII stays, NaN and infinities are errors."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return _WRITE(value)
 
 
 def check_json(value: object, depth: int = 200) -> object:
@@ -64,6 +65,8 @@ def pointer_tokens(pointer: str) -> list[str]:
     if not pointer.startswith("/"):
         raise InvalidValue(f"pointer must be empty or start with /: {pointer!r}")
     found = pointer[1:].split("/")
+    if "~" not in pointer:
+        return found
     if any(re.search(r"~(?![01])", x) for x in found):
         raise InvalidValue(f"bad escape in pointer {pointer!r}")
     return [x.replace("~1", "/").replace("~0", "~") for x in found]
