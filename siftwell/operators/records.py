@@ -20,9 +20,9 @@ ENTRY = ("id", "source", "entry_json", "fields")
 
 def cut(rows: DataFrame, source: str, text: str, size: int) -> DataFrame:
     """(source, piece, text): each text of a column in pieces of `size` code points, wherever a line may end."""
-    at = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
-    found = rows.select(F.col(source).alias("source"), F.col(text).alias("_t"), F.posexplode(at).alias("piece", "_at"))
-    return found.select("source", "piece", F.substring("_t", F.col("_at") + 1, F.lit(size)).alias("text"))
+    # one pass over a text: a substring for each piece would count from the text's beginning each time
+    found = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return rows.select(F.col(source).alias("source"), F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array(F.col(text)))).alias("piece", "text"))
 
 
 def _earlier(rows: DataFrame) -> Window:
@@ -38,16 +38,16 @@ def piece_lines(pieces: DataFrame) -> DataFrame:
     """
     split = pieces.select("source", "piece", F.split("text", "\n").alias("_l"))
     before = split.groupBy("source", "piece").agg((F.max(F.size("_l")) - 1).alias("_n"))
-    before = before.select("source", "piece", F.coalesce(F.sum("_n").over(_earlier(before)), F.lit(0)).alias("_before"))
-    placed = split.join(before, ["source", "piece"]).select("source", "piece", "_before", F.size("_l").alias("_k"), F.posexplode("_l").alias("_i", "line"))
+    total = F.sum("_n").over(Window.partitionBy("source"))
+    before = before.select("source", "piece", F.coalesce(F.sum("_n").over(_earlier(before)), F.lit(0)).alias("_before"), (total + 1).alias("_last"))
+    placed = split.join(before, ["source", "piece"]).select("source", "piece", "_before", "_last", F.size("_l").alias("_k"), F.posexplode("_l").alias("_i", "line"))
     placed = placed.withColumn("line_no", F.col("_before") + F.col("_i") + 1)
     inner = (F.col("_i") > 0) & (F.col("_i") < F.col("_k") - 1)
     whole = placed.where(inner).select("source", "piece", "line_no", "line")
-    shared = placed.where(~inner).groupBy("source", "line_no").agg(F.array_sort(F.collect_list(F.struct("piece", "line"))).alias("_p"))
+    shared = placed.where(~inner).groupBy("source", "line_no").agg(F.array_sort(F.collect_list(F.struct("piece", "line"))).alias("_p"), F.max("_last").alias("_last"))
     # a line counts to the first piece that has a share of it, be it empty, so numbers rise with pieces
-    joined = shared.select("source", F.get("_p", 0)["piece"].alias("piece"), "line_no", F.array_join(F.transform("_p", lambda p: p["line"]), "").alias("line"))
-    last = joined.groupBy("source").agg(F.max("line_no").alias("_last"))
-    ended = joined.join(last, "source").where((F.col("line_no") < F.col("_last")) | (F.col("line") != "")).drop("_last")
+    joined = shared.select("source", F.get("_p", 0)["piece"].alias("piece"), "line_no", F.array_join(F.transform("_p", lambda p: p["line"]), "").alias("line"), "_last")
+    ended = joined.where((F.col("line_no") < F.col("_last")) | (F.col("line") != "")).drop("_last")
     return whole.unionByName(ended)
 
 

@@ -95,3 +95,14 @@ def test_gzip_and_joined_lines(spark, tmp_path):
     for size in (1, 4, 100):
         rows = spark.createDataFrame([(1, "a\\\nb\\\\\nc\\\\\\\nd\n")], "i long, t string")
         assert sorted((r["line_no"], r["line"]) for r in joined_lines(piece_lines(cut(rows, "i", "t", size))).collect()) == [(1, "ab\\\\"), (3, "c\\\\d")]
+
+
+def test_a_text_is_cut_in_one_pass(spark):
+    """No piece's row carries the whole text, and no piece is counted from the text's beginning."""
+    texts = [*TEXTS, "\U0001f600\r\n \x85x" * 9]
+    rows = spark.createDataFrame([*enumerate(texts)], "i long, t string")
+    for size in (1, 4, 97):
+        found = cut(rows, "i", "t", size)
+        got = {(r["source"], r["piece"]): r["text"] for r in found.collect()}
+        assert got == {(i, k): t[lo : lo + size] for i, t in enumerate(texts) for k, lo in enumerate(range(0, max(1, len(t)), size))}
+        assert "substring" not in found._jdf.queryExecution().optimizedPlan().toString()
