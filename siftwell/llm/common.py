@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,18 @@ def give_back() -> None:
         pass
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, whose worker gives memory back before it begins (another stage's model or arrays may have
+    been freed since its last task) and once it has ended."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most parts - 1 ascending split points of an integer column, from one sketch of bounded size."""
     found = df.select(column).approxQuantile(column, [i / parts for i in range(1, parts)], 1 / (4 * parts))

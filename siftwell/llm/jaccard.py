@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, binary_list, discard, free_shuffles, hash_runs, hash_windows, keyed, mix, pieces, ragged, text_bytes, words, written
+from .common import LOWER, binary_list, discard, free_shuffles, hash_runs, hash_windows, keyed, lean, mix, pieces, ragged, text_bytes, words, written
 from .components import components
 
 _SKETCH, _SLICES = 1 << 20, 64
@@ -82,7 +82,7 @@ def _survey(rows: DataFrame, width: int) -> tuple[DataFrame, str]:
             none = pa.nulls(_SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["ord", "doc_id", "n", "h", "slice", "counts"])
 
-    return written(rows.select("ord", "doc_id", "text").mapInArrow(run, "ord long, doc_id long, n long, h long, slice int, counts binary"), "shingle-survey")
+    return written(rows.select("ord", "doc_id", "text").mapInArrow(lean(run), "ord long, doc_id long, n long, h long, slice int, counts binary"), "shingle-survey")
 
 
 def _sketch(survey: DataFrame) -> np.ndarray:
@@ -97,7 +97,7 @@ def _sketch(survey: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
     out = np.zeros((_SLICES, _SKETCH // _SLICES), dtype=np.uint64)
-    for r in survey.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
+    for r in survey.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(lean(add), "slice int, counts binary").collect():
         out[r["slice"]] = np.frombuffer(r["counts"], dtype=np.uint64)
     return out.ravel()
 
@@ -162,8 +162,8 @@ def prefix_lists(rows: DataFrame, sketch: np.ndarray, width: int, percent: int,
             block, size = block[stay], size[stay]
         return pa.RecordBatch.from_arrays([*(pa.array(block[:, i]) for i in range(4)), pa.array(size)], names=out_names)
 
-    dealt = rows.select("ord", "text").mapInArrow(emit, "token long, h long, n long, packed long, salt int").repartition("token", "salt")
-    found = dealt.sortWithinPartitions("token", "h").mapInArrow(shared_only, "token long, h long, n long, packed long, size long")
+    dealt = rows.select("ord", "text").mapInArrow(lean(emit), "token long, h long, n long, packed long, salt int").repartition("token", "salt")
+    found = dealt.sortWithinPartitions("token", "h").mapInArrow(lean(shared_only), "token long, h long, n long, packed long, size long")
     return found.select("token", "h", "n", F.shiftright("packed", 32).alias("level"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).alias("need"), "size")
 
 
@@ -221,7 +221,7 @@ def differences(rows: DataFrame, classes: DataFrame, hubs: DataFrame, width: int
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(d)]).astype(np.int32)), pa.array(both[single].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts), pa.array(size), pa.array(d), pa.array(100 * shared >= percent * (counts + size - shared)), lists], names=["h", "hub", "n", "center", "size", "near", "d"])
 
-    found, own = written(both.mapInArrow(run, "h long, hub long, n long, center long, size long, near boolean, d array<long>"), "differences")
+    found, own = written(both.mapInArrow(lean(run), "h long, hub long, n long, center long, size long, near boolean, d array<long>"), "differences")
     return found, [path, own]
 
 
@@ -265,7 +265,7 @@ def _same(pairs: DataFrame, spaces: DataFrame, percent: int) -> DataFrame:
     # a class has one hub, so h names its difference
     one = dealt_join(pairs.select("a", "b"), spaces.select(F.col("h").alias("a"), "n", "d"), "a")
     two = dealt_join(one, spaces.select(F.col("h").alias("b"), F.col("n").alias("m"), F.col("d").alias("t")), "b")
-    return two.select("a", "b", "n", "d", "m", "t").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "n", "d", "m", "t").mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,7 +281,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = dealt_join(pairs, sets.select(F.col("h").alias("b"), F.col("s").alias("t")), "b")
-    return dealt_join(one, sets.select(F.col("h").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return dealt_join(one, sets.select(F.col("h").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(lean(run), "a long, b long")
 
 
 def _sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> tuple[DataFrame, str]:
@@ -294,7 +294,7 @@ def _sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), binary_list(values, counts)], names=["h", "s"])
 
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct().join(classes, "h").select("ord", "h")
-    found = written(rows.select("ord", "text").join(wanted, "ord").select("h", "text").mapInArrow(run, "h long, s binary"), "shingle-sets")
+    found = written(rows.select("ord", "text").join(wanted, "ord").select("h", "text").mapInArrow(lean(run), "h long, s binary"), "shingle-sets")
     free_shuffles(rows.sparkSession)
     return found
 

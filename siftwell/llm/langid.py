@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, pieces, text_bytes
+from .common import lean, pieces, text_bytes
 
 UNKNOWN = "und"
 
@@ -173,7 +173,7 @@ def gram_counts(docs: DataFrame, langs: list[str], order: int, least: int = 2, t
                         codes, n = np.unique(codes[codes > 0], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), k + 1, dtype=np.int32)), pa.array(codes), pa.array(np.full(len(codes), i, dtype=np.int32)), pa.array(n)], names=["length", "code", "lang", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, "length int, code long, lang int, n long")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(lean(count), "length int, code long, lang int, n long")
     by_lang = rows.groupBy("length", "code", "lang").agg(F.sum("n").alias("n"))
     found = by_lang.groupBy("length", "code").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("counts"))
     return found.where((F.col("length") == 1) | (F.col("all") >= least)).select("length", "code", "counts")
@@ -230,10 +230,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         model = shared.value
         for batch in batches:
-            for part in pieces(batch, text, 500_000):
+            for part in pieces(batch, text, 200_000):
                 n = part.num_rows
                 lang, score, rate = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.zeros(n)
                 if model:
@@ -248,7 +247,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rate)], names=names)
 
     rows = docs.select(*carried, *more, has_letter(docs[text_col]).alias("letters"))
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(lean(run), f"{kinds}, lang_pred string, score double, bits_per_byte double")
 
 
 def has_letter(text: Column) -> Column:

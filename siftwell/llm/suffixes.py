@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import binary_list, discard, free_shuffles, keyed, mix, pieces, ragged, text_bytes, written
+from .common import binary_list, discard, free_shuffles, keyed, lean, mix, pieces, ragged, text_bytes, written
 
 GRAM = 32
 #: The longest string that can be asked for: a place has eight bits for the windows of an anchor.
@@ -132,7 +132,7 @@ def anchor_rows(rows: DataFrame, size: int) -> DataFrame:
                     place = (first - at[owner] + base[owner]) << 16 | distance << 8 | number
                     yield _batch(key, cover, ords[owner], place)
 
-    return rows.select("ord", "text").mapInArrow(run, "key long, cover long, ord long, place long")
+    return rows.select("ord", "text").mapInArrow(lean(run), "key long, cover long, ord long, place long")
 
 
 def side_rows(rows: DataFrame, size: int) -> DataFrame:
@@ -163,7 +163,7 @@ def side_rows(rows: DataFrame, size: int) -> DataFrame:
                     ords = part.column(0).to_numpy()[row[has]]
                     yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ords), pa.array((s - at[row[has]]) << 16 | n), binary_list(raw, length)], names=["g", "ord", "place", "bytes"])
 
-    return rows.mapInArrow(run, "g long, ord long, place long, bytes binary")
+    return rows.mapInArrow(lean(run), "g long, ord long, place long, bytes binary")
 
 
 def _stretches(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -226,7 +226,7 @@ def compared_sides(cold: DataFrame, size: int) -> DataFrame:
         for x in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
             yield whole(x)
 
-    return cold.repartition("g").sortWithinPartitions("g").mapInArrow(run, "ord long, place long")
+    return cold.repartition("g").sortWithinPartitions("g").mapInArrow(lean(run), "ord long, place long")
 
 
 def window_rows(hot: DataFrame, size: int) -> DataFrame:
@@ -239,7 +239,7 @@ def window_rows(hot: DataFrame, size: int) -> DataFrame:
                 row, start, h, lead = _opened(part, size)
                 yield _batch(lead, h, part.column(1).to_numpy()[row], start << 16 | 1)
 
-    return hot.mapInArrow(run, "key long, cover long, ord long, place long")
+    return hot.mapInArrow(lean(run), "key long, cover long, ord long, place long")
 
 
 def _batch(key: np.ndarray, cover: np.ndarray, ords: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -340,8 +340,8 @@ def compare(rows: DataFrame, sample: DataFrame, share: float, bucket_rows: int,
             i = np.flatnonzero(rows_)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), wanted, dtype=np.int32)), pa.array(b[i]), pa.array(key[i]), pa.array(cover[i]), pa.array(ords[i]), pa.array(place[i]), pa.array(covers[i])], names=["kind", "bucket", *columns, "covers"])
 
-    dealt = rows.mapInArrow(deal, "key long, cover long, ord long, place long, bucket int")
-    found = dealt.repartitionById(len(splitters) + 1, F.col("bucket")).mapInArrow(sort, "kind int, bucket int, key long, cover long, ord long, place long, covers long")
+    dealt = rows.mapInArrow(lean(deal), "key long, cover long, ord long, place long, bucket int")
+    found = dealt.repartitionById(len(splitters) + 1, F.col("bucket")).mapInArrow(lean(sort), "kind int, bucket int, key long, cover long, ord long, place long, covers long")
     found, path = written(found, name)
     # a few rows for each bucket: equal rows are neighbours, so an edge is repeated if any edge row precedes it
     edges = found.where("kind >= 2")
@@ -365,7 +365,7 @@ def _every(rows: DataFrame, step: int, parts: int) -> np.ndarray:
 
     columns = ["key", "cover", "ord", "place"]
     ranges = rows.select(*columns).repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
-    found = ranges.mapInArrow(pick, "key long, cover long, ord long, place long").toArrow()
+    found = ranges.mapInArrow(lean(pick), "key long, cover long, ord long, place long").toArrow()
     return np.unique(np.column_stack([found.column(i).to_numpy() for i in range(4)]).reshape(-1, 4), axis=0)
 
 
@@ -436,4 +436,4 @@ def remove_repeats(docs: DataFrame, size: int = 100, bucket_rows: int = 400_000,
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.string() if decode else pa.binary())], names=["ord", "doc_id", "n_bytes", "n_removed", "removed", "kept"])
 
-    return rows.select("ord", "doc_id", "text").join(spans, "ord", "left").mapInArrow(run, schema)
+    return rows.select("ord", "doc_id", "text").join(spans, "ord", "left").mapInArrow(lean(run), schema)

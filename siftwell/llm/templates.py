@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hash_runs, hash_windows, keyed, pieces, text_bytes, words
+from .common import LOWER, hash_runs, hash_windows, keyed, lean, pieces, text_bytes, words
 
 NUM, UNIT, NAME = (np.uint64(x) for x in (0xA11, 0xA12, 0xA13))
 #: Words taken for units of measure when they follow a number.
@@ -95,7 +95,7 @@ def _window_rows(rows: DataFrame, widths: list[int], known: np.ndarray | None, i
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * width), pa.array(values.ravel().view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), width, dtype=np.int32)), pa.array(ids[text]), pa.array(place), pa.array(counts[text]), lists], names=names)
 
-    return rows.mapInArrow(run, f"window long, width int, {id_name} long, place long, n_tokens long, values array<long>")
+    return rows.mapInArrow(lean(run), f"window long, width int, {id_name} long, place long, n_tokens long, values array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_tokens: int = 13, least_item: int = 4, broadcast_windows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -134,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_to
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["ord", "item_id", "n_tokens", "verbatim"])
 
-    matches = grouped.select("ord", "item_id", "item_tokens", "w").mapInArrow(check, "ord long, item_id long, n_tokens long, verbatim boolean")
+    matches = grouped.select("ord", "item_id", "item_tokens", "w").mapInArrow(lean(check), "ord long, item_id long, n_tokens long, verbatim boolean")
     best = matches.groupBy("ord", "item_id").agg(F.max(F.struct("n_tokens", "verbatim")).alias("m"))
     return best.join(rows.select("ord", "doc_id"), "ord").select("ord", "doc_id", "item_id", "m.n_tokens", "m.verbatim")
 
