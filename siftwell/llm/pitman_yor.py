@@ -1,32 +1,43 @@
 """Language-model scores by a hierarchical Pitman-Yor model of words.
 
-A word's context is the two most recent frequent words before it in its text. Each pair (f1, f2) is a
-restaurant whose parent is that of f1 alone; those share the root, whose base is uniform over the V words of
-training and one unknown word. There are at most 127 frequent words, hence a bounded number of restaurants,
-so what holds a restaurant together (its customers and tables) is a small table that the driver passes on,
-while the dishes, of which there are as many as the corpus has words, are dealt out by word.
+A word's context is the two words before it in its text, whichever they are. Each pair (u2, u1) of them is a
+restaurant whose parent is that of u1 alone, the last one; those share the root, whose base is uniform over the V
+words of training and one unknown word. No context is left out.
+
+Triples (u2, u1, word) of all texts are dealt to stations by u1, so that the restaurants of u1 and of all (u2, u1)
+are whole in one station; a station has about `per_station` tokens. A word u1 with over half as many is dealt by
+(u2, u1), and a pair with over half as many by its words; there are at most a few such hot ones a station, and
+their customers and tables are added up and passed on by the driver. Words are dealt to roots, which hold the
+root's dishes and those of hot u1. A station asks each root, in an order fixed once, for the probabilities of its
+words, and tells it how many tables it has of each.
 
 Gibbs sampling reseats, in each sweep, all customers of a dish one after another (in groups of half of those
 seated once 256 are, drawn by the normal limit of a binomial), bottom up, the tables of each level being the customers of the next; the totals of the other
 dishes are those of the sweep before. Predictive probabilities are averaged over the sweeps kept. Draws are
-functions of word, context and sweep alone, so a lost task's redraw gives the same seating.
+functions of word, context and sweep alone, so a lost task's redraw, or another dealing, gives the same seating.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary_list, discard, free_shuffles, hash_runs, keyed, mix, pieces, text_bytes, words, written
+from .common import LOWER, discard, free_shuffles, give_back, hash_runs, keyed, mix, pieces, shared_dir, text_bytes, words, written
 
-END = np.uint64(0xE1D0E1D0E1D0E1D1)
-FREQUENT, SALTS = 127, 32
-_ENTRY = "h long, salt int, kind int, block long, payload binary"
+END, START = np.uint64(0xE1D0E1D0E1D0E1D1), np.uint64(0x57A2757A2757A273)
+PER_STATION, CODED = 1_200_000, 2**18
+#: What a row is: texts' part of a station, a station, its tokens' places, a block's ids, a station's first question to a
+#: root, its later ones, its tables, sums for the driver, a root, a root's answer.
+PART, STATION, PLACES, INFO, ASK, TELL, TABLES, SUMS, ROOT, ANSWER = range(10)
+_ROW = "s int, r long, payload binary, kind int"
+_ONE3, _TWO3, _ONE2, _TWO2, _ONE1, _TWO1, _V, _N, _C0, _T0 = range(10)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,44 +49,105 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, np.cumsum(counts), END), counts + 1
 
 
-def contexts(h: np.ndarray, counts: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """For each token f1 << 8 | f2, the latest and second latest frequent words before it in its text, from 1; 0: none.
-
-    frequent: sorted hashes; a word's number is its place there, from 1.
-    """
-    if not len(frequent):
-        return np.zeros(len(h), dtype=np.uint16)
-    place = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-    where = np.flatnonzero(frequent[place] == h)
-    if not len(where):
-        return np.zeros(len(h), dtype=np.uint16)
-    name = (place[where] + 1).astype(np.uint16)
-    start = np.repeat(np.cumsum(counts) - counts, counts)
-    last = np.searchsorted(where, np.arange(len(h))) - 1
-    one = np.where((last >= 0) & (where[np.maximum(last, 0)] >= start), name[np.maximum(last, 0)], 0)
-    two = np.where((last >= 1) & (where[np.maximum(last - 1, 0)] >= start), name[np.maximum(last - 1, 0)], 0)
-    return (one.astype(np.uint16) << np.uint16(8)) | two.astype(np.uint16)
+def contexts(h: np.ndarray, counts: np.ndarray, start: int | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the word before it in its text and the one before that; `start` where there is none."""
+    first = np.cumsum(counts) - counts
+    one, two = np.empty_like(h), np.empty_like(h)
+    one[1:] = h[:-1]
+    one[first] = start
+    two[1:] = one[:-1]
+    two[first] = start
+    return one, two
 
 
 @dataclass
 class Totals:
-    """Customers and tables of all restaurants, and the hyperparameters of the three levels."""
+    """Customers and tables of the root and of hot restaurants, the hyperparameters of the three levels, the dealing."""
 
-    frequent: np.ndarray
+    hot: np.ndarray  # hashes of hot words, ascending
     v: int
     n: int
-    discount: tuple[float, float, float] = (0.7, 0.7, 0.7)  # root, f1, (f1, f2)
+    discount: tuple[float, float, float] = (0.7, 0.7, 0.7)  # root, u1, (u2, u1)
     strength: tuple[float, float, float] = (1.0, 1.0, 1.0)
-    customers: list[np.ndarray] = field(default_factory=list)  # by level: [1], [256], [65536]
+    customers: list[np.ndarray] = field(default_factory=list)  # by level: [1], hot words, hot pairs
     tables: list[np.ndarray] = field(default_factory=list)
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of hot pairs, ascending
+    stations: int = 1
+    roots: int = 1
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0, of hashes (unsigned) or of doubles, by planes of their bytes, compressed."""
+    head, data = [len(arrays)], []
+    for a in arrays:
+        if a.dtype.kind == "f":
+            kind, width, a = 1, 8, a.astype("<f8")
+        elif a.dtype == np.uint64:  # hashes, mostly ascending: their differences have fewer bytes
+            kind, width, a = 2, 8, np.diff(a, prepend=np.uint64(0))
+        else:
+            width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+            kind, a = 0, a.astype("<u4" if width <= 4 else "<u8")
+        head += [kind, width, len(a)]
+        data.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T[:width].tobytes())
+    flat = b"".join(data)
+    return np.array([len(flat), *head], dtype="<i8").tobytes() + pa.compress(flat, codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes) -> list[np.ndarray]:
+    size, n = np.frombuffer(raw, "<i8", 2).tolist()
+    head = np.frombuffer(raw, "<i8", 3 * n, 16).reshape(n, 3).tolist()
+    flat = np.frombuffer(pa.decompress(raw[16 + 24 * n :], decompressed_size=size, codec="zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+    out, at = [], 0
+    for kind, width, count in head:
+        planes = np.zeros((count, 8), np.uint8)
+        planes[:, :width] = flat[at : at + width * count].reshape(width, count).T
+        at += width * count
+        values = planes.view(("<i8", "<f8", "<u8")[kind]).reshape(count)
+        out.append(np.cumsum(values, dtype=np.uint64) if kind == 2 else values)
+    return out
+
+
+def _rows(rows: list[tuple[int, int, bytes, int]]) -> pa.Table:
+    s, r, payload, kind = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.table({"s": pa.array(s, pa.int32()), "r": pa.array(r, pa.int64()), "payload": pa.array(payload, pa.binary()), "kind": pa.array(kind, pa.int32())})
+
+
+def _by_kind(table: pa.Table) -> dict[int, list[tuple[int, int, bytes]]]:
+    """A group's rows by kind, each kind's in the order of (r, s)."""
+    found: dict[int, list[tuple[int, int, bytes]]] = {}
+    for s, r, payload, kind in sorted(zip(*(table.column(x).to_pylist() for x in ("s", "r", "payload", "kind")), strict=True), key=lambda x: (x[3], x[1], x[0])):
+        found.setdefault(kind, []).append((s, r, payload))
+    return found
+
+
+def _grouped(df: DataFrame, key: str, run: Callable[[dict[int, list[tuple[int, int, bytes]]]], list[tuple[int, int, bytes, int]]]) -> DataFrame:
+    def task(table: pa.Table) -> pa.Table:
+        found = _rows(run(_by_kind(table)))
+        give_back()
+        return found
+
+    return df.groupBy(key).applyInArrow(task, _ROW)
+
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """written(), in a folder for each kind, so that one kind is read without the others."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.option("compression", "none").partitionBy("kind").parquet(path)
+    return df.sparkSession.read.schema(_ROW).parquet(path), path
 
 
-def _salted(h: np.ndarray, frequent: np.ndarray, salt: int) -> np.ndarray:
-    hot = np.isin(h, frequent) | (h == END)
-    return np.where(hot, salt % SALTS, 0).astype(np.int32)
+def _freed(spark: SparkSession) -> None:
+    """free_shuffles() until the job that has just ended is let go: its plan is still held for a moment."""
+    for _ in range(2):
+        free_shuffles(spark)
+        time.sleep(0.3)
 
 
-def _blocks(batch: pa.RecordBatch, size: int = 12_000_000, docs: int = 65_000) -> Iterator[pa.RecordBatch]:
+def _of(df: DataFrame, kind: int) -> DataFrame:
+    return df.where(F.col("kind") == kind)
+
+
+def _blocks(batch: pa.RecordBatch, size: int = 16_000_000, docs: int = 65_000) -> Iterator[pa.RecordBatch]:
     for part in pieces(batch, "text", size):
         for lo in range(0, part.num_rows, docs):
             yield part.slice(lo, docs)
@@ -86,81 +158,275 @@ def _tokens_of(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
 
 
-def frequent_words(rows: DataFrame) -> np.ndarray:
-    """Sorted hashes of the FREQUENT most frequent words of all texts; ties go to the least hash."""
+def _among(h: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The place of each hash in ascending names, from 1; 0: not there."""
+    if not len(names):
+        return np.zeros(len(h), dtype=np.int64)
+    i = np.minimum(np.searchsorted(names, h), len(names) - 1)
+    return np.where(names[i] == h, i + 1, 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in _blocks(batch):
-                h, n = np.unique(_tokens_of(block)[0], return_counts=True)
-                keep = h != END
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
 
-    top = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    return np.sort(np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64))
+def _pair(u1: np.ndarray, u2: np.ndarray) -> np.ndarray:
+    return mix(mix(u1) + u2)
+
 
+def dealing(rows: DataFrame, per_station: int) -> tuple[Totals, np.ndarray]:
+    """How many stations and roots there are, and which words and pairs are hot; hashes of at most CODED frequent
+    words, ascending, which move as a short number. Results don't depend on any of it.
 
-def count_dishes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(h, contexts, counts): for each word of the texts its contexts, ascending, and how often each."""
+    A block tells the words and pairs that it has often enough; one that is rarer everywhere is neither.
+    """
+    hot = max(1, per_station // 2)
+    least = max(1, min(64, hot // 64))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _blocks(batch):
                 h, counts = _tokens_of(block)
-                context = contexts(h, counts, frequent)
+                distinct, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+                distinct, n = np.append(distinct, START), np.append(n, 2 * len(counts))
+                one, two = contexts(inverse, counts, len(distinct) - 1)
+                keep = (n >= least) & (distinct != END)
+                often = np.flatnonzero(keep[one] & keep[two])
+                pair, m = np.unique(one[often] * len(distinct) + two[often], return_counts=True)
+                pair, m = pair[m >= least], m[m >= least]
+                pair = _pair(distinct[pair // len(distinct)], distinct[pair % len(distinct)])
+                keep = (n >= min(2, least)) & (distinct != END)
+                kind = np.repeat([0, 1, 2], [1, int(keep.sum()), len(pair)])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([np.zeros(1, np.uint64), distinct[keep], pair]).view(np.int64)), pa.array(np.concatenate([[len(h)], n[keep], m]))], names=["kind", "h", "n"])
+
+    found, path = written(rows.select("text").mapInArrow(run, "kind long, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "dealing")
+    n = found.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    names = lambda rows: np.sort(rows.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    frequent = names(found.where("kind = 1").orderBy(F.desc("n"), "h").limit(CODED))
+    often = found.where(F.col("n") > hot)
+    stations = max(1, -(-n // per_station))
+    z = Totals(names(often.where("kind = 1")), 0, 0, pairs=names(often.where("kind = 2")), stations=stations, roots=-(-stations // 2))
+    discard(rows.sparkSession, path)
+    return replace(z, customers=[np.zeros(1), np.zeros(len(z.hot)), np.zeros(len(z.pairs))], tables=[np.zeros(1), np.zeros(len(z.hot)), np.zeros(len(z.pairs))]), frequent
+
+
+def _deal(rows: DataFrame, z: Totals, frequent: Broadcast) -> DataFrame:
+    """Each block's tokens, a row for each station: words' numbers among the frequent ones, the others' hashes, then by
+    token its u1, word, u2, text, training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in _blocks(batch):
+                h, counts = _tokens_of(block)
+                ords, training = block.column(0).to_numpy(), block.column(2).to_numpy(zero_copy_only=False)
+                k = int(ords[0])
                 distinct, word = np.unique(h, return_inverse=True)
-                key, n = np.unique(word << 16 | context, return_counts=True)
-                extra = n // 65_536  # a count that two bytes don't hold goes in several entries
-                key = np.repeat(key, extra + 1)
-                n = np.concatenate([np.append(np.full(e, 65_535), x - e * 65_535) for x, e in zip(n.tolist(), extra.tolist(), strict=True)]) if extra.any() else n
-                entry = ((key & 0xFFFF) << 16 | n).astype(np.uint32)
-                size = np.bincount(key >> 16, minlength=len(distinct))
-                salt = _salted(distinct, frequent, int(mix(np.array([block.column(0)[0].as_py()], dtype=np.int64).view(np.uint64))[0] % np.uint64(SALTS)))
-                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(salt), binary_list(entry, size)], names=["h", "salt", "payload"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+                distinct = np.append(distinct, START)
+                code = _among(distinct, frequent.value)
+                coded, order = int(np.count_nonzero(code)), np.argsort(np.where(code, code, CODED + 1), kind="stable")  # coded ones first
+                distinct, code = distinct[order], code[order[:coded]] - 1
+                new = np.empty(len(order), dtype=np.int32)
+                new[order] = np.arange(len(order), dtype=np.int32)
+                word = new[word]
+                one, two = contexts(word, counts, new[-1])
+                place = mix(distinct)[one]
+                split = np.flatnonzero((_among(distinct, z.hot) > 0)[one])
+                if len(split):
+                    place[split] = _pair(distinct[one[split]], distinct[two[split]])
+                    hot = split[_among(place[split], z.pairs) > 0]
+                    place[hot] = mix(place[hot] + h[hot])
+                place = (place % np.uint64(z.stations)).astype(np.uint16 if z.stations < 65_536 else np.int64)
+                order = np.argsort(place, kind="stable")
+                size = np.bincount(place, minlength=z.stations)
+                text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+                out, hi = [(k % z.stations, k, _pack(ords.view(np.uint64), counts), INFO)], np.cumsum(size)
+                for s in np.flatnonzero(size).tolist():
+                    at = order[hi[s] - size[s] : hi[s]]
+                    used, triple = np.unique(np.concatenate([one[at], word[at], two[at]]), return_inverse=True)
+                    few = int(np.searchsorted(used, coded))
+                    out.append((s, k, _pack(np.diff(code[used[:few]], prepend=0), distinct[used[few:]], *triple.reshape(3, -1), np.diff(text[at], prepend=0), training[text[at]].astype(np.uint8)), PART))
+                    if len(out) == 64:
+                        yield from _rows(out).combine_chunks().to_batches()
+                        out = []
+                yield from _rows(out).combine_chunks().to_batches()
+        give_back()
+
+    return rows.select("ord", "text", "training").mapInArrow(run, _ROW)
+
+
+class Station:
+    """The restaurants of a station: words, pairs (u1, word), restaurants (u2, u1) and triples, ascending by
+    (u1, u2, word), and which probabilities it asks for: of cold u1 its words' in the root, of hot ones its pairs'."""
+
+    def __init__(self, payload: bytes, z: Totals):
+        words_, pair_size, self.pair_w, rest_size, self.rest_u2, size, local, count = _unpack(payload)
+        self.words = words_.astype(np.uint64)
+        d = len(self.words)
+        self.pair_u1, self.rest_u1 = np.repeat(np.arange(d), pair_size), np.repeat(np.arange(d), rest_size)
+        self.rest = np.repeat(np.arange(len(size)), size)
+        self.pair = local + (np.cumsum(pair_size) - pair_size)[self.rest_u1[self.rest]]
+        self.count = count.astype(np.float64)
+        hot = _among(self.words, z.hot)
+        self.hot = hot[self.pair_u1]
+        self.cold = self.hot == 0
+        used = np.zeros(d, dtype=bool)
+        used[self.pair_w[self.cold]] = True
+        plain, n = np.flatnonzero(used), int(used.sum())
+        self.asked = np.zeros(len(self.pair_w), dtype=np.int64)
+        self.asked[self.cold] = (np.cumsum(used) - 1)[self.pair_w[self.cold]]
+        self.asked[~self.cold] = n + np.arange(int((~self.cold).sum()))
+        self.key = np.concatenate([self.words[plain], self.words[self.pair_w[~self.cold]]])
+        self.key_hot = np.concatenate([np.zeros(n, dtype=np.int64), self.hot[~self.cold]])
+        root = (mix(self.key ^ START) % np.uint64(z.roots)).astype(np.int64)
+        self.order = np.argsort(root, kind="stable")
+        self.size = np.bincount(root, minlength=z.roots)
+        self.hot_rest = np.zeros(len(size), dtype=np.int64)
+        split = np.flatnonzero(hot[self.rest_u1])
+        self.hot_rest[split] = _among(_pair(self.words[self.rest_u1[split]], self.words[self.rest_u2[split]]), z.pairs)
+
+    def tell(self, s: int, kind: int, *values: np.ndarray) -> list[tuple[int, int, bytes, int]]:
+        """A row for each root with values of what is asked of it."""
+        hi = np.cumsum(self.size)
+        return [(s, r, _pack(*(v[self.order[hi[r] - self.size[r] : hi[r]]] for v in values)), kind) for r in np.flatnonzero(self.size).tolist()]
+
+    def heard(self, answers: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+        """What roots answered (a row each, ascending), by what was asked."""
+        out = []
+        for values in zip(*(_unpack(x[2]) for x in answers), strict=True):
+            flat = np.concatenate(values)
+            out.append(np.empty_like(flat))
+            out[-1][self.order] = flat
+        return out
+
+    def up(self, pairs: np.ndarray) -> np.ndarray:
+        return np.bincount(self.asked, weights=pairs, minlength=len(self.key))
+
+    def by_pair(self, triples: np.ndarray) -> np.ndarray:
+        return np.bincount(self.pair, weights=triples, minlength=len(self.pair_w))
+
+    def filled(self, z: Totals, t1: np.ndarray, t2: np.ndarray) -> Totals:
+        """z with this station's totals: by u1, whole where it is cold, and by (u2, u1)."""
+        d, m = len(self.words), len(self.hot_rest)
+        whole = np.flatnonzero(self.hot_rest)
+        c2, k2 = np.bincount(self.rest, weights=self.count, minlength=m), np.bincount(self.rest, weights=t2, minlength=m)
+        c2[whole], k2[whole] = z.customers[2][self.hot_rest[whole] - 1], z.tables[2][self.hot_rest[whole] - 1]
+        by_u1 = lambda x: np.bincount(self.pair_u1, weights=x, minlength=d)
+        return replace(z, customers=[z.customers[0], by_u1(self.by_pair(t2)), c2], tables=[z.tables[0], by_u1(t1), k2])
+
+    def parents(self, p: np.ndarray, t1: np.ndarray, t2: np.ndarray, own: Totals) -> np.ndarray:
+        """Each pair's probability in the restaurant of its u1."""
+        return np.where(self.cold, _chance(1, self.by_pair(t2), t1, self.pair_u1, p[self.asked], own), p[self.asked])
+
+    def hot_sums(self, which: int, triples: np.ndarray, z: Totals) -> tuple[np.ndarray, np.ndarray]:
+        x = np.bincount(self.hot_rest[self.rest], weights=triples, minlength=len(z.pairs) + 1)[1:]
+        used = np.flatnonzero(x)
+        return 16 + 2 * len(z.hot) + 2 * used + which, x[used]
+
+
+def _sums(at: np.ndarray, x: np.ndarray, s: int, r: int) -> tuple[int, int, bytes, int]:
+    return s, r, _pack(at, x.astype(np.float64)), SUMS
+
+
+def _build(z: Totals, frequent: Broadcast) -> Callable:
+    def run(got: dict[int, list]) -> list[tuple[int, int, bytes, int]]:
+        out = [(*x, INFO) for x in got.get(INFO, [])]
+        if PART not in got:
+            return out
+        parts, s = [], got[PART][0][0]
+        for x in got[PART]:
+            code, rest, *others = _unpack(x[2])
+            parts.append([np.concatenate([frequent.value[np.cumsum(code)], rest]), *others])
+        names, inverse = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        first = np.cumsum([0, *(len(x[0]) for x in parts)])
+        one, word, two = (np.concatenate([inverse[x[i] + lo] for x, lo in zip(parts, first.tolist(), strict=False)]) for i in (1, 2, 3))
+        d = len(names)
+        pair, of_pair = np.unique(one * d + word, return_inverse=True)
+        rest, of_rest = np.unique(one * d + two, return_inverse=True)
+        triple, token = np.unique(of_rest * len(pair) + of_pair, return_inverse=True)
+        count = np.bincount(token, weights=np.concatenate([x[5] for x in parts])).astype(np.int64)
+        pair_size, rest_size = np.bincount(pair // d, minlength=d), np.bincount(rest // d, minlength=d)
+        own = triple // len(pair)
+        local = triple % len(pair) - (np.cumsum(pair_size) - pair_size)[rest[own] // d]
+        told = _among(names, z.hot)[rest // d] > 0  # u2 is asked for by draws and by hot pairs alone
+        told[own[count > 1]] = True
+        payload = _pack(names, pair_size, pair % d, rest_size, np.where(told, rest % d, 0), np.bincount(own), local, count)
+        # blocks' numbers can be any longs
+        blocks = np.array([x[1] for x in got[PART]], dtype=np.int64).view(np.uint64)
+        out += [(s, 0, payload, STATION), (s, 0, _pack(blocks, np.array([len(x[4]) for x in parts]), np.concatenate([x[4] for x in parts]), token), PLACES)]
+        return out
+
+    return run
+
+
+def _asked(built: DataFrame, z: Totals) -> DataFrame:
+    """What each station asks each root for, with how often in training and in how many ways; sums of counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = _flat(batch, held)
-            h, _, _ = part
-            last = int(np.searchsorted(h, h[-1])) if len(h) else 0
-            yield _dishes(*(x[:last] for x in part))
-            held = tuple(x[last:] for x in part)
-        if held is not None:
-            yield _dishes(*held)
-
-    def _flat(batch: pa.RecordBatch, held: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        payload = batch.column(batch.num_columns - 1)
-        raw, at = text_bytes(payload)
-        entry = raw.view(np.uint32)
-        h = np.repeat(batch.column(0).to_numpy(), np.diff(at) // 4)
-        context, n = (entry >> 16).astype(np.int64), (entry & 0xFFFF).astype(np.int64)
-        if held is not None:
-            h, context, n = (np.concatenate([a, b]) for a, b in zip(held, (h, context, n), strict=True))
-        order = np.lexsort((context, h))
-        h, context, n = h[order], context[order], n[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (context[1:] != context[:-1])) if len(h) else np.zeros(0, dtype=bool)
-        return h[new], context[new], np.add.reduceat(n, np.flatnonzero(new)) if len(h) else n
-
-    def _dishes(h: np.ndarray, context: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
-        size = np.diff(np.append(first, len(h)))
-        return pa.RecordBatch.from_arrays([pa.array(h[first]), binary_list(context.astype(np.uint16), size), binary_list(n.astype(np.uint64), size)], names=["h", "contexts", "counts"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The few frequent words' salted parts, brought together."""
-        got = [r for b in batches for r in b.to_pylist()]
-        for h in sorted({r["h"] for r in got}):
-            own = [r for r in got if r["h"] == h]
-            context = np.concatenate([np.frombuffer(r["contexts"], np.uint16) for r in own])
-            n = np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in own])
-            distinct, at = np.unique(context, return_inverse=True)
-            yield _dishes(np.full(len(distinct), h), distinct.astype(np.int64), np.bincount(at, weights=n).astype(np.int64))
-
-    schema = "h long, contexts binary, counts binary"
-    found, path = written(rows.select("ord", "text").mapInArrow(emit, "h long, salt int, payload binary").repartition("h", "salt").sortWithinPartitions("h").mapInArrow(merge, schema), "dish-parts")
-    hot = F.col("h").isin([*frequent.view(np.int64).tolist(), int(END.view(np.int64))])
-    return found.where(~hot).unionAll(found.where(hot).repartition("h").mapInArrow(join, schema))
+            for s, payload in zip(batch.column("s").to_pylist(), batch.column("payload"), strict=True):
+                x = Station(payload.as_py(), z)
+                kinds = x.by_pair(x.count > 0)
+                seen = np.where(x.cold, kinds > 0, kinds)
+                out = x.tell(s, ASK, x.key, x.key_hot, x.up(x.by_pair(x.count)).astype(np.int64), x.up(seen).astype(np.int64))
+                at, hot = x.hot_sums(0, x.count, z)
+                once = [np.count_nonzero(y == n) for y in (x.count, kinds[x.cold]) for n in (1, 2)]
+                out.append(_sums(np.append([_ONE3, _TWO3, _ONE2, _TWO2], at), np.append(once, hot), s, -1))
+                yield from _rows(out).combine_chunks().to_batches()
+        give_back()
+
+    return _of(built, STATION).mapInArrow(run, _ROW)
+
+
+@dataclass
+class Root:
+    """Words of a root; its dishes (word, hot u1 or 0); which dish each question of each station is about; how often
+    a word is in training; customers and tables of words in the root and of dishes in their hot restaurants."""
+
+    words: np.ndarray
+    word: np.ndarray
+    hot: np.ndarray
+    stations: np.ndarray
+    size: np.ndarray
+    about: np.ndarray
+    count: np.ndarray
+    c0: np.ndarray
+    t0: np.ndarray
+    c1: np.ndarray
+    t1: np.ndarray
+
+    def packed(self) -> bytes:
+        return _pack(*(x if i < 7 else x.astype(np.int64) for i, x in enumerate(vars(self).values())))
+
+    @staticmethod
+    def of(payload: bytes) -> Root:
+        x = _unpack(payload)
+        return Root(x[0].astype(np.uint64), *x[1:7], *(y.astype(np.float64) for y in x[7:]))
+
+    def chances(self, z: Totals) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of words in the root, and of dishes where they are asked for."""
+        p0 = _chance(0, self.c0, self.t0, np.zeros(len(self.words), dtype=np.int64), np.full(len(self.words), 1 / (z.v + 1)), z)
+        p, hot = p0[self.word], np.flatnonzero(self.hot)
+        p[hot] = _chance(1, self.c1[hot], self.t1[hot], self.hot[hot] - 1, p[hot], z)
+        return p0, p
+
+
+def _root(z: Totals) -> Callable:
+    def run(got: dict[int, list]) -> list[tuple[int, int, bytes, int]]:
+        if ASK not in got:  # the stations' sums
+            return [(*x, SUMS) for x in got[SUMS]]
+        asks = [_unpack(x[2]) for x in got[ASK]]
+        r = got[ASK][0][1]
+        h, hot, count, kinds = (np.concatenate(x) for x in zip(*asks, strict=True))
+        names, word = np.unique(h.astype(np.uint64), return_inverse=True)
+        wide = len(z.hot) + 1
+        dish, about = np.unique(word * wide + hot, return_inverse=True)
+        zero = np.zeros
+        own = dish // wide
+        n = np.bincount(word, weights=count, minlength=len(names)).astype(np.int64)
+        x = Root(names, own, dish % wide, np.array([s for s, _, _ in got[ASK]]), np.array([len(a[0]) for a in asks]), about, n, zero(len(names)), zero(len(names)), zero(len(dish)), zero(len(dish)))
+        kinds = np.bincount(about, weights=kinds, minlength=len(dish))
+        of_hot = kinds[x.hot > 0]
+        by_word = np.bincount(own, weights=np.where(x.hot > 0, kinds > 0, kinds), minlength=len(names))
+        sums = [np.count_nonzero(of_hot == 1), np.count_nonzero(of_hot == 2), np.count_nonzero(by_word == 1), np.count_nonzero(by_word == 2), np.count_nonzero(n), n.sum()]
+        return [(0, r, x.packed(), ROOT), _sums(np.array([_ONE2, _TWO2, _ONE1, _TWO1, _V, _N]), np.array(sums), 0, r)]
+
+    return run
 
 
 def _binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -207,308 +473,214 @@ def seat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount
     return tables
 
 
-def _levels(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """A batch of dishes by level: each dish, its (dish, f1) and its (dish, context) rows."""
-    raw, at = text_bytes(batch.column(1))
-    context = raw.view(np.uint16).astype(np.int64)
-    dish = np.repeat(np.arange(batch.num_rows), np.diff(at) // 2)
-    counts = text_bytes(batch.column(2))[0].view(np.uint64).astype(np.float64)
-    key = dish << 8 | context >> 8
-    new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, dtype=bool)
-    return {"h": batch.column(0).to_numpy().view(np.uint64), "dish": dish, "context": context, "counts": counts, "mid": np.cumsum(new) - 1, "mid_dish": dish[new], "f1": context[new] >> 8}
-
-
-def _split(tables: pa.Array, x: dict[str, np.ndarray], samples: int) -> list[list[np.ndarray]]:
-    """Tables of each kept sample at each level; a dish's payload is, for each sample, its (f1, f2), f1 and root tables."""
-    n = len(x["h"])
-    raw, _ = text_bytes(tables)
-    flat = raw.view(np.uint32).astype(np.float64)
-    low, mid = np.bincount(x["dish"], minlength=n), np.bincount(x["mid_dish"], minlength=n)
-    size = low + mid + 1
-    first = np.cumsum(size * samples) - size * samples
-    into = lambda rows, per: np.arange(len(rows)) - np.repeat(np.cumsum(per) - per, per)
-    out = []
-    for s in range(samples):
-        base = first + s * size
-        out.append([flat[base + low + mid], flat[(base + low)[x["mid_dish"]] + into(x["mid_dish"], mid)], flat[base[x["dish"]] + into(x["dish"], low)]])
-    return out
-
-
-def _joined(x: dict[str, np.ndarray], samples: list[list[np.ndarray]]) -> pa.Array:
-    n = len(x["h"])
-    low, mid = np.bincount(x["dish"], minlength=n), np.bincount(x["mid_dish"], minlength=n)
-    size = low + mid + 1
-    flat = np.zeros(int(size.sum()) * len(samples), dtype=np.uint32)
-    first = np.cumsum(size * len(samples)) - size * len(samples)
-    into = lambda rows, per: np.arange(len(rows)) - np.repeat(np.cumsum(per) - per, per)
-    for s, (t0, t1, t2) in enumerate(samples):
-        base = first + s * size
-        flat[base + low + mid] = t0
-        flat[(base + low)[x["mid_dish"]] + into(x["mid_dish"], mid)] = t1
-        flat[base[x["dish"]] + into(x["dish"], low)] = t2
-    return binary_list(flat, size * len(samples))
-
-
 def _chance(level: int, c: np.ndarray, t: np.ndarray, restaurant: np.ndarray, parent: np.ndarray, z: Totals) -> np.ndarray:
     d, a = z.discount[level], z.strength[level]
+    if not len(z.tables[level]):
+        return parent
     return (np.maximum(c - d * t, 0) + (a + d * z.tables[level][restaurant]) * parent) / (a + z.customers[level][restaurant])
 
 
-def sweep(dishes: DataFrame, z: Totals, number: int, kept: int, keep: bool) -> DataFrame:
-    """One Gibbs sweep over (h, contexts, counts, tables): `kept` samples stand in tables, the last being the state.
+def _draws(words_: np.ndarray, number: int) -> np.ndarray:
+    return mix(words_ ^ mix(np.array([number], dtype=np.uint64)))
 
-    The new state replaces the last sample, or is added to it if keep.
-    """
+
+def _draws_of_pairs(key: np.ndarray, u1: np.ndarray) -> np.ndarray:
+    return mix(key + mix(u1) + np.uint64(1 << 32))
+
+
+def _answers(roots: DataFrame, z: Totals, kind: int = ANSWER) -> DataFrame:
+    """For each question of each station its dish's probability, and how often its word is in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zero = np.zeros
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _levels(batch)
-            n, m = len(x["h"]), len(x["f1"])
-            before = _split(batch.column(3), x, kept) if kept else []
-            t0, t1, t2 = before[-1] if before else (zero(n), zero(m), zero(len(x["dish"])))
-            key = mix(x["h"] ^ mix(np.array([number], dtype=np.uint64)))
-            uniform, root = np.full(n, 1 / (z.v + 1)), zero(n, dtype=np.int64)
-            if before:
-                p0 = _chance(0, np.bincount(x["mid_dish"], weights=t1, minlength=n), t0, root, uniform, z)
-                p1 = _chance(1, np.bincount(x["mid"], weights=t2, minlength=m), t1, x["f1"], p0[x["mid_dish"]], z)
-            else:
-                p1 = uniform[x["mid_dish"]]
-            u2 = seat(x["counts"], np.maximum(z.tables[2][x["context"]] - t2, 0), p1[x["mid"]], z.discount[2], z.strength[2], mix(key[x["dish"]] + x["context"].astype(np.uint64)))
-            c1 = np.bincount(x["mid"], weights=u2, minlength=m)
-            p0 = _chance(0, np.bincount(x["mid_dish"], weights=t1, minlength=n), t0, root, uniform, z) if before else uniform
-            u1 = seat(c1, np.maximum(z.tables[1][x["f1"]] - t1, 0), p0[x["mid_dish"]], z.discount[1], z.strength[1], mix(key[x["mid_dish"]] + x["f1"].astype(np.uint64) + np.uint64(1 << 32)))
-            c0 = np.bincount(x["mid_dish"], weights=u1, minlength=n)
-            u0 = seat(c0, np.maximum(z.tables[0][root] - t0, 0), uniform, z.discount[0], z.strength[0], mix(key + np.uint64(1 << 33)))
-            state = [u0, u1, u2]
-            tables = _joined(x, [*before, state] if keep else [*before[:-1], state])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], tables], names=["h", "contexts", "counts", "tables"])
-
-    return dishes.mapInArrow(run, "h long, contexts binary, counts binary, tables binary")
-
-
-def totals(dishes: DataFrame, kept: int, z: Totals | None, frequent: np.ndarray) -> list[Totals]:
-    """Customers and tables of every restaurant, for each kept sample (or for none: customers of (f1, f2) alone).
-
-    Each task sends one row of a fixed size; rows are summed by slices before the driver adds 66 thousand numbers.
-    """
-    width = 1 + 256 + 65_536
-    length = (2 * width * max(kept, 1)) + 6
+            for r, payload in zip(batch.column("r").to_pylist(), batch.column("payload"), strict=True):
+                x = Root.of(payload.as_py())
+                _, p = x.chances(z)
+                hi = np.cumsum(x.size)
+                out = []
+                for s, n, end in zip(x.stations.tolist(), x.size.tolist(), hi.tolist(), strict=True):
+                    about = x.about[end - n : end]
+                    out.append((s, r, _pack(p[about], x.count[x.word[about]]) if kind != ANSWER else _pack(p[about]), kind))
+                yield from _rows(out).combine_chunks().to_batches(max_chunksize=256)
+        give_back()
+
+    return _of(roots, ROOT).mapInArrow(run, _ROW)
+
+
+def _swept(z: Totals, number: int) -> Callable:
+    """A station's part of a sweep: triples are reseated, then the pairs of cold u1."""
+
+    def run(got: dict[int, list]) -> list[tuple[int, int, bytes, int]]:
+        if STATION not in got:
+            return []
+        s, _, payload = got[STATION][0]
+        x = Station(payload, z)
+        if TABLES in got:
+            t1, t2 = (y.astype(np.float64) for y in _unpack(got[TABLES][0][2]))
+        else:
+            t1, t2 = np.zeros(len(x.pair_w)), np.zeros(len(x.pair))
+        (p,) = x.heard(got[ANSWER])
+        own = x.filled(z, t1, t2)
+        key = _draws(x.words, number)
+        context = _pair(x.words[x.rest_u1], x.words[x.rest_u2])
+        several = np.flatnonzero(x.count > 1)  # a single customer has a table of its own
+        pair, rest = x.pair[several], x.rest[several]
+        new2 = np.minimum(x.count, 1)
+        new2[several] = seat(x.count[several], np.maximum(own.tables[2][rest] - t2[several], 0), x.parents(p, t1, t2, own)[pair], z.discount[2], z.strength[2], mix(key[x.pair_w[pair]] + context[rest]))
+        c1 = x.by_pair(new2)
+        new1 = np.where(x.cold, np.minimum(c1, 1), 0)
+        several = np.flatnonzero(x.cold & (c1 > 1))
+        u1 = x.pair_u1[several]
+        new1[several] = seat(c1[several], np.maximum(own.tables[1][u1] - t1[several], 0), p[x.asked[several]], z.discount[1], z.strength[1], _draws_of_pairs(key[x.pair_w[several]], x.words[u1]))
+        told = x.up(np.where(x.cold, new1, c1)).astype(np.int64)
+        return [(s, 0, _pack(new1.astype(np.int64), new2.astype(np.int64)), TABLES), *x.tell(s, TELL, told), _sums(*x.hot_sums(1, new2, z), s, 0)]
+
+    return run
+
+
+def _root_swept(z: Totals, number: int) -> Callable:
+    """A root's part of a sweep: the dishes of hot u1 are reseated, then its own."""
+
+    def run(got: dict[int, list]) -> list[tuple[int, int, bytes, int]]:
+        _, r, payload = got[ROOT][0]
+        x = Root.of(payload)
+        told = np.bincount(x.about, weights=np.concatenate([_unpack(y[2])[0] for y in got[TELL]]), minlength=len(x.word))
+        p0, _ = x.chances(z)
+        key = _draws(x.words, number)
+        hot = np.flatnonzero(x.hot)
+        c1, t1 = np.where(x.hot > 0, told, 0), np.zeros(len(told))
+        if len(hot):
+            t1[hot] = seat(c1[hot], np.maximum(z.tables[1][x.hot[hot] - 1] - x.t1[hot], 0), p0[x.word[hot]], z.discount[1], z.strength[1], _draws_of_pairs(key[x.word[hot]], z.hot[x.hot[hot] - 1]))
+        c0 = np.bincount(x.word, weights=np.where(x.hot > 0, t1, told), minlength=len(x.words))
+        t0 = seat(c0, np.maximum(z.tables[0][0] - x.t0, 0), np.full(len(c0), 1 / (z.v + 1)), z.discount[0], z.strength[0], mix(key + np.uint64(1 << 33)))
+        by_hot = lambda y: np.bincount(x.hot, weights=y, minlength=len(z.hot) + 1)[1:]
+        c, t = by_hot(c1), by_hot(t1)
+        used = np.flatnonzero(c)
+        at = np.concatenate([[_C0, _T0], 16 + 2 * used, 17 + 2 * used])
+        return [(0, r, replace(x, c0=c0, t0=t0, c1=c1, t1=t1).packed(), ROOT), _sums(at, np.concatenate([[c0.sum(), t0.sum()], c[used], t[used]]), 0, r)]
+
+    return run
+
+
+def _added_up(z: Totals, *tables: DataFrame) -> np.ndarray:
+    """Sums over all stations and roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(length)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _levels(batch)
-            word = np.bincount(x["dish"], weights=x["counts"])
-            samples = _split(batch.column(3), x, kept) if kept else [[np.zeros(len(x["h"])), np.zeros(len(x["f1"])), np.zeros(len(x["dish"]))]]
-            for s, (t0, t1, t2) in enumerate(samples):
-                o = out[s * 2 * width : (s + 1) * 2 * width]
-                o[0] += t1.sum()
-                o[1:257] += np.bincount(x["f1"], weights=np.bincount(x["mid"], weights=t2, minlength=len(x["f1"])), minlength=256)
-                o[257:width] += np.bincount(x["context"], weights=x["counts"], minlength=65_536)
-                o[width] += t0.sum()
-                o[width + 1 : width + 257] += np.bincount(x["f1"], weights=t1, minlength=256)
-                o[width + 257 :] += np.bincount(x["context"], weights=t2, minlength=65_536)
-            out[-6:] += [len(word), word.sum(), np.count_nonzero(word == 1), np.count_nonzero(word == 2), np.count_nonzero(x["counts"] == 1), np.count_nonzero(x["counts"] == 2)]
-        used = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[used])], names=["i", "x"])
-
-    out = np.zeros(length)
-    for r in dishes.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toLocalIterator():
-        out[r["i"]] = r["x"]
-    v, n, one, two, pair_one, pair_two = out[-6:]
-    if z is None:
-        low = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.1, 0.95))
-        z = Totals(frequent, int(v), int(n), (low(one, two), (low(one, two) + low(pair_one, pair_two)) / 2, low(pair_one, pair_two)))
-    found = []
-    for s in range(max(kept, 1)):
-        o = out[s * 2 * width : (s + 1) * 2 * width]
-        cut = lambda y: [y[:1].copy(), y[1:257].copy(), y[257:width].copy()]
-        found.append(Totals(z.frequent, z.v, z.n, z.discount, z.strength, cut(o[:width]), cut(o[width:])))
-    return found
+            for payload in batch.column("payload"):
+                at, x = _unpack(payload.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(x)], names=["i", "x"])
+
+    out = np.zeros(16 + 2 * len(z.hot) + 2 * len(z.pairs))
+    for table in tables:
+        for r in _of(table, SUMS).mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toLocalIterator():
+            out[r["i"]] += r["x"]
+    return out
+
+
+def _with_sums(z: Totals, x: np.ndarray, customers2: np.ndarray) -> Totals:
+    hot, pairs = x[16 : 16 + 2 * len(z.hot)].reshape(-1, 2), x[16 + 2 * len(z.hot) :].reshape(-1, 2)
+    return replace(z, customers=[x[_C0 : _C0 + 1], hot[:, 0], customers2], tables=[x[_T0 : _T0 + 1], hot[:, 1], pairs[:, 1]])
 
 
-def fit(rows: DataFrame, burn_in: int = 2, samples: int = 2) -> tuple[DataFrame, list[Totals], str]:
-    """The dishes with `samples` seatings after burn_in sweeps, each sample's totals, and the table's path."""
+def fit(rows: DataFrame, burn_in: int = 2, samples: int = 2, per_station: int = PER_STATION) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, Totals]], list[str]]:
+    """The stations of all texts, of each of the `samples` sweeps after burn_in its tables, roots and totals, and
+    the paths of all that. rows: ord, text, training."""
     spark = rows.sparkSession
-    frequent = frequent_words(rows)
-    found = count_dishes(rows, frequent).withColumn("tables", F.lit(b""))
-    now, path = written(found, "dishes")
-    free_shuffles(spark)
-    z, kept = totals(now, 0, None, frequent), 0
+    z, names = dealing(rows, per_station)
+    frequent = spark.sparkContext.broadcast(names)
+    built, path = _stored(_grouped(_deal(rows, z, frequent), "s", _build(z, frequent)), "stations")
+    _freed(spark)
+    roots, root_path = _stored(_grouped(_asked(built, z), "r", _root(z)), "roots")
+    _freed(spark)
+    x = _added_up(z, roots)
+    low = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
+    z = replace(z, v=int(x[_V]), n=int(x[_N]), discount=(low(x[_ONE1], x[_TWO1]), low(x[_ONE2], x[_TWO2]), low(x[_ONE3], x[_TWO3])))
+    customers2 = x[16 + 2 * len(z.hot) :].reshape(-1, 2)[:, 0]
+    z = replace(z, customers=[*z.customers[:2], customers2])
+    now, kept, paths, old = None, [], [path], [root_path]
     for i in range(burn_in + samples):
-        keep = not kept or i > burn_in
-        fresh, new_path = written(sweep(now, z[-1], i, kept, keep), "dishes")
-        discard(spark, path)
-        now, path, kept = fresh, new_path, kept + keep
-        z = totals(now, kept, z[-1], frequent)
-    return now, z, path
+        parts = _of(built, STATION).unionAll(_answers(roots, z))
+        now, now_path = _stored(_grouped(parts if now is None else parts.unionAll(_of(now, TABLES)), "s", _swept(z, i)), "tables")
+        _freed(spark)
+        roots, root_path = _stored(_grouped(_of(roots, ROOT).unionAll(_of(now, TELL)), "r", _root_swept(z, i)), "roots")
+        discard(spark, *old)
+        z = _with_sums(z, _added_up(z, now, roots), customers2)
+        _freed(spark)
+        if i >= burn_in:
+            kept.append((now, roots, z))
+            paths, old = [*paths, now_path, root_path], []
+        else:
+            old = [now_path, root_path]
+    return built, kept, paths
 
 
-def score(rows: DataFrame, dishes: DataFrame, z: list[Totals]) -> DataFrame:
+def score(built: DataFrame, kept: list[tuple[DataFrame, DataFrame, Totals]]) -> DataFrame:
     """(ord, n_tokens, n_known, base_score, score) of every text, by the average of the samples' predictions.
 
-    Texts stay where they are: tokens go, as (text, context) entries, to their word's dish, and each task of
-    words sends back a row for each block of texts (8 MB of them), with the sums of those it has met words of.
+    Each station sends a row for each block of texts (16 MB of them), with the sums of those it has tokens of.
     """
-    frequent, n_train, v, kept = z[0].frequent, z[0].n, z[0].v, len(z)
-    shared = rows.sparkSession.sparkContext.broadcast(z)
+    zs = [z for _, _, z in kept]
+    v, n_train = zs[0].v, zs[0].n
+
+    def sums(got: dict[int, list]) -> list[tuple[int, int, bytes, int]]:
+        if STATION not in got:
+            return []
+        s, _, payload = got[STATION][0]
+        x = Station(payload, zs[0])
+        p, count = np.zeros(len(x.pair)), None
+        for k, z in enumerate(zs):
+            t1, t2 = (y.astype(np.float64) for y in _unpack(got[TABLES + 100 * (k + 1)][0][2]))
+            chance, count = x.heard(got[ANSWER + 100 * (k + 1)])
+            own = x.filled(z, t1, t2)
+            p += _chance(2, x.count, t2, x.rest, x.parents(chance, t1, t2, own)[x.pair], own)
+        p = np.log10(p / len(zs))
+        base, known = np.log10((count + 1) / (n_train + v + 1))[x.asked], (count > 0)[x.asked]
+        blocks, size, text, token = _unpack(got[PLACES][0][2])
+        out, lo = [], 0
+        for block, n in zip(blocks.astype(np.uint64).view(np.int64).tolist(), size.tolist(), strict=True):
+            at = token[lo : lo + n]
+            texts, where = np.unique(np.cumsum(text[lo : lo + n]), return_inverse=True)
+            pair = x.pair[at]
+            add = lambda y: np.bincount(where, weights=y, minlength=len(texts))  # noqa: E731, B023
+            out.append((s, block, _pack(texts, add(known[pair]).astype(np.int64), add(base[pair]), add(p[at])), SUMS))
+            lo += n
+        return out
+
+    def add_up(table: pa.Table) -> pa.Table:
+        got = _by_kind(table)
+        ords, n = _unpack(got[INFO][0][2])
+        total = np.zeros((3, len(ords)))
+        for _, _, payload in got[SUMS]:
+            texts, *values = _unpack(payload)
+            total[:, texts] += values
+        return pa.table({"ord": ords.astype(np.uint64).view(np.int64), "n_tokens": n, "n_known": total[0].astype(np.int64), "base_score": total[1], "score": total[2]})
+
+    parts = _of(built, STATION).unionAll(_of(built, PLACES))
+    for k, (tables, roots, z) in enumerate(kept):
+        parts = parts.unionAll(_of(tables, TABLES).withColumn("kind", F.lit(TABLES + 100 * (k + 1)))).unionAll(_answers(roots, z, ANSWER + 100 * (k + 1)))
+    found, paths = _of(built, INFO), []
+    for half in (0, 1):  # a half of the stations at a time takes half as much disk
+        some, path = _stored(_grouped(parts.where(F.col("s") % 2 == half), "s", sums), "sums")
+        _freed(built.sparkSession)
+        found, paths = found.unionAll(_of(some, SUMS)), [*paths, path]
+    found, path = written(found.groupBy("r").applyInArrow(add_up, "ord long, n_tokens long, n_known long, base_score double, score double"), "scores")
+    discard(built.sparkSession, *paths)
+    return found
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in _blocks(batch, 8_000_000):
-                h, counts = _tokens_of(block)
-                context = contexts(h, counts, frequent)
-                ords = block.column(0).to_numpy()
-                entry = (np.repeat(np.arange(len(counts), dtype=np.uint32), counts) << np.uint32(16)) | context
-                order = np.argsort(h, kind="stable")
-                h = h[order]
-                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                distinct, k = h[first], int(ords[0])
-                place = int(mix(np.array([k], dtype=np.int64).view(np.uint64))[0] % np.uint64(SALTS))
-                yield _entries(distinct.view(np.int64), _salted(distinct, frequent, place), 1, k, binary_list(entry[order], np.diff(np.append(first, len(h)))))
-                # the block's own row: ords and token counts, sent like a word of its own
-                info = np.concatenate([ords, counts])
-                yield _entries(mix(np.array([k], dtype=np.int64).view(np.uint64)).view(np.int64), np.zeros(1, dtype=np.int32), 2, k, binary_list(info, np.array([len(info)])))
-
-    def models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            payload = [b"".join([len(c.as_py()).to_bytes(4, "little"), c.as_py(), n.as_py(), t.as_py()]) for c, n, t in zip(batch.column(1), batch.column(2), batch.column(3), strict=True)]
-            hot = np.isin(h, frequent) | (h == END)
-            at = np.concatenate([np.arange(len(h)), np.repeat(np.flatnonzero(hot), SALTS - 1)])
-            salt = np.concatenate([np.zeros(len(h), dtype=np.int32), np.tile(np.arange(1, SALTS, dtype=np.int32), int(hot.sum()))])
-            yield _entries(h.view(np.int64)[at], salt, 0, 0, pa.array([payload[i] for i in at.tolist()], pa.binary()))
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = shared.value
-        state = None  # the last word's row of the batch before, in case its entries go on
-        sums: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            if state is not None:
-                batch = pa.Table.from_batches([state, batch]).combine_chunks().to_batches()[0]
-            kind = batch.column(2).to_numpy()
-            model = batch.filter(pa.array(kind == 0))
-            state = model.slice(max(0, model.num_rows - 1))
-            info = batch.filter(pa.array(kind == 2))
-            for k, raw in zip(info.column(3).to_pylist(), info.column(4), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([raw.as_py()]), pa.nulls(1, pa.binary())], names=["block", "info", "sums"])
-            posts = batch.filter(pa.array(kind == 1))
-            if posts.num_rows:
-                sums.append(_scores(model, posts, z))
-                if sum(len(x[0]) for x in sums) > 1_000_000:
-                    sums = [_added(sums)]
-                    if len(sums[0][0]) > 700_000:
-                        yield _sums(*sums[0])
-                        sums = []
-        if sums:
-            yield _sums(*_added(sums))
-
-    def _scores(model: pa.RecordBatch, posts: pa.RecordBatch, z: list[Totals]) -> tuple[np.ndarray, ...]:
-        raw, at = text_bytes(posts.column(4))
-        entry = raw.view(np.uint32)
-        row = np.repeat(np.arange(posts.num_rows), np.diff(at) // 4)
-        heads = np.array([int.from_bytes(p.as_buffer()[:4].to_pybytes(), "little") for p in model.column(4)], dtype=np.int64)
-        parts = [p.as_buffer().to_pybytes() for p in model.column(4)]
-        b = pa.binary()
-        dishes_ = pa.RecordBatch.from_arrays([model.column(0), pa.array([p[4 : 4 + n] for p, n in zip(parts, heads, strict=True)], b), pa.array([p[4 + n : 4 + 5 * n] for p, n in zip(parts, heads, strict=True)], b), pa.array([p[4 + 5 * n :] for p, n in zip(parts, heads, strict=True)], b)], names=["h", "contexts", "counts", "tables"])
-        x = _levels(dishes_)
-        names = model.column(0).to_numpy()  # ascending
-        own = posts.column(0).to_numpy()
-        g = np.searchsorted(names, own)
-        known = np.zeros(len(own), dtype=bool) if not len(names) else names[np.minimum(g, len(names) - 1)] == own
-        context = (entry & 0xFFFF).astype(np.int64)
-        pair, back = np.unique(row << 16 | context, return_inverse=True)
-        row_, context_ = pair >> 16, pair & 0xFFFF
-        has = known[row_]
-        w = np.minimum(g, max(len(names) - 1, 0))[row_]
-
-        def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            i = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-            return i, has & (keys[i] == wanted) if len(keys) else np.zeros(len(wanted), dtype=bool)
-
-        i2, in2 = find(x["dish"] << 16 | x["context"], w << 16 | context_)
-        i1, in1 = find(x["mid_dish"] << 8 | x["f1"], w << 8 | context_ >> 8)
-        n, m = len(x["h"]), len(x["f1"])
-        pick = lambda values, i, ok: np.where(ok, values[i], 0.0) if len(values) else np.zeros(len(i))
-        p = np.zeros(len(pair))
-        for t, (t0, t1, t2) in zip(z, _split(dishes_.column(3), x, len(z)), strict=True):
-            c0, c1 = np.bincount(x["mid_dish"], weights=t1, minlength=n), np.bincount(x["mid"], weights=t2, minlength=m)
-            p0 = _chance(0, pick(c0, w, has), pick(t0, w, has), np.zeros(len(pair), dtype=np.int64), np.full(len(pair), 1 / (v + 1)), t)
-            p1 = _chance(1, pick(c1, i1, in1), pick(t1, i1, in1), context_ >> 8, p0, t)
-            p += _chance(2, pick(x["counts"], i2, in2), pick(t2, i2, in2), context_, p1, t)
-        count = np.bincount(x["dish"], weights=x["counts"], minlength=n)
-        base = np.log10((pick(count, w, has) + 1) / (n_train + v + 1))
-        blocks, k = np.unique(posts.column(3).to_numpy(), return_inverse=True)
-        key, at_ = np.unique(k[row] << 16 | (entry >> 16).astype(np.int64), return_inverse=True)
-        add = lambda y: np.bincount(at_, weights=y[back], minlength=len(key))
-        return blocks[key >> 16], key & 0xFFFF, add(np.log10(p / len(z))), add(base), add(has.astype(np.float64))
-
-    def _added(sums: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        block, local, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
-        order = np.lexsort((local, block))
-        block, local = block[order], local[order]
-        first = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (local[1:] != local[:-1])))
-        return block[first], local[first], *(np.add.reduceat(x[order], first) for x in values)
-
-    def _sums(block, local, *values) -> pa.RecordBatch:
-        """A row for each block: local places as int32, then its sums of each kind as doubles."""
-        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        ends = np.append(first[1:], len(block))
-        payload = [b"".join([local[i:j].astype(np.int32).tobytes(), *(x[i:j].astype(np.float64).tobytes() for x in values)]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.nulls(len(first), pa.binary()), pa.array(payload, pa.binary())], names=["block", "info", "sums"])
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The texts of each block, whose rows are neighbours."""
-        now, info, total = None, None, np.zeros((3, 0))
-
-        def done() -> pa.RecordBatch:
-            ords, n = np.frombuffer(info, dtype=np.int64).reshape(2, -1)
-            out = np.zeros((3, len(ords)))
-            out[:, : total.shape[1]] = total
-            return pa.RecordBatch.from_arrays([pa.array(ords), pa.array(n), pa.array(np.rint(out[2]).astype(np.int64)), pa.array(out[1]), pa.array(out[0])], names=["ord", "n_tokens", "n_known", "base_score", "score"])
 
-        for batch in batches:
-            for k, about, sums in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if now is not None and k != now:
-                    yield done()
-                    info, total = None, np.zeros((3, 0))
-                now = k
-                if about.is_valid:
-                    info = about.as_py()
-                else:
-                    raw = sums.as_buffer()
-                    m = raw.size // 28
-                    local = np.frombuffer(raw, dtype=np.int32, count=m)
-                    grown = np.zeros((3, max(total.shape[1], int(local.max()) + 1)))
-                    grown[:, : total.shape[1]] = total
-                    total = grown
-                    total[:, local] += np.frombuffer(raw.to_pybytes()[4 * m :], dtype=np.float64).reshape(3, m)
-        if now is not None:
-            yield done()
-
-    def _entries(h: np.ndarray, salt: np.ndarray, kind: int, block: int, payload: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(np.full(len(h), kind, dtype=np.int32)), pa.array(np.full(len(h), block, dtype=np.int64)), payload], names=["h", "salt", "kind", "block", "payload"])
-
-    entries = rows.select("ord", "text").mapInArrow(post, _ENTRY).unionAll(dishes.mapInArrow(models, _ENTRY))
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = entries.repartition(tasks, "h", "salt").sortWithinPartitions("h", "salt", "kind").mapInArrow(look_up, "block long, info binary, sums binary")
-    return found.repartition("block").sortWithinPartitions("block").mapInArrow(add_up, "ord long, n_tokens long, n_known long, base_score double, score double")
-
-
-def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", per_station: int = PER_STATION) -> DataFrame:
     """Fit on the rows where `training` (a condition on doc_id) holds, and score all rows.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score (log10). A null text is empty and has
     the end token alone; a null doc_id isn't training. Without any training text, every word is unknown.
     Repeated rows train as often as they stand and get equal scores; an empty table gives none.
+    per_station: about how many tokens a task holds at once; scores don't depend on it.
     """
     rows = keyed(docs, id_col, text_col)
-    dishes, z, _ = fit(rows.where(training))
-    found = score(rows, dishes, z)
+    built, kept, paths = fit(rows.withColumn("training", F.coalesce(training, F.lit(False))), per_station=per_station)
+    found = score(built, kept)
+    discard(rows.sparkSession, *paths)
+    _freed(rows.sparkSession)
     ids = rows.select("ord", "doc_id")
-    return found.join(ids, "ord").select("doc_id", "n_tokens", "n_known", F.lit(z[0].n).cast("long").alias("train_tokens"), "base_score", "score")
+    return found.join(ids, "ord").select("doc_id", "n_tokens", "n_known", F.lit(kept[0][2].n).cast("long").alias("train_tokens"), "base_score", "score")
