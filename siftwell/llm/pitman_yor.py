@@ -26,13 +26,15 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, free_shuffles, give_back, hash_runs, keyed, mix, pieces, shared_dir, text_bytes, words, written
+from .common import LOWER, discard, free_shuffles, give_back, hash_runs, keyed, mix, offsets_of, pieces, shared_dir, text_bytes, words, written
 
 END, START = np.uint64(0xE1D0E1D0E1D0E1D1), np.uint64(0x57A2757A2757A273)
-PER_STATION, CODED = 1_200_000, 2**18
+PER_STATION, CODED = 1_200_000, 2**19
+#: Stations are built, and scored, in so many parts one after another: disk holds the shuffle of one part at a time.
+DEALS, PARTS = 2, 4
 #: What a row is: texts' part of a station, a station, its tokens' places, a block's ids, a station's first question to a
 #: root, its later ones, its tables, sums for the driver, a root, a root's answer.
 PART, STATION, PLACES, INFO, ASK, TELL, TABLES, SUMS, ROOT, ANSWER = range(10)
@@ -148,7 +150,10 @@ def _of(df: DataFrame, kind: int) -> DataFrame:
 
 
 def _blocks(batch: pa.RecordBatch, size: int = 16_000_000, docs: int = 65_000) -> Iterator[pa.RecordBatch]:
-    for part in pieces(batch, "text", size):
+    """As few parts of a batch as have `size` bytes of text at the most, about equal ones."""
+    at = offsets_of(batch.column(batch.schema.get_field_index("text")))
+    n = max(1, -(-int(at[-1] - at[0]) // size))
+    for part in pieces(batch, "text", min(size, int(at[-1] - at[0]) // n * 51 // 50 + 1)):
         for lo in range(0, part.num_rows, docs):
             yield part.slice(lo, docs)
 
@@ -166,10 +171,26 @@ def _among(h: np.ndarray, names: np.ndarray) -> np.ndarray:
     return np.where(names[i] == h, i + 1, 0)
 
 
+def _names(code: np.ndarray, rest: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Words that are told as the differences of frequent ones' numbers, then the others' hashes."""
+    return np.concatenate([frequent[np.cumsum(code)], rest.astype(np.uint64)])
+
+
 def _pair(u1: np.ndarray, u2: np.ndarray) -> np.ndarray:
     return mix(mix(u1) + u2)
 
 
+def _least(counts: list[Row], most: int) -> int:
+    """From which number on there are at most `most` words that occur so often. counts: n and how many words have it."""
+    least, total = 2**62, 0
+    for n, words_ in sorted(counts, reverse=True):
+        total += words_
+        if total > most:
+            break
+        least = n
+    return least
+
+
 def dealing(rows: DataFrame, per_station: int) -> tuple[Totals, np.ndarray]:
     """How many stations and roots there are, and which words and pairs are hot; hashes of at most CODED frequent
     words, ascending, which move as a short number. Results don't depend on any of it.
@@ -198,7 +219,8 @@ def dealing(rows: DataFrame, per_station: int) -> tuple[Totals, np.ndarray]:
     found, path = written(rows.select("text").mapInArrow(run, "kind long, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "dealing")
     n = found.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     names = lambda rows: np.sort(rows.select("h").toArrow().column("h").to_numpy().view(np.uint64))
-    frequent = names(found.where("kind = 1").orderBy(F.desc("n"), "h").limit(CODED))
+    least = _least(found.where("kind = 1").groupBy(F.least("n", F.lit(65_536)).alias("n")).count().collect(), CODED)
+    frequent = names(found.where("kind = 1").where(F.col("n") >= least))
     often = found.where(F.col("n") > hot)
     stations = max(1, -(-n // per_station))
     z = Totals(names(often.where("kind = 1")), 0, 0, pairs=names(often.where("kind = 2")), stations=stations, roots=-(-stations // 2))
@@ -206,9 +228,9 @@ def dealing(rows: DataFrame, per_station: int) -> tuple[Totals, np.ndarray]:
     return replace(z, customers=[np.zeros(1), np.zeros(len(z.hot)), np.zeros(len(z.pairs))], tables=[np.zeros(1), np.zeros(len(z.hot)), np.zeros(len(z.pairs))]), frequent
 
 
-def _deal(rows: DataFrame, z: Totals, frequent: Broadcast) -> DataFrame:
-    """Each block's tokens, a row for each station: words' numbers among the frequent ones, the others' hashes, then by
-    token its u1, word, u2, text, training."""
+def _deal(rows: DataFrame, z: Totals, frequent: Broadcast, deal: int, deals: int) -> DataFrame:
+    """Each block's tokens, a row for each station whose number modulo `deals` is `deal`: words' numbers among the
+    frequent ones, the others' hashes, then by token its u1, word, u2, text, training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,10 +254,12 @@ def _deal(rows: DataFrame, z: Totals, frequent: Broadcast) -> DataFrame:
                     hot = split[_among(place[split], z.pairs) > 0]
                     place[hot] = mix(place[hot] + h[hot])
                 place = (place % np.uint64(z.stations)).astype(np.uint16 if z.stations < 65_536 else np.int64)
-                order = np.argsort(place, kind="stable")
+                own = np.flatnonzero(place % deals == deal) if deals > 1 else np.arange(len(place))
+                place = place[own]
+                order = own[np.argsort(place, kind="stable")]
                 size = np.bincount(place, minlength=z.stations)
                 text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-                out, hi = [(k % z.stations, k, _pack(ords.view(np.uint64), counts), INFO)], np.cumsum(size)
+                out, hi = [(k % z.stations, k, _pack(ords.view(np.uint64), counts), INFO)] if k % z.stations % deals == deal else [], np.cumsum(size)
                 for s in np.flatnonzero(size).tolist():
                     at = order[hi[s] - size[s] : hi[s]]
                     used, triple = np.unique(np.concatenate([one[at], word[at], two[at]]), return_inverse=True)
@@ -254,11 +278,12 @@ class Station:
     """The restaurants of a station: words, pairs (u1, word), restaurants (u2, u1) and triples, ascending by
     (u1, u2, word), and which probabilities it asks for: of cold u1 its words' in the root, of hot ones its pairs'."""
 
-    def __init__(self, payload: bytes, z: Totals):
-        words_, pair_size, self.pair_w, rest_size, self.rest_u2, size, local, count = _unpack(payload)
-        self.words = words_.astype(np.uint64)
+    def __init__(self, payload: bytes, z: Totals, frequent: np.ndarray):
+        code, others, pair, rest_size, self.rest_u2, size, local, count = _unpack(payload)
+        self.words = _names(code, others, frequent)
         d = len(self.words)
-        self.pair_u1, self.rest_u1 = np.repeat(np.arange(d), pair_size), np.repeat(np.arange(d), rest_size)
+        self.pair_u1, self.pair_w = np.divmod(np.cumsum(pair), d)
+        pair_size, self.rest_u1 = np.bincount(self.pair_u1, minlength=d), np.repeat(np.arange(d), rest_size)
         self.rest = np.repeat(np.arange(len(size)), size)
         self.pair = local + (np.cumsum(pair_size) - pair_size)[self.rest_u1[self.rest]]
         self.count = count.astype(np.float64)
@@ -331,36 +356,42 @@ def _build(z: Totals, frequent: Broadcast) -> Callable:
         parts, s = [], got[PART][0][0]
         for x in got[PART]:
             code, rest, *others = _unpack(x[2])
-            parts.append([np.concatenate([frequent.value[np.cumsum(code)], rest]), *others])
+            parts.append([_names(code, rest, frequent.value), *others])
         names, inverse = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
         first = np.cumsum([0, *(len(x[0]) for x in parts)])
+        code = _among(names, frequent.value)
+        order, coded, d = np.argsort(code == 0, kind="stable"), int(np.count_nonzero(code)), len(names)  # coded ones first
+        names, code = names[order], code[order[:coded]] - 1
+        new = np.empty(d, dtype=np.int64)
+        new[order] = np.arange(d)
+        inverse = new[inverse]
         one, word, two = (np.concatenate([inverse[x[i] + lo] for x, lo in zip(parts, first.tolist(), strict=False)]) for i in (1, 2, 3))
-        d = len(names)
+        parts = [x[4:] for x in parts]
         pair, of_pair = np.unique(one * d + word, return_inverse=True)
         rest, of_rest = np.unique(one * d + two, return_inverse=True)
         triple, token = np.unique(of_rest * len(pair) + of_pair, return_inverse=True)
-        count = np.bincount(token, weights=np.concatenate([x[5] for x in parts])).astype(np.int64)
+        count = np.bincount(token, weights=np.concatenate([x[1] for x in parts])).astype(np.int64)
         pair_size, rest_size = np.bincount(pair // d, minlength=d), np.bincount(rest // d, minlength=d)
         own = triple // len(pair)
         local = triple % len(pair) - (np.cumsum(pair_size) - pair_size)[rest[own] // d]
         told = _among(names, z.hot)[rest // d] > 0  # u2 is asked for by draws and by hot pairs alone
         told[own[count > 1]] = True
-        payload = _pack(names, pair_size, pair % d, rest_size, np.where(told, rest % d, 0), np.bincount(own), local, count)
+        payload = _pack(np.diff(code, prepend=0), names[coded:], np.diff(pair, prepend=0), rest_size, np.where(told, rest % d, 0), np.bincount(own), local, count)
         # blocks' numbers can be any longs
         blocks = np.array([x[1] for x in got[PART]], dtype=np.int64).view(np.uint64)
-        out += [(s, 0, payload, STATION), (s, 0, _pack(blocks, np.array([len(x[4]) for x in parts]), np.concatenate([x[4] for x in parts]), token), PLACES)]
+        out += [(s, 0, payload, STATION), (s, 0, _pack(blocks, np.array([len(x[0]) for x in parts]), np.concatenate([x[0] for x in parts]), token), PLACES)]
         return out
 
     return run
 
 
-def _asked(built: DataFrame, z: Totals) -> DataFrame:
+def _asked(built: DataFrame, z: Totals, frequent: Broadcast) -> DataFrame:
     """What each station asks each root for, with how often in training and in how many ways; sums of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, payload in zip(batch.column("s").to_pylist(), batch.column("payload"), strict=True):
-                x = Station(payload.as_py(), z)
+                x = Station(payload.as_py(), z, frequent.value)
                 kinds = x.by_pair(x.count > 0)
                 seen = np.where(x.cold, kinds > 0, kinds)
                 out = x.tell(s, ASK, x.key, x.key_hot, x.up(x.by_pair(x.count)).astype(np.int64), x.up(seen).astype(np.int64))
@@ -488,8 +519,9 @@ def _draws_of_pairs(key: np.ndarray, u1: np.ndarray) -> np.ndarray:
     return mix(key + mix(u1) + np.uint64(1 << 32))
 
 
-def _answers(roots: DataFrame, z: Totals, kind: int = ANSWER) -> DataFrame:
-    """For each question of each station its dish's probability, and how often its word is in training."""
+def _answers(roots: DataFrame, z: Totals, kind: int = ANSWER, part: int = 0, parts: int = 1) -> DataFrame:
+    """For each question of each station, of those whose number modulo `parts` is `part`, its dish's probability, and
+    for another kind how often its word is in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -499,6 +531,8 @@ def _answers(roots: DataFrame, z: Totals, kind: int = ANSWER) -> DataFrame:
                 hi = np.cumsum(x.size)
                 out = []
                 for s, n, end in zip(x.stations.tolist(), x.size.tolist(), hi.tolist(), strict=True):
+                    if s % parts != part:
+                        continue
                     about = x.about[end - n : end]
                     out.append((s, r, _pack(p[about], x.count[x.word[about]]) if kind != ANSWER else _pack(p[about]), kind))
                 yield from _rows(out).combine_chunks().to_batches(max_chunksize=256)
@@ -507,14 +541,14 @@ def _answers(roots: DataFrame, z: Totals, kind: int = ANSWER) -> DataFrame:
     return _of(roots, ROOT).mapInArrow(run, _ROW)
 
 
-def _swept(z: Totals, number: int) -> Callable:
+def _swept(z: Totals, number: int, frequent: Broadcast) -> Callable:
     """A station's part of a sweep: triples are reseated, then the pairs of cold u1."""
 
     def run(got: dict[int, list]) -> list[tuple[int, int, bytes, int]]:
         if STATION not in got:
             return []
         s, _, payload = got[STATION][0]
-        x = Station(payload, z)
+        x = Station(payload, z, frequent.value)
         if TABLES in got:
             t1, t2 = (y.astype(np.float64) for y in _unpack(got[TABLES][0][2]))
         else:
@@ -583,25 +617,28 @@ def _with_sums(z: Totals, x: np.ndarray, customers2: np.ndarray) -> Totals:
     return replace(z, customers=[x[_C0 : _C0 + 1], hot[:, 0], customers2], tables=[x[_T0 : _T0 + 1], hot[:, 1], pairs[:, 1]])
 
 
-def fit(rows: DataFrame, burn_in: int = 2, samples: int = 2, per_station: int = PER_STATION) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, Totals]], list[str]]:
-    """The stations of all texts, of each of the `samples` sweeps after burn_in its tables, roots and totals, and
-    the paths of all that. rows: ord, text, training."""
+def fit(rows: DataFrame, burn_in: int = 2, samples: int = 2, per_station: int = PER_STATION) -> tuple[DataFrame, Broadcast, list[tuple[DataFrame, DataFrame, Totals]], list[str]]:
+    """The stations of all texts, the frequent words, of each of the `samples` sweeps after burn_in its tables, roots
+    and totals, and the paths of all that. rows: ord, text, training."""
     spark = rows.sparkSession
     z, names = dealing(rows, per_station)
     frequent = spark.sparkContext.broadcast(names)
-    built, path = _stored(_grouped(_deal(rows, z, frequent), "s", _build(z, frequent)), "stations")
-    _freed(spark)
-    roots, root_path = _stored(_grouped(_asked(built, z), "r", _root(z)), "roots")
+    built, paths, deals = None, [], min(DEALS, z.stations)
+    for deal in range(deals):
+        some, path = _stored(_grouped(_deal(rows, z, frequent, deal, deals), "s", _build(z, frequent)), "stations")
+        _freed(spark)
+        built, paths = some if built is None else built.unionAll(some), [*paths, path]
+    roots, root_path = _stored(_grouped(_asked(built, z, frequent), "r", _root(z)), "roots")
     _freed(spark)
     x = _added_up(z, roots)
     low = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
     z = replace(z, v=int(x[_V]), n=int(x[_N]), discount=(low(x[_ONE1], x[_TWO1]), low(x[_ONE2], x[_TWO2]), low(x[_ONE3], x[_TWO3])))
     customers2 = x[16 + 2 * len(z.hot) :].reshape(-1, 2)[:, 0]
     z = replace(z, customers=[*z.customers[:2], customers2])
-    now, kept, paths, old = None, [], [path], [root_path]
+    now, kept, old = None, [], [root_path]
     for i in range(burn_in + samples):
         parts = _of(built, STATION).unionAll(_answers(roots, z))
-        now, now_path = _stored(_grouped(parts if now is None else parts.unionAll(_of(now, TABLES)), "s", _swept(z, i)), "tables")
+        now, now_path = _stored(_grouped(parts if now is None else parts.unionAll(_of(now, TABLES)), "s", _swept(z, i, frequent)), "tables")
         _freed(spark)
         roots, root_path = _stored(_grouped(_of(roots, ROOT).unionAll(_of(now, TELL)), "r", _root_swept(z, i)), "roots")
         discard(spark, *old)
@@ -612,13 +649,14 @@ def fit(rows: DataFrame, burn_in: int = 2, samples: int = 2, per_station: int =
             paths, old = [*paths, now_path, root_path], []
         else:
             old = [now_path, root_path]
-    return built, kept, paths
+    return built, frequent, kept, paths
 
 
-def score(built: DataFrame, kept: list[tuple[DataFrame, DataFrame, Totals]]) -> DataFrame:
+def score(built: DataFrame, frequent: Broadcast, kept: list[tuple[DataFrame, DataFrame, Totals]]) -> DataFrame:
     """(ord, n_tokens, n_known, base_score, score) of every text, by the average of the samples' predictions.
 
-    Each station sends a row for each block of texts (16 MB of them), with the sums of those it has tokens of.
+    Each station sends a row for each block of texts (16 MB of them), with the sums of those it has tokens of. Of a part
+    of the stations these are added up by block in the same job, so that what is stored grows with the texts alone.
     """
     zs = [z for _, _, z in kept]
     v, n_train = zs[0].v, zs[0].n
@@ -627,7 +665,7 @@ def score(built: DataFrame, kept: list[tuple[DataFrame, DataFrame, Totals]]) ->
         if STATION not in got:
             return []
         s, _, payload = got[STATION][0]
-        x = Station(payload, zs[0])
+        x = Station(payload, zs[0], frequent.value)
         p, count = np.zeros(len(x.pair)), None
         for k, z in enumerate(zs):
             t1, t2 = (y.astype(np.float64) for y in _unpack(got[TABLES + 100 * (k + 1)][0][2]))
@@ -647,21 +685,31 @@ def score(built: DataFrame, kept: list[tuple[DataFrame, DataFrame, Totals]]) ->
             lo += n
         return out
 
+    def of_part(got: dict[int, list]) -> list[tuple[int, int, bytes, int]]:
+        found = [_unpack(x[2]) for x in got[SUMS]]
+        total = np.zeros((3, 1 + max(int(x[0][-1]) for x in found)))
+        for texts, *values in found:
+            total[:, texts] += values
+        return [(*got[SUMS][0][:2], _pack(total[0].astype(np.int64), *total[1:]), SUMS)]
+
     def add_up(table: pa.Table) -> pa.Table:
         got = _by_kind(table)
         ords, n = _unpack(got[INFO][0][2])
         total = np.zeros((3, len(ords)))
         for _, _, payload in got[SUMS]:
-            texts, *values = _unpack(payload)
-            total[:, texts] += values
+            values = np.array(_unpack(payload))
+            total[:, : values.shape[1]] += values
         return pa.table({"ord": ords.astype(np.uint64).view(np.int64), "n_tokens": n, "n_known": total[0].astype(np.int64), "base_score": total[1], "score": total[2]})
 
-    parts = _of(built, STATION).unionAll(_of(built, PLACES))
-    for k, (tables, roots, z) in enumerate(kept):
-        parts = parts.unionAll(_of(tables, TABLES).withColumn("kind", F.lit(TABLES + 100 * (k + 1)))).unionAll(_answers(roots, z, ANSWER + 100 * (k + 1)))
-    found, paths = _of(built, INFO), []
-    for half in (0, 1):  # a half of the stations at a time takes half as much disk
-        some, path = _stored(_grouped(parts.where(F.col("s") % 2 == half), "s", sums), "sums")
+    found, paths, parts = _of(built, INFO), [], min(PARTS, zs[0].stations)
+    for part in range(parts):
+        rows = _of(built, STATION).unionAll(_of(built, PLACES))
+        for k, (tables, _, _) in enumerate(kept):
+            rows = rows.unionAll(_of(tables, TABLES).withColumn("kind", F.lit(TABLES + 100 * (k + 1))))
+        rows = rows.where(F.col("s") % parts == part)
+        for k, (_, roots, z) in enumerate(kept):
+            rows = rows.unionAll(_answers(roots, z, ANSWER + 100 * (k + 1), part, parts))
+        some, path = _stored(_grouped(_grouped(rows, "s", sums), "r", of_part), "sums")
         _freed(built.sparkSession)
         found, paths = found.unionAll(_of(some, SUMS)), [*paths, path]
     found, path = written(found.groupBy("r").applyInArrow(add_up, "ord long, n_tokens long, n_known long, base_score double, score double"), "scores")
@@ -678,8 +726,8 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     per_station: about how many tokens a task holds at once; scores don't depend on it.
     """
     rows = keyed(docs, id_col, text_col)
-    built, kept, paths = fit(rows.withColumn("training", F.coalesce(training, F.lit(False))), per_station=per_station)
-    found = score(built, kept)
+    built, frequent, kept, paths = fit(rows.withColumn("training", F.coalesce(training, F.lit(False))), per_station=per_station)
+    found = score(built, frequent, kept)
     discard(rows.sparkSession, *paths)
     _freed(rows.sparkSession)
     ids = rows.select("ord", "doc_id")

@@ -116,3 +116,36 @@ def test_rare_words_are_contexts_too(spark):
     docs = spark.createDataFrame(texts, SCHEMA).repartition(2)
     score = {r["doc_id"]: r["score"] for r in score_documents(docs, F.col("doc_id") < 100).collect()}
     assert score[100] - score[101] > 50 * math.log10(20)
+
+
+def test_disk_holds_a_part_of_the_stations_at_a_time(spark, monkeypatch):
+    """Stations are built by halves, and sums of a part of them are added up by block before they are stored."""
+    from siftwell.llm import pitman_yor
+
+    stored, write = {}, pitman_yor._stored
+
+    def count(df, name):
+        found, path = write(df, name)
+        stored.setdefault(name, []).append({r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()})
+        return found, path
+
+    monkeypatch.setattr(pitman_yor, "_stored", count)
+    texts = prose(1, 60)
+    docs = spark.createDataFrame(texts, SCHEMA).coalesce(1)
+    assert score_documents(docs, F.col("doc_id") % 5 != 0, per_station=200).count() == len(texts)
+    built = [x.get(pitman_yor.STATION, 0) for x in stored["stations"]]
+    assert sum(built) > 6 and max(built) <= -(-sum(built) // 2) + 1
+    assert all(x == {pitman_yor.SUMS: 1} for x in stored["sums"])  # one block of texts
+
+
+def test_frequent_words_are_those_from_a_count_on():
+    from siftwell.llm.pitman_yor import _least
+
+    assert _least([(1, 10), (7, 2), (3, 3)], 5) == 3 and _least([(1, 10), (7, 2), (3, 3)], 100) == 1 and _least([], 5) > 2**40
+
+
+def test_blocks_of_a_batch_are_about_equal():
+    from siftwell.llm.pitman_yor import _blocks
+
+    batch = pa.record_batch({"ord": list(range(170)), "text": ["x" * 100] * 170})
+    assert [x.num_rows for x in _blocks(batch, 10_000)] == [86, 84]
